@@ -40,7 +40,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     full = settle(rows.join(near, ["len", "prefix"], "left_semi").select(F.monotonically_increasing_id().alias("row"), "doc_id", digest))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    groups = full.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size"))
+    groups = settle(full.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size")))  # written, so that the join is dealt afresh and can be split
     members = full.join(groups, "text_sha256").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
     )
