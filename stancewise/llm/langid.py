@@ -17,6 +17,8 @@ from .common import batches_of, id_remainder
 SAMPLE_DOCS, SAMPLE_CHARS, SHORTEST, LONGEST = 96, 32_000, 40, 8_000
 #: Characters of a segment: parsing starts a new phrase at each multiple of it, so that segments are independent.
 SEGMENT = 1024
+#: Characters parsed at a time (some 60 bytes of working memory each).
+PASS = 400_000
 
 
 def labelled_sample(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> dict[str, str]:
@@ -85,7 +87,7 @@ class Parser:
         self.width = len(alphabet) + 2
         code = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": 0}
         self.letter = _letters()
-        self.code = np.zeros(0x10001, np.int64)
+        self.code = np.zeros(0x10001, np.int32)
         self.code[:0x10000][self.letter] = self.width - 1
         self.code[0x10000] = self.width - 1
         for c, i in code.items():
@@ -106,6 +108,7 @@ class Parser:
             self.roots.append(root)
             self.bits.append(math.log2(max(n, 2)))
             base += (len(trans) + 1) * self.width
+            del trans, t
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +116,7 @@ class Parser:
         raw = [t.lower() for t in texts]
         points = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), "<u4")
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        owner = np.repeat(np.arange(len(raw)), sizes)
+        owner = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         clipped = np.minimum(points, 0x10000)
         codes = self.code[clipped]
         letter = np.append(self.letter, True)[clipped]
@@ -185,10 +188,16 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, modulus: in
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             preds, scores = [], []
-            for lo in range(0, len(texts), 500):
-                p, s = _decide(parser, [t or "" for t in texts[lo : lo + 500]])
+            lo = 0
+            while lo < len(texts):  # as many texts at a time as hold PASS characters, or one
+                hi, n = lo, 0
+                while hi < len(texts) and (hi == lo or n + len(texts[hi] or "") <= PASS):
+                    n += len(texts[hi] or "")
+                    hi += 1
+                p, s = _decide(parser, [t or "" for t in texts[lo:hi]])
                 preds += p
                 scores += s
+                lo = hi
             columns = [b.column(i) for i in range(b.num_columns)] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "lang_pred", "score"])
 

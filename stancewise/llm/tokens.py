@@ -9,9 +9,9 @@ import numpy as np
 from .hashing import PieceHash
 
 #: Slots of a way of the word table (a power of two), ways, ids kept before the table starts afresh, words encoded in a call.
-SLOTS, WAYS, KEPT, JOINED = 1 << 19, 4, 12_000_000, 200
+SLOTS, WAYS, KEPT, JOINED = 1 << 18, 4, 6_000_000, 200
 #: Bytes of text looked at in one pass.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 def default_path() -> str:
     import public_tokenizers
