@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of
+from .common import batches_of, lean
 
 #: The template of the production query. Tags: {% for x in turns %}, {% if a == b %}, {% else %}, {% generation %},
 #: {% end %}; values: {{ expression }} with names, x.field, 'text', + and | filters.
@@ -243,7 +243,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     batches_of(turns.sparkSession, 2000)
     schema = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:int,end:int>>"
     rows = turns.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "coalesce(role, '') role", "coalesce(text, '') text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_formatter(template), schema)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lean(_formatter(template)), schema)
 
 
 def _formatter(template: str):
@@ -302,4 +302,4 @@ def formatted_digests(formatted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

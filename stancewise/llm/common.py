@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ def settle(df: DataFrame) -> DataFrame:
 def batches_of(spark: SparkSession, rows: int) -> None:
     """Bounds the Arrow batches of the Python tasks that follow, in rows and (where Spark knows it) in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def id_remainder(column: str | Column, modulus: int) -> Column:
@@ -60,3 +63,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     for c in on:
         same = same & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
     return left.join(right, same, how).drop(*[f"__right_{c}" for c in on])
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a Python worker gives the memory that its task freed back to the system: workers live on."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return lean_run

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, id_remainder
+from .common import batches_of, id_remainder, lean
 
 #: Bounds of the labelled sample: documents and characters per language, and the document lengths that qualify.
 SAMPLE_DOCS, SAMPLE_CHARS, SHORTEST, LONGEST = 96, 32_000, 40, 8_000
 #: Characters of a segment: parsing starts a new phrase at each multiple of it, so that segments are independent.
 SEGMENT = 1024
 #: Characters parsed at a time (some 60 bytes of working memory each).
-PASS = 400_000
+PASS = 250_000
 
 
 def labelled_sample(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> dict[str, str]:
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, modulus: in
     """
     spark = docs.sparkSession
     samples = labelled_sample(docs, modulus, held_out) if samples is None else samples
-    batches_of(spark, 1000)
+    batches_of(spark, 500)
     plain = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", id_remainder("doc_id", modulus) == held_out)
     schema = plain.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double"
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, modulus: in
             columns = [b.column(i) for i in range(b.num_columns)] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "lang_pred", "score"])
 
-    return plain.mapInArrow(run, ddl)
+    return plain.mapInArrow(lean(run), ddl)
 
 
 def _decide(parser: Parser, texts: list[str]) -> tuple[list[str], list[float]]:

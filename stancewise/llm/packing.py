@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches_of, settle
+from .common import batches_of, lean, settle
 
 #: Tokens of a sequence; pieces longer than SMALL tokens are grouped, into at most GROUPS groups. A lower SMALL leaves fewer
 #: pieces to fill the room that rounding up wastes: on log-normal lengths 256 gives 1.1 % over the lower bound, 900 0.16 %.
@@ -44,7 +44,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=False)], names)
 
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return rows.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

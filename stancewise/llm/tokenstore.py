@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches_of, shared_folder
+from .common import batches_of, lean, shared_folder
 
 #: Ids of a grammar block, rules per round and rounds at most, and the least count of a pair that becomes a rule.
 BLOCK_IDS, PER_ROUND, ROUNDS, LEAST = 1_000_000, 400, 5, 24
@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if held:
             yield close()
 
-    rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, _FIELDS).write.parquet(path)
+    rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(lean(run), _FIELDS).write.parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -180,7 +180,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                     n = hi - lo
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([r["shard"]] * n, pa.int32()), "block": pa.array([r["block"]] * n, pa.int32()), "doc_id": pa.array(r["doc_ids"][lo:hi], pa.int64()), "within": pa.array(at[lo:hi], pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in raws], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in raws], pa.int64()), "ids": pa.array(raws, pa.binary())})
 
-    read = blocks.mapInArrow(run, "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary")
+    read = blocks.mapInArrow(lean(run), "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary")
     return read.join(bases, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import batches_of, lean, settle
 
 #: Vectors in a tile, queries in a block, dimensions in the first partial sum.
 TILE, QUERIES, HEAD = 2048, 256, 16
@@ -48,7 +48,7 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rotation(rows: DataFrame) -> np.ndarray:
     """Right singular vectors of all rows, from their d x d moment matrix (the only thing that reaches the driver)."""
-    g = rows.select("v").mapInArrow(_gram, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+    g = rows.select("v").mapInArrow(lean(_gram), "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
     d = round(len(g) ** 0.5)
     m = np.zeros(d * d)
     for r in g:
@@ -101,6 +101,7 @@ def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col
     Ties go to the smaller id. With fewer than k candidates all are returned. See ``quantised`` for the rows that take
     part. An empty table or one without queries gives an empty result; extra columns are ignored.
     """
+    batches_of(vectors.sparkSession, 1000)
     rows = settle(quantised(vectors, id_col, vector_col, scale))
     n = rows.count()
     schema = "query_id long, rank int, vec_id long, score long"
@@ -109,16 +110,16 @@ def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col
     turn = _rotation(rows)
     parts = max(1, -(-n // (4 * TILE)))
     packed = "tile long, longest double, ids binary, vs binary"
-    tiles = settle(rows.repartitionByRange(parts, F.desc("len2"), F.asc("vec_id")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id")).select("vec_id", "v").mapInArrow(_packer(TILE), packed))
+    tiles = settle(rows.repartitionByRange(parts, F.desc("len2"), F.asc("vec_id")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id")).select("vec_id", "v").mapInArrow(lean(_packer(TILE)), packed))
     asked = rows.filter(F.col("vec_id") % every == 0)
-    blocks = settle(asked.repartitionByRange(max(1, -(-n // (every * QUERIES * 4))), F.desc("len2"), F.asc("vec_id")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id")).select("vec_id", "v").mapInArrow(_packer(QUERIES), packed))
+    blocks = settle(asked.repartitionByRange(max(1, -(-n // (every * QUERIES * 4))), F.desc("len2"), F.asc("vec_id")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id")).select("vec_id", "v").mapInArrow(lean(_packer(QUERIES)), packed))
     blocks = blocks.select(F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
 
     head = F.broadcast(tiles.orderBy(F.desc("longest"), "tile").limit(1))  # one tile: TILE vectors
-    seeded = settle(blocks.join(head).mapInArrow(_bounds(k), "block long, q_ids binary, q_vs binary, bounds binary, need double"))
+    seeded = settle(blocks.join(head).mapInArrow(lean(_bounds(k)), "block long, q_ids binary, q_vs binary, bounds binary, need double"))
     reach = seeded.select("block", "need").join(tiles.select("tile", "longest"), F.col("longest") >= F.col("need")).select("block", "tile")
     pairs = reach.join(tiles, "tile").join(seeded, "block").select("q_ids", "q_vs", "bounds", "ids", "vs")
-    found = pairs.mapInArrow(_search(k, turn, HEAD), "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(lean(_search(k, turn, HEAD)), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, id_remainder, settle
+from .common import batches_of, id_remainder, lean, settle
 
 #: Bounds of the labelled sample: documents for the word statistics, and per class for the field and the score.
 LABELLED, PER_CLASS = 12_000, 500
@@ -71,7 +71,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
                 if own:
                     yield pa.RecordBatch.from_pydict({"word": own, "toxic": pa.array([toxic] * len(own), pa.int32()), "sketch": [_sketch(words)] * len(own)})
 
-    seen = texts.select("toxic", "text").mapInArrow(held, "word string, toxic int, sketch long").groupBy("word", "toxic", "sketch").agg(F.lit(1).alias("one"))
+    seen = texts.select("toxic", "text").mapInArrow(lean(held), "word string, toxic int, sketch long").groupBy("word", "toxic", "sketch").agg(F.lit(1).alias("one"))
     counts = seen.groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n")).filter("k >= 3").withColumn("share", F.col("k") / F.col("n"))
     wilson = F.expr("(share + 1.9208 / n - 1.96 * sqrt(share * (1 - share) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)")
     strong = counts.select("word", wilson.alias("low")).filter(F.col("low") >= LEVELS[0])
@@ -83,7 +83,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["toxic", "levels"])
 
     few = texts.filter("toxic = 1").orderBy("u").limit(PER_CLASS).unionByName(texts.filter("toxic = 0").orderBy("u").limit(PER_CLASS))
-    sample = few.select("toxic", "text").mapInArrow(tagged, "toxic int, levels binary").collect()
+    sample = few.select("toxic", "text").mapInArrow(lean(tagged), "toxic int, levels binary").collect()
     seqs = [(r["toxic"], np.frombuffer(r["levels"], np.uint8)) for r in sample]
     if not lexicon or len({y for y, _ in seqs}) < 2:
         return Field({}, np.zeros(len(LEVELS) + 1), np.zeros((2, 2)), np.array([np.log((rate + 1e-3) / (1 - rate + 1e-3)), 0.0, 0.0]), rate)
@@ -243,4 +243,4 @@ def score(docs: DataFrame, field: Field, modulus: int = 3, held_out: int = 1, th
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "held_out", "score", "predicted", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>")
