@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, id_remainder, lean, settle
 
 #: Bounds of the labelled sample: documents for the word statistics, and per class for the field and the score.
-LABELLED, PER_CLASS = 12_000, 500
+LABELLED, PER_CLASS = 12_000, 300
 #: A word's evidence is the lower 95 % Wilson bound of the share of toxic texts among those that hold it.
 LEVELS = (0.3, 0.45, 0.55, 0.65, 0.75, 0.85, 0.92)
 #: From this level on a word in a toxic text is a labelled toxic token. Tokens in a training window.
@@ -97,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     return field
 
 
-def _fit_field(seqs: list[tuple[int, np.ndarray]], rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def _fit_field(seqs: list[tuple[int, np.ndarray]], rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood (L2-penalised, Adam) by forward-backward over windows of WINDOW tokens, all at once."""
     rows, tags = [], []
     for toxic, s in seqs:
@@ -105,7 +105,7 @@ def _fit_field(seqs: list[tuple[int, np.ndarray]], rounds: int = 300) -> tuple[n
             w = s[i : i + WINDOW]
             rows.append(np.pad(w.astype(np.int64), (0, WINDOW - len(w)), constant_values=-1))
             tags.append(np.pad(((w >= TAGGED) & bool(toxic)).astype(np.int64), (0, WINDOW - len(w))))
-    x, y = np.array(rows[:20_000]), np.array(tags[:20_000])
+    x, y = np.array(rows), np.array(tags)
     live, levels = x >= 0, len(LEVELS) + 1
     x = np.maximum(x, 0)
     n = len(x)
