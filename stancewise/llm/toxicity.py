@@ -15,17 +15,20 @@ from .common import batches_of, id_remainder, lean, settle
 
 #: Bounds of the labelled sample: documents for the word statistics, and per class for the field and the score.
 LABELLED, PER_CLASS = 12_000, 300
-#: A word's evidence is the lower 95 % Wilson bound of the share of toxic texts among those that hold it.
+#: A word's (or stem's) evidence is the lower 95 % Wilson bound of the share of toxic texts among those that hold it.
 LEVELS = (0.3, 0.45, 0.55, 0.65, 0.75, 0.85, 0.92)
 #: From this level on a word in a toxic text is a labelled toxic token. Tokens in a training window.
 TAGGED, WINDOW = 3, 64
 
+#: Letters of the stems that count as evidence beside whole words.
+STEMS = (5, 6, 7, 8)
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Field:
-    """lexicon: word -> level (1...). emit[level] is the score of the toxic tag (the clean tag has 0); trans[a, b] the score of
+    """lexicon: word, or stem and an asterisk, -> level (1...). emit[level] is the score of the toxic tag (the clean tag has 0); trans[a, b] the score of
     tag b after a; weights turn the expected tags of a text into its score."""
 
     lexicon: dict[str, int]
@@ -35,9 +38,20 @@ class Field:
     base_rate: float
 
 
-def _levels(text: str, lexicon: dict[str, int]) -> np.ndarray:
-    get = lexicon.get
-    return np.fromiter([get(w.lower(), 0) for w in _WORD.findall(text)], np.uint8)
+def _keys(word: str) -> list[str]:
+    """The word and its stems of STEMS letters, marked with an asterisk."""
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+
+
+def _levels(text: str, lexicon: dict[str, int], begun: frozenset[str]) -> np.ndarray:
+    """The level of every word: the highest of its own and its stems'. begun: the first letters of the lexicon's stems."""
+    get, first = lexicon.get, STEMS[0]
+    words = [w.lower() for w in _WORD.findall(text)]
+    return np.fromiter([max(get(k, 0) for k in _keys(w)) if w[:first] in begun else get(w, 0) for w in words], np.uint8, len(words))
+
+
+def _begun(lexicon: dict[str, int]) -> frozenset[str]:
+    return frozenset(k[: STEMS[0]] for k in lexicon if k.endswith("*"))
 
 
 def _sketch(words: list[str]) -> int:
@@ -63,32 +77,44 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most LABELLED rows
     texts = settle(texts.select("toxic", "u", "text", F.xxhash64("text").alias("same")).dropDuplicates(["same", "toxic"]))
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = [w.lower() for w in _WORD.findall(text)]
-                own = list(set(words))
-                if own:
-                    yield pa.RecordBatch.from_pydict({"word": own, "toxic": pa.array([toxic] * len(own), pa.int32()), "sketch": [_sketch(words)] * len(own)})
-
-    seen = texts.select("toxic", "text").mapInArrow(lean(held), "word string, toxic int, sketch long").groupBy("word", "toxic", "sketch").agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n")).filter("k >= 3").withColumn("share", F.col("k") / F.col("n"))
+    def holding(wanted: frozenset[str] | None):
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    words = [w.lower() for w in _WORD.findall(text)]
+                    own = {k for w in set(words) for k in _keys(w)}
+                    own = list(own if wanted is None else own & wanted)
+                    if own:
+                        yield pa.RecordBatch.from_pydict({"word": own, "toxic": pa.array([toxic] * len(own), pa.int32()), "sketch": [_sketch(words)] * len(own)})
+
+        return held
+
+    def counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+        seen = rows.select("toxic", "text").mapInArrow(lean(holding(wanted)), "word string, toxic int, sketch long").distinct()
+        return seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    toxic_in = counted(texts.filter("toxic = 1"), None).filter("n >= 3").withColumnRenamed("n", "k")
+    toxic_in = settle(toxic_in)
+    wanted = frozenset(r["word"] for r in toxic_in.collect())  # of at most LABELLED texts
+    clean_in = counted(texts.filter("toxic = 0"), wanted).withColumnRenamed("n", "c")
+    counts = toxic_in.join(clean_in, "word", "left").select("word", "k", (F.col("k") + F.coalesce("c", F.lit(0))).alias("n")).withColumn("share", F.col("k") / F.col("n"))
     wilson = F.expr("(share + 1.9208 / n - 1.96 * sqrt(share * (1 - share) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)")
     strong = counts.select("word", wilson.alias("low")).filter(F.col("low") >= LEVELS[0])
-    lexicon = {r["word"]: int(np.searchsorted(LEVELS, r["low"], side="right")) for r in strong.collect()}  # from at most LABELLED texts
+    lexicon = {r["word"]: int(np.searchsorted(LEVELS, r["low"], side="right")) for r in strong.collect()}
+    begun = _begun(lexicon)
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_levels(t, lexicon).tobytes() for t in b.column(1).to_pylist()]
+            got = [_levels(t, lexicon, begun).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["toxic", "levels"])
 
     few = texts.filter("toxic = 1").orderBy("u").limit(PER_CLASS).unionByName(texts.filter("toxic = 0").orderBy("u").limit(PER_CLASS))
     sample = few.select("toxic", "text").mapInArrow(lean(tagged), "toxic int, levels binary").collect()
     seqs = [(r["toxic"], np.frombuffer(r["levels"], np.uint8)) for r in sample]
     if not lexicon or len({y for y, _ in seqs}) < 2:
-        return Field({}, np.zeros(len(LEVELS) + 1), np.zeros((2, 2)), np.array([np.log((rate + 1e-3) / (1 - rate + 1e-3)), 0.0, 0.0]), rate)
+        return Field({}, np.zeros(len(LEVELS) + 1), np.zeros((2, 2)), np.array([np.log((rate + 1e-3) / (1 - rate + 1e-3)), 0.0, 0.0, 0.0]), rate)
     emit, trans = _fit_field(seqs)
-    field = Field(lexicon, emit, trans, np.zeros(3), rate)
+    field = Field(lexicon, emit, trans, np.zeros(4), rate)
     x = _features(field, [s for _, s in seqs])[0]
     y = np.array([y for y, _ in seqs], float)
     field.weights = _logistic(x, y)
@@ -150,7 +176,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _features(field: Field, seqs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Per text: 1, log(1 + expected toxic tags), probability that any tag is toxic; and the marginals of its lexicon words.
+    """Per text: 1, log(1 + expected toxic tags), probability that any tag is toxic, expected tags up to 2; and the marginals of its lexicon words.
 
     Forward-backward is exact over the whole text: runs of words outside the lexicon share one matrix, whose powers come
     from its two eigenvalues, so only lexicon words take a step.
@@ -213,7 +239,7 @@ def _features(field: Field, seqs: list[np.ndarray]) -> tuple[np.ndarray, list[np
         marginals = [np.zeros(0)] * d
     clean = np.maximum(lengths - 1, 0) * field.trans[0, 0]
     none = np.where(live.any(1) if most else False, np.exp(np.minimum(clean - log_z, 0)), 1.0)
-    return np.stack([np.ones(d), np.log1p(expected), 1 - none], 1), marginals
+    return np.stack([np.ones(d), np.log1p(expected), 1 - none, np.minimum(expected, 2)], 1), marginals
 
 
 def score(docs: DataFrame, field: Field, modulus: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
@@ -226,6 +252,8 @@ def score(docs: DataFrame, field: Field, modulus: int = 3, held_out: int = 1, th
     batches_of(docs.sparkSession, 1000)
     rows = docs.select("doc_id", (id_remainder("doc_id", modulus) == held_out).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
+    begun = _begun(field.lexicon)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
         for b in batches:
@@ -233,7 +261,7 @@ def score(docs: DataFrame, field: Field, modulus: int = 3, held_out: int = 1, th
             scores, spans = [], []
             for lo in range(0, len(texts), 200):
                 some = texts[lo : lo + 200]
-                seqs = [_levels(t, field.lexicon) for t in some]
+                seqs = [_levels(t, field.lexicon, begun) for t in some]
                 x, marginals = _features(field, seqs)
                 scores.append(1 / (1 + np.exp(-x @ field.weights)))
                 for t, s, q in zip(some, seqs, marginals, strict=True):
