@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, id_remainder, lean
+from .common import batches_of, broadcast_if, id_remainder, lean, settle
 
 #: Bounds of the labelled sample: documents and characters per language, and the document lengths that qualify.
 SAMPLE_DOCS, SAMPLE_CHARS, SHORTEST, LONGEST = 96, 32_000, 40, 8_000
@@ -30,7 +30,8 @@ def labelled_sample(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> dic
     rows = docs.filter(F.col("lang").isNotNull() & (id_remainder("doc_id", modulus) != held_out))
     fit = rows.filter(F.length("text").between(SHORTEST, LONGEST))
     u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    share = fit.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("share"))
+    share = settle(fit.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("share")))
+    share = broadcast_if(share, share.count(), 100_000)  # a row per language; without the hint all labelled texts would be shuffled
     near = fit.join(share, "lang").filter(u < F.col("share")).withColumn("u", u)
     ranked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("u", "doc_id", "text"))).filter(F.col("k") <= SAMPLE_DOCS)
     out: dict[str, list[str]] = {}
