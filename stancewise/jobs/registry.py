@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.config import FIXTURE, Regimes
 from ..functions.patterns import cue_pattern, keyword_pattern, term_pattern
 from ..functions.text import normalise, tokens, truncated
-from ..operators import agreement, index, panel, paragraphs, scoring, similarity
+from ..operators import agreement, index, panel, paragraphs, scoring, similarity, topics
 from ..sources import tables
 
 REGIMES = Regimes()
@@ -424,3 +424,111 @@ def scored_paragraphs(spark, sf):
 @query(f"WITH {PARA} SELECT count(*) AS n, count(*) // 10 AS calls, count(*) // 10 * 350 + count(*) * 120 AS tokens_in, count(*) * 30 AS tokens_out, round((count(*) // 10 * 350 + count(*) * 120) * 0.15 / 1e6 + count(*) * 30 * 0.6 / 1e6, 6) AS usd FROM para WHERE is_fiscal")
 def cost_estimate(spark, sf):
     return scoring.cost(_paras(spark, sf).filter("is_fiscal"))
+
+
+@query(ORACLES["w1_matches"])
+def matches_by_helper(spark, sf):
+    hits = paragraphs.matches_by_helper(_paras(spark, sf), FIXTURE)
+    return hits.groupBy("speech_id", "para_idx", "direction", "term", "negated").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def fallback_rates(spark, sf):
+    return scoring.fallback_rates(scored_paragraphs(spark, sf))
+
+
+# distributions
+@query(f"WITH {SPEECH}, s AS (SELECT president, CAST({WORDS} AS DOUBLE) AS x FROM sp), b AS (SELECT president, min(x) AS a, max(x) AS z FROM s GROUP BY 1), p AS (SELECT president, a, (z - a) / 40 AS width, CAST(CASE WHEN z > a THEN least(floor((x - a) * 40 / (z - a)), 39) ELSE 0 END AS INTEGER) AS bin FROM s JOIN b USING (president)) SELECT president, bin, round(a + width * bin, 6) AS lo, round(a + width * (bin + 1), 6) AS hi, count(*) AS n FROM p GROUP BY president, bin, a, width")
+def word_histogram(spark, sf):
+    return _r(agreement.histogram(_sized(spark, sf), "president", "n_words", 40), "lo", "hi")
+
+
+@query(f"WITH {SPEECH}, s AS (SELECT president, CAST({WORDS} AS DOUBLE) AS n_words FROM sp) SELECT president, round(quantile_cont(n_words, 0.25), 6) AS q1, round(quantile_cont(n_words, 0.5), 6) AS q2, round(quantile_cont(n_words, 0.75), 6) AS q3 FROM s GROUP BY president")
+def word_quartiles(spark, sf):
+    q = F.percentile("n_words", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return _sized(spark, sf).groupBy("president").agg(q.alias("q")).select("president", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+
+
+BANDS = [-1.0, 0.0, 0.1, 0.2, 0.3, 0.5, 1.1]
+BAND_ROWS = ", ".join(f"(CAST({a} AS DOUBLE), CAST({z} AS DOUBLE))" for a, z in zip(BANDS, BANDS[1:], strict=False))
+
+
+@query(f"WITH {SIMS}, b(lo, hi) AS (VALUES {BAND_ROWS}) SELECT lo, hi, count(*) AS n, count(*) FILTER (label = 0) AS n_hit, round(avg(CAST(label = 0 AS DOUBLE)), 6) AS rate FROM e JOIN b ON similarity >= lo AND similarity < hi GROUP BY lo, hi")
+def band_rates(spark, sf):
+    return _r(agreement.band_rates(_similar(spark, sf).withColumn("flag", F.col("label") == 0), "similarity", "flag", BANDS), "rate")
+
+
+@query(f"WITH {ORDERS} SELECT president, count(*) AS n, count(*) FILTER (score = 1) AS pos, count(*) FILTER (score = 0) AS neutral, count(*) FILTER (score = -1) AS neg, round(100.0 * count(*) FILTER (score = 1) / count(*), 6) AS pct_pos, round(100.0 * count(*) FILTER (score = -1) / count(*), 6) AS pct_neg FROM o GROUP BY president")
+def score_distribution(spark, sf):
+    at = lambda k: F.count_if(F.col("score") == k)
+    out = _order_scores(spark, sf).groupBy("president").agg(F.count(F.lit(1)).alias("n"), at(1).alias("pos"), at(0).alias("neutral"), at(-1).alias("neg"))
+    return _r(out.withColumns({f"pct_{c}": 100.0 * F.col(c) / F.col("n") for c in ("pos", "neg")}), "pct_pos", "pct_neg")
+
+
+@query(f"WITH {OMONTH} SELECT year_month, president, round(H_t / CAST(n_fiscal_paras AS DOUBLE), 6) AS pos_share, round(-D_t / CAST(n_fiscal_paras AS DOUBLE), 6) AS neg_share FROM os WHERE n_fiscal_paras > 0")
+def vote_shares(spark, sf):
+    share = lambda c: F.col(c) / F.col("n_fiscal_paras")
+    return _r(_order_months(spark, sf).filter("n_fiscal_paras > 0").select("year_month", "president", share("H_t").alias("pos_share"), (-share("D_t")).alias("neg_share")), "pos_share", "neg_share")
+
+
+@query(f"WITH {PANEL}, q AS (SELECT round(signal_main, 9) AS a, round(signal_dictionary, 9) AS b FROM pan WHERE NOT is_zero_fill), k AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM q WHERE a IS NOT NULL AND b IS NOT NULL) SELECT count(*) AS n, round(corr(a, b), 4) AS pearson, round(corr(ra, rb), 4) AS spearman FROM k")
+def panel_correlations(spark, sf):
+    rows = _panel(spark, sf).filter("NOT is_zero_fill").select(*[F.round(c, 9).alias(c) for c in ("signal_main", "signal_dictionary")])
+    return panel.correlations(rows, "signal_main", "signal_dictionary").withColumns({c: F.round(c, 4) for c in ("pearson", "spearman")})
+
+
+@query(f"WITH {PAIRS} SELECT human * model = -1 AS disagrees, count(*) AS n, round(avg(CAST(human = model AS DOUBLE)), 6) AS accuracy FROM pr GROUP BY 1")
+def accuracy_by_disagreement(spark, sf):
+    p = _pairs(spark, sf).groupBy((F.col("human") * F.col("model") == -1).alias("disagrees"))
+    return _r(p.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("human") == F.col("model")).cast("double")).alias("accuracy")), "accuracy")
+
+
+@query(f"WITH {PAIRS} SELECT human, " + ", ".join(f"count(*) FILTER (president = '{g}') AS {g}" for g in REGIMES.kept) + " FROM pr GROUP BY human")
+def sampling_pool(spark, sf):
+    return _pairs(spark, sf).groupBy("human").agg(*[F.count_if(F.col("president") == g).alias(g) for g in REGIMES.kept])
+
+
+@query(None)
+def label_sheet(spark, sf):
+    """The sheet of the sample; its text is looked up for the sampled ids only."""
+    texts = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("speech_id"), "text")
+    return agreement.label_sheet(texts.join(stratified_sample(spark, sf), "speech_id"), "speech_id", "text")
+
+
+# topics
+def _token_paras(spark, sf):
+    return _paras(spark, sf).select("speech_id", "para_idx", "president", "is_fiscal", tokens(F.col("text_norm"), 3).alias("tokens"))
+
+
+def _topic_model(spark, sf, k=8):
+    paras = _token_paras(spark, sf)
+    bag = topics.vectorizer(topics.vocabulary(paras))
+    bags = bag.transform(paras)
+    return topics.train(bags, k), bags, bag.vocabulary
+
+
+@query(f"WITH {PARA}, t AS (SELECT unnest(list_distinct(list_filter(string_split(text_norm, ' '), lambda w: length(w) >= 3))) AS word FROM para) SELECT word, count(*) AS df FROM t GROUP BY word HAVING count(*) >= 5 AND count(*) <= 0.55 * (SELECT count(*) FROM para)")
+def vocabulary(spark, sf):
+    return topics.vocabulary(_token_paras(spark, sf))
+
+
+@query(None)
+def topic_words(spark, sf):
+    model, _, words = _topic_model(spark, sf)
+    return topics.top_words(model, words)
+
+
+@query(None)
+def topic_overlap(spark, sf):
+    """Per group: paragraphs that keyword and topic flags pick, either alone, and the share above the topic threshold."""
+    model, bags, _ = _topic_model(spark, sf)
+    rows = topics.with_topics(model, bags, {"fiscal_topic_prob": [0, 1]})
+    by_topic, by_word = F.col("fiscal_topic_prob") >= 0.15, F.col("is_fiscal")
+    return rows.groupBy("president").agg(F.count_if(by_topic & by_word).alias("both"), F.count_if(~by_topic & by_word).alias("only_keyword"), F.count_if(by_topic & ~by_word).alias("only_topic"), F.avg((F.col("fiscal_topic_prob") >= 0.25).cast("double")).alias("share"))
+
+
+@query(None)
+def topic_grid(spark, sf):
+    paras = _token_paras(spark, sf)
+    bag = topics.vectorizer(topics.vocabulary(paras))
+    return topics.grid(bag.transform(paras), bag.vocabulary, [4, 8])

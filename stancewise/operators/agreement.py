@@ -86,3 +86,30 @@ def stratified_sample(df: DataFrame, cls: str, group: str, disagrees: str, key:
     table = df.sparkSession.createDataFrame(quotas, T.StructType([*df.select(cls, group).schema.fields, T.StructField("__quota", T.IntegerType())]))
     ranked = rest.withColumn("__k", F.row_number().over(W.partitionBy(cls, group).orderBy(order, key))).filter(F.col("__k") <= per_class)
     return odd.unionByName(ranked.join(F.broadcast(table), [cls, group]).filter("__k <= __quota").drop("__k", "__quota"))
+
+
+def band_rates(df: DataFrame, score: str, flag: str, edges: list[float]) -> DataFrame:
+    """lo, hi, n, n_hit, rate of rows whose score lies in [lo, hi), for neighbouring edges. Scores outside every band go."""
+    band = F.coalesce(*[F.when((F.col(score) >= lo) & (F.col(score) < hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for lo, hi in zip(edges, edges[1:], strict=False)])
+    out = df.select(band.alias("b"), F.col(flag).alias("f")).filter("b IS NOT NULL").groupBy(F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if("f").alias("n_hit"), F.avg(F.col("f").cast("double")).alias("rate"))
+
+
+def histogram(df: DataFrame, by: str, column: str, bins: int = 40) -> DataFrame:
+    """by, bin (from 0), lo, hi, n: equal widths between a group's least and largest value; the last bin holds the largest.
+
+    The bounds are one row per group; values are counted before they meet them, so a group of many rows is many partial counts.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(by, F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    bounds = counts.groupBy(F.col(by).alias("__by")).agg(F.min("x").alias("a"), F.max("x").alias("z"))
+    joined = counts.join(bounds, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    place = F.when(F.col("z") > F.col("a"), F.least(F.floor((F.col("x") - F.col("a")) * bins / (F.col("z") - F.col("a"))), F.lit(bins - 1))).otherwise(0).cast("int")
+    width = (F.col("z") - F.col("a")) / bins
+    out = joined.groupBy(by, place.alias("bin"), "a", width.alias("width")).agg(F.sum("n").alias("n"))
+    return out.select(by, "bin", (F.col("a") + F.col("width") * F.col("bin")).alias("lo"), (F.col("a") + F.col("width") * (F.col("bin") + 1)).alias("hi"), "n")
+
+
+def label_sheet(sample: DataFrame, key: str, text: str, seed: str = "42") -> DataFrame:
+    """item_no (from 1, in the order of md5(seed, key)), text, blank score and notes of a sample: nothing tells the model's label."""
+    order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+    return sample.select(F.row_number().over(W.orderBy(order, key)).alias("item_no"), F.col(text).alias("text"), F.lit(None).cast("int").alias("score"), F.lit("").alias("notes"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +52,31 @@ def with_matches(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
     return paras.withColumn("matches", F.when(text.rlike(any_term), F.flatten(F.transform(present, hits))).otherwise(none))
 
 
+def matches_by_helper(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """speech_id, para_idx, direction, term, negated: the matches of with_matches from an Arrow helper, to check it against."""
+    terms = [(d, t, re.compile(term_pattern(t), re.A)) for d, ts in (("pos", lexicon.positive), ("neg", lexicon.negative)) for t in ts]
+    strong, gated, weak = (re.compile(cue_pattern(c), re.A) for c in (lexicon.strong, lexicon.gated, lexicon.weak))
+
+    def negated(before: str, direction: str) -> bool:
+        words = before.split()
+        far, near = " ".join(words[-lexicon.strong_window :]), " ".join(words[-lexicon.weak_window :])
+        return bool(strong.search(far) or (direction == "neg" and gated.search(far)) or weak.search(near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [
+                (sid, k, d, t, negated(text[: m.start()], d))
+                for sid, k, text in zip(*(c.to_pylist() for c in b.columns), strict=True)
+                for d, t, pattern in terms
+                for m in pattern.finditer(text)
+            ]
+            names = ["speech_id", "para_idx", "direction", "term", "negated"]
+            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names)
+
+    return paras.select("speech_id", "para_idx", "text_norm").mapInArrow(run, "speech_id long, para_idx int, direction string, term string, negated boolean")
+
+
 def with_votes(matched: DataFrame) -> DataFrame:
     """Adds pos_hits, neg_hits, pos_negated, neg_negated, has_pos, has_neg and the distinct accepted and negated terms."""
     one = lambda d, n: F.filter("matches", lambda m: (m["direction"] == d) & (m["negated"] == F.lit(n)))
