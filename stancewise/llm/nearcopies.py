@@ -20,8 +20,10 @@ SAMPLES = BANDS * ROWS
 CELLS, GAIN = 1 << 18, 0.1
 #: Random variables of the sampling are shared by features with the same low bits.
 DRAWS = 1 << 14
-#: Bands of the first pass. In the second, buckets of up to SMALL texts compare all pairs, larger ones with LEADERS of theirs.
-FIRST, SMALL, LEADERS = 4, 24, 4
+#: Bands of the first pass. In the second, nodes meet LEADERS of their bucket in turn, which joins what is alike at little cost.
+FIRST, LEADERS = 4, 2
+#: Texts in a tile: in the last pass, tile against tile, all pairs of a bucket that are still of different components are compared.
+TILE = 512
 #: Candidate texts whose ids are broadcast to pick their rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Candidate pairs whose signatures agree in less than this share are not verified (4 standard errors below SIMILAR).
@@ -220,6 +222,47 @@ def _with_leaders(held: DataFrame, open_: DataFrame, nodes: DataFrame) -> DataFr
     return met.join(samples, "node").filter(_alike("samples", "lead")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
+def _unmet(held: DataFrame, open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All hopeful pairs (a < b) of nodes that share a bucket and are of different components, each from the first band they share.
+
+    The nodes of a bucket are dealt into tiles of about TILE; every tile meets every tile in one row, so a large bucket spreads over
+    the tasks, and pairs without hope never become rows.
+    """
+    batches_of(held.sparkSession, 8)
+    spread = open_.select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    rows = held.join(spread, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).join(nodes.select("node", "bands", "samples"), "node")
+    tiles = settle(rows.groupBy("band", "key", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "label", "bands", "samples")).alias("held")))
+    one = tiles.select("band", "key", "tile", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("with"), F.col("held").alias("x"))
+    both = one.join(tiles.select("band", "key", F.col("tile").alias("with"), F.col("held").alias("y")), ["band", "key", "with"]).select("band", "x", "y", (F.col("tile") == F.col("with")).alias("same"))
+    out = settle(both.mapInArrow(lean(_met), "a long, b long"))
+    batches_of(held.sparkSession, 500)
+    return out
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(held: pa.ListScalar) -> list[np.ndarray]:
+        node, label, bands, samples = held.values.flatten()
+        return [node.to_numpy(), label.to_numpy(), bands.flatten().to_numpy().reshape(-1, BANDS), samples.flatten().to_numpy().reshape(-1, SAMPLES)]
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            band = batch.column(0)[i].as_py()
+            (n1, l1, b1, s1), (n2, l2, b2, s2) = columns(batch.column(1)[i]), columns(batch.column(2)[i])
+            unmet = l1[:, None] != l2[None, :]
+            if batch.column(3)[i].as_py():
+                unmet = np.triu(unmet, 1)
+            for k in range(band):
+                unmet &= b1[:, k, None] != b2[None, :, k]
+            if not unmet.any():
+                continue
+            agree = np.zeros(unmet.shape, np.int16)
+            for k in range(SAMPLES):
+                agree += s1[:, k, None] == s2[None, :, k]
+            x, y = np.nonzero(unmet & (agree >= int(HOPELESS * SAMPLES)))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n1[x], n2[y])), pa.array(np.maximum(n1[x], n2[y]))], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, n_links, kept.
 
@@ -227,10 +270,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its count times a mild inverse document frequency (see inverse_frequencies). Texts with the same shingles are one node from
     the start. Each node's consistent weighted samples fall into bands; nodes that share a band are candidates. First, in FIRST of
     the bands, every node of a bucket meets the bucket's least node; then, in all buckets that still hold several components,
-    small ones compare all pairs across components and large ones every node with a leader of the bucket, if it is of another
-    component; the leader differs between bands, and LEADERS times a new one is drawn for the components as they then are. A pair of
-    similarity 0.8 shares 8 of 16 bands on average and none with probability 1e-5, so a link that one large bucket leaves out
-    is met in others. Every link is verified on the whole texts. n_links counts the verified links of a document's text.
+    LEADERS times every node meets a leader of the bucket, if it is of another component; the leader differs between bands. Last,
+    every pair of a bucket of any size that is still of different components is compared, so no candidate is left out (see
+    _unmet). A pair of similarity 0.8 shares 8 of 16 bands on average and none with probability 1e-5. Every link is verified on
+    the whole texts. n_links counts the verified links of a document's text.
 
     A text without words is alone in its class, as is a null one. Of equal ids, rows repeat; exactly one row of a class is kept,
     that of the least id (null ids last). An empty table gives an empty result; extra columns are ignored.
@@ -248,15 +291,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = shared.filter(f"band < {FIRST} AND node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(docs, nodes, _hopeful(first, nodes), idf)
     labels, tried = components(links), settle(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    for turn in range(LEADERS):
-        held = settle(shared.join(labels, "node", "left").select("band", "key", "n", "node", F.coalesce("label", "node").alias("label")))
+    for turn in range(LEADERS + 1):
+        held = settle(shared.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label")))
         leader = F.min_by(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(turn))).alias("leader")
-        open_ = settle(held.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader).filter("lo <> hi").drop("lo", "hi"))
-        pairs = _with_leaders(held.filter(F.col("n") > SMALL), open_, nodes)
-        if not turn:
-            two = settle(held.filter(F.col("n") <= SMALL).join(open_, ["band", "key"]).select("band", "key", F.col("node").alias("a"), F.col("label").alias("la")))
-            close = two.join(two.select("band", "key", F.col("a").alias("b"), F.col("la").alias("lb")), ["band", "key"]).filter("a < b AND la <> lb").select("a", "b")
-            pairs = pairs.unionByName(_hopeful(close.distinct(), nodes))
+        open_ = settle(held.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), leader).filter("lo <> hi").drop("lo", "hi"))
+        pairs = _with_leaders(held, open_, nodes) if turn < LEADERS else _unmet(held, open_, nodes)
         pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             continue

@@ -378,6 +378,19 @@ def test_near_duplicates_finds_planted_copies(spark):
     assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got.values())
 
 
+def test_near_duplicates_in_one_template(spark):
+    """500 texts of one template (similarity 0.76, no link) with 40 planted pairs of 0.82: all in the same large buckets."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(204)]
+    rows = [(n, [*common, *(word() for _ in range(28))]) for n in range(460)]
+    rows += [(460 + n, [*rows[n * 11][1][:-20], *(word() for _ in range(20))]) for n in range(40)]
+    rows = [(n, " ".join(words)) for n, words in rows]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.79 and all(jaccard(rows[n * 11][1], rows[460 + n][1]) > 0.83 for n in range(40))
+    got = {x["doc_id"]: (x["class_id"], x["class_size"]) for x in nearcopies.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {n: (n, 1) for n in range(460)} | {m: (n * 11, 2) for n in range(40) for m in (n * 11, 460 + n)}
+
+
 def test_near_duplicates_against_all_pairs(spark, docs):
     texts = {x["doc_id"]: x["text"] or "" for x in docs.collect()}
     got = {x["doc_id"]: x["class_id"] for x in nearcopies.near_duplicates(docs).collect()}
