@@ -17,18 +17,18 @@ TILE, QUERIES, HEAD = 2048, 256, 16
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """vec_id, v (array<long> of floor(scale * x)), len2; one row per id.
+    """vec_id, v (array<long> of floor(scale * x)), len2, row (a number of its own); one row per row.
 
-    Rows with a null id, a null or empty vector, or a null, NaN or infinite component take no part, nor do vectors of
-    another than the most frequent dimension. Of rows that repeat an id the smallest vector stays.
+    Rows with a null id, a null or empty vector, or a null, NaN or infinite component take no part. Vectors shorter than the
+    longest are padded with zeros, so that two vectors multiply over the dimensions that both have.
     """
     v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
     bad = F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & ~F.coalesce(bad, F.lit(True))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = dims["dim"] if dims else 0
-    return rows.filter(F.size("v") == dim).withColumn("len2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
+    dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v")))
+    return rows.withColumn("v", padded).withColumn("len2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
 
 
 def _rows(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
@@ -90,8 +90,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other vectors.
 
-    Queries are the ids divisible by ``every``. Vectors are range-partitioned by descending length (ties by id, so one
-    very common vector still spreads) and packed into tiles; queries are packed into blocks. First each block meets the
+    Queries are the rows whose id is divisible by ``every``; rows of one query id rank together, and no row of that id is a
+    candidate. Vectors are range-partitioned by descending length (ties by id and row, so one very common vector still spreads) and packed into tiles; queries are packed into blocks. First each block meets the
     tile of longest vectors, which gives every query a lower bound for its k-th score. Then a block meets only tiles
     whose longest vector can still reach some bound (|q||v| >= bound). Inside a pair both are rotated by the right singular
     vectors of the table; the partial product over the first HEAD coordinates plus the product of the residual lengths
@@ -110,9 +110,9 @@ def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col
     turn = _rotation(rows)
     parts = max(1, -(-n // (4 * TILE)))
     packed = "tile long, longest double, ids binary, vs binary"
-    tiles = settle(rows.repartitionByRange(parts, F.desc("len2"), F.asc("vec_id")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id")).select("vec_id", "v").mapInArrow(lean(_packer(TILE)), packed))
+    tiles = settle(rows.repartitionByRange(parts, F.desc("len2"), F.asc("vec_id"), F.asc("row")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id"), F.asc("row")).select("vec_id", "v").mapInArrow(lean(_packer(TILE)), packed))
     asked = rows.filter(F.col("vec_id") % every == 0)
-    blocks = settle(asked.repartitionByRange(max(1, -(-n // (every * QUERIES * 4))), F.desc("len2"), F.asc("vec_id")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id")).select("vec_id", "v").mapInArrow(lean(_packer(QUERIES)), packed))
+    blocks = settle(asked.repartitionByRange(max(1, -(-n // (every * QUERIES * 4))), F.desc("len2"), F.asc("vec_id"), F.asc("row")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id"), F.asc("row")).select("vec_id", "v").mapInArrow(lean(_packer(QUERIES)), packed))
     blocks = blocks.select(F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
 
     head = F.broadcast(tiles.orderBy(F.desc("longest"), "tile").limit(1))  # one tile: TILE vectors

@@ -61,6 +61,17 @@ def test_top_k_matches_brute_force_with_ties(spark):
     assert {tuple(x) for x in got.collect()} == brute_top_k(exact, 5, 50)
 
 
+def test_top_k_keeps_repeated_ids_and_other_dimensions(spark):
+    r = random.Random(8)
+    rows = [(i % 60, [float(r.randint(-9, 9)) for _ in range(r.choice((8, 8, 5, 11)))]) for i in range(200)] + [(7, [9.0] * 8)] * 3
+    want = set()
+    for q in (0, 50):
+        scores = sorted((-sum(int(a * b) << 16 for a, b in zip(v, w, strict=False)), c) for i, v in rows if i == q for c, w in rows if c != q)
+        want |= {(q, n, c, -s) for n, (s, c) in enumerate(scores[:5], 1)}
+    got = topk.top_k_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_top_k_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk.top_k_inner_products(frame).collect()] == [(0, 1, 1, 256 * 512)]
