@@ -10,8 +10,8 @@ from .common import WORD, null_safe_join, settle
 
 #: Tokens in a block, slots in an output shard, cells of the unit interval by which slots find their source.
 BLOCK, SHARD, CELLS = 128, 65_536, 4096
-#: Rows of a bucket, within which one task numbers documents.
-BUCKET = 4_000
+#: Rows of a bucket, within which one task numbers documents; slots of a run, within which one task numbers draws.
+BUCKET, RUN = 4_000, 1024
 
 
 def _targets(totals: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -49,20 +49,9 @@ def _permuted(j: Column, n: Column, key: Column) -> Column:
     return x
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size (words), source_size, target, taken.
-
-    Each source's words, laid end to end, are cut into blocks of BLOCK words. The output is shards of SHARD slots of one
-    block; each slot draws its source (so a shard's counts are multinomial), the running count of a source over the shards
-    is its slot index, and slot j of a source reads block perm(j mod n) of its n blocks, epoch j div n. Blocks beyond
-    a source's quota (its target in blocks) are left out and what is missing fills a closing shard, so a source's taken
-    words meet its target within a block and no block is read more than ``most`` times. Blocks are joined by index.
-
-    A hot source is numbered in buckets of about BUCKET documents and its blocks spread by (source, block). All draws are
-    hashes of the seed, so reruns agree. Null or empty text has size 0 and is never taken; null sources are one
-    source, last in order; repeated rows count each; extra columns are ignored; an empty table gives an empty result.
-    """
-    sizes = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+def _laid(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str, text: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents with the index of their first word in their source, and the slots that read a block (see mixed_blocks)."""
+    sizes = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(text_col).alias("text")] if text else [])))
     buckets = max(16, min(100_000, -(-sizes.count() // BUCKET)))
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(buckets))
     sizes = sizes.withColumn("bucket", spread)
@@ -77,40 +66,83 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     targets = settle(targets.withColumn("upto", F.sum("target").over(W.orderBy(F.col("source").asc_nulls_last())) / F.nullif(F.sum("target").over(W.partitionBy()), F.lit(0.0))))
     slots = targets.agg(F.sum("quota")).first()[0] or 0
 
-    draws = _slots_by_source(targets, int(slots), seed)
-    running = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    drawn = draws.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    closing = draws.groupBy("source").agg(F.sum("n").alias("start"))
+    held = ["text"] if text else []
+    inside = W.partitionBy("source", "bucket").orderBy("doc_id", "size", *([F.xxhash64("text")] if text else [])).rowsBetween(W.unboundedPreceding, -1)
+    placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = null_safe_join(placed, per_bucket.select("source", "bucket", "base"), ["source", "bucket"]).select("doc_id", "source", "size", *held, (F.col("base") + F.col("inner")).alias("first"))
+    placed = null_safe_join(placed, targets.select("source", "source_size", "target"), ["source"]).select("doc_id", "source", "size", *held, "source_size", "target", "first")
+    return settle(placed), _slots(targets, int(slots), seed)
+
+
+def _slots(targets: DataFrame, slots: int, seed: int) -> DataFrame:
+    """shard, slot, source, block: a row per slot, in the shard that drew it."""
+    drawn = _drawn(targets, slots, seed).withColumn("run", F.expr(f"slot div {RUN}"))
+    counts = settle(drawn.groupBy("run", "source").agg(F.count(F.lit(1)).alias("n")))
+    running = W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
+    nth = F.row_number().over(W.partitionBy("run", "source").orderBy("slot")) - 1
+    numbered = null_safe_join(drawn.withColumn("nth", nth), starts, ["run", "source"]).select("slot", "source", (F.col("start") + F.col("nth")).alias("j"))
     quotas = targets.select("source", "quota", "blocks")
-    held = null_safe_join(drawn, quotas, ["source"]).select("source", "blocks", "start", F.least(F.col("start") + F.col("n"), "quota").alias("stop"))
-    missing = null_safe_join(quotas, closing, ["source"], "left").select("source", "blocks", F.coalesce("start", F.lit(0)).alias("start"), F.col("quota").alias("stop"))
+    held = null_safe_join(numbered, quotas, ["source"]).filter("j < quota").select("slot", "source", "blocks", "j")
+    closing = null_safe_join(quotas, counts.groupBy("source").agg(F.sum("n").alias("start")), ["source"], "left").withColumn("start", F.coalesce("start", F.lit(0))).filter("quota > start")
+    ahead = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    closing = closing.withColumn("at", F.lit(-(-slots // SHARD) * SHARD) + F.coalesce(F.sum(F.col("quota") - F.col("start")).over(ahead), F.lit(0)))
     #: runs of at most SHARD slots, so that no row unfolds without bound
-    runs = held.unionByName(missing).filter("stop > start").withColumn("from", F.explode(F.sequence(F.col("start"), F.col("stop") - 1, F.lit(SHARD).cast("long"))))
-    slot = runs.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SHARD, F.col("stop")) - 1)))
+    closing = closing.withColumn("from", F.explode(F.sequence(F.col("start"), F.col("quota") - 1, F.lit(SHARD).cast("long"))))
+    closing = closing.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SHARD, F.col("quota")) - 1)))
+    slot = held.unionByName(closing.select((F.col("at") + F.col("j") - F.col("start")).alias("slot"), "source", "blocks", "j"))
     key = F.xxhash64(F.coalesce("source", F.lit("\0null")), F.lit(seed), F.floor(F.col("j") / F.col("blocks")))
-    reads = slot.select("source", _permuted(F.col("j") % F.col("blocks"), F.col("blocks"), key).alias("block")).groupBy("source", "block").agg(F.count(F.lit(1)).alias("reads"))
+    return slot.select(F.expr(f"slot div {SHARD}").alias("shard"), "slot", "source", _permuted(F.col("j") % F.col("blocks"), F.col("blocks"), key).alias("block"))
 
-    inside = W.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = null_safe_join(placed, per_bucket.select("source", "bucket", "base"), ["source", "bucket"]).select("doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("first"))
-    placed = null_safe_join(placed, targets.select("source", "source_size", "target"), ["source"]).select("doc_id", "source", "size", "source_size", "target", "first")
-    placed = settle(placed)
+
+def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix: shard, slot, source, block, doc_id, start, words, text; a row per piece of a document in the block of a slot.
+
+    A piece is ``words`` words of its document from word ``start`` on, with one space between; the pieces of a slot, joined by the
+    index of its block, are a block of BLOCK words (fewer in the last one of a source). See ``mix`` for how slots are dealt.
+    """
+    placed, slots = _laid(docs, weights, share, most, seed, id_col, text_col, source_col, True)
+    at = lambda b: F.greatest("first", b * BLOCK)
+    size = lambda b: F.least(F.col("first") + F.col("size"), (b + 1) * BLOCK) - at(b)
+    piece = lambda w, b: F.struct(b.alias("block"), (at(b) - F.col("first")).alias("start"), size(b).alias("words"), F.array_join(F.slice(w, (at(b) - F.col("first") + 1).cast("int"), size(b).cast("int")), " ").alias("text"))
+    blocks = F.expr(f"sequence(first div {BLOCK}, (first + size - 1) div {BLOCK})")
+    #: the words are bound by the outer lambda, so that a text is split once and not for each piece
+    pieces = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), lambda w: F.transform(blocks, lambda b: piece(w, b)))
+    parts = placed.filter("size > 0").select("doc_id", "source", F.explode(F.element_at(pieces, 1)).alias("p")).select("doc_id", "source", "p.*")
+    return null_safe_join(slots, parts, ["source", "block"]).select("shard", "slot", "source", "block", "doc_id", "start", "words", "text")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size (words), source_size, target, taken.
+
+    Each source's words, laid end to end, are cut into blocks of BLOCK words. The output is shards of SHARD slots of one
+    block; each slot draws its source (so a shard's counts are multinomial), the running count of a source over the shards
+    is its slot index, and slot j of a source reads block perm(j mod n) of its n blocks, epoch j div n. Blocks beyond
+    a source's quota (its target in blocks) are left out and what is missing fills a closing shard, so a source's taken
+    words meet its target within a block and no block is read more than ``most`` times. Blocks are joined by index. ``mixed_blocks``
+    gives the mix itself; here the words of the dealt slots are summed per document.
+
+    A hot source is numbered in buckets of about BUCKET documents and its blocks spread by (source, block). All draws are
+    hashes of the seed, so reruns agree. Null or empty text has size 0 and is never taken; null sources are one
+    source, last in order; repeated rows count each; extra columns are ignored; an empty table gives an empty result.
+    """
+    placed, slots = _laid(docs, weights, share, most, seed, id_col, text_col, source_col, False)
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + size - 1) div {BLOCK})")))
     parts = parts.withColumn("words", F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("first", F.col("block") * BLOCK))
-    taken = null_safe_join(parts, reads, ["source", "block"], "left").groupBy("doc_id", "source", "size", "source_size", "target", "first").agg(F.coalesce(F.sum(F.col("words") * F.col("reads")), F.lit(0)).cast("long").alias("taken")).drop("first")
+    taken = null_safe_join(parts, slots, ["source", "block"], "left").groupBy("doc_id", "source", "size", "source_size", "target", "first").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken")).drop("first")
     return taken.unionByName(placed.filter("size = 0").drop("first").withColumn("taken", F.lit(0).cast("long")))
 
 
-def _slots_by_source(targets: DataFrame, slots: int, seed: int) -> DataFrame:
-    """shard, source, n: how many slots of each shard drew each source."""
+def _drawn(targets: DataFrame, slots: int, seed: int) -> DataFrame:
+    """slot, source: the source that each slot drew."""
     spark = targets.sparkSession
     u = (F.pmod(F.xxhash64("slot", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    slot = spark.range(slots).select(F.col("id").alias("slot")).select(F.expr(f"slot div {SHARD}").alias("shard"), u).withColumn("cell", F.floor(F.col("u") * CELLS))
+    slot = spark.range(slots).select(F.col("id").alias("slot")).select("slot", u).withColumn("cell", F.floor(F.col("u") * CELLS))
     lower = F.coalesce(F.lag("upto").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0.0))
     last = F.lead("upto").over(W.orderBy(F.col("source").asc_nulls_last())).isNull()
     pieces = targets.filter("upto is not null").withColumn("lower", lower).withColumn("upper", F.when(last, 2.0).otherwise(F.col("upto")))
     pieces = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lower") * CELLS), F.least(F.floor(F.col("upper") * CELLS), F.lit(CELLS - 1)))))
-    return slot.join(pieces.select("source", "lower", "upper", "cell"), "cell").filter("u >= lower AND u < upper").groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n"))
+    return slot.join(pieces.select("source", "lower", "upper", "cell"), "cell").filter("u >= lower AND u < upper").select("slot", "source")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:

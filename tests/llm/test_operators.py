@@ -114,6 +114,22 @@ def test_mixing_meets_targets(docs, null_source):
     assert sorted(map(tuple, mixing.mix(table).collect()), key=str) == sorted(map(tuple, rows), key=str)
 
 
+def test_mixed_blocks_lie_where_they_were_drawn(docs):
+    table = docs.filter("doc_id % 5 = 0").cache()
+    rows = mixing.mixed_blocks(table).collect()
+    texts = {x["doc_id"]: SPACE.sub(" ", x["text"] or "").strip().split(" ") for x in table.collect()}
+    slots, taken = collections.defaultdict(list), collections.Counter()
+    for x in rows:
+        assert x["shard"] == x["slot"] // mixing.SHARD and x["text"].split(" ") == texts[x["doc_id"]][x["start"] : x["start"] + x["words"]]
+        slots[x["slot"]].append(x)
+        taken[x["doc_id"]] += x["words"]
+    assert all(len({(x["source"], x["block"]) for x in held}) == 1 and sum(x["words"] for x in held) <= mixing.BLOCK for held in slots.values())
+    digest = mixing.mix(table).collect()
+    assert {x["doc_id"]: x["taken"] for x in digest if x["taken"]} == dict(taken)
+    drawn = [held[0]["source"] for _, held in sorted(slots.items())]
+    assert sum(a != b for a, b in itertools.pairwise(drawn)) > len(drawn) // 8
+
+
 def test_mixing_odd_rows(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(x["taken"] <= 2 * x["size"] for x in rows)
