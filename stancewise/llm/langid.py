@@ -15,6 +15,8 @@ from .common import batches_of, broadcast_if, id_remainder, lean, settle
 
 #: Bounds of the labelled sample: documents and characters per language, and the document lengths that qualify.
 SAMPLE_DOCS, SAMPLE_CHARS, SHORTEST, LONGEST = 96, 32_000, 40, 8_000
+#: Of a language without such documents: texts at most, and pieces taken of one above LONGEST.
+OTHER_DOCS, PIECES = 4_000, 8
 #: Characters of a segment: parsing starts a new phrase at each multiple of it, so that segments are independent.
 SEGMENT = 1024
 #: Characters parsed at a time (some 60 bytes of working memory each).
@@ -23,25 +25,31 @@ PASS = 250_000
 
 def labelled_sample(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> dict[str, str]:
     """Labelled text per language, at most SAMPLE_CHARS characters: the documents of least hash among the labelled rows
-    with crc32(doc_id) mod ``modulus`` other than ``held_out``. Whole documents of SHORTEST to LONGEST characters only.
+    with crc32(doc_id) mod ``modulus`` other than ``held_out``. Whole documents of SHORTEST to LONGEST characters; a language that
+    has none of them is learned from its short texts whole and from PIECES pieces spread over its long ones.
 
-    The hash threshold per language comes from its row count, so only about SAMPLE_DOCS rows of each are ever ranked.
+    The hash threshold per language comes from its row count, so only a few times the rows that are taken are ever ranked.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & (id_remainder("doc_id", modulus) != held_out))
-    fit = rows.filter(F.length("text").between(SHORTEST, LONGEST))
+    rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (id_remainder("doc_id", modulus) != held_out))
+    fits = F.length("text").between(SHORTEST, LONGEST)
     u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    share = settle(fit.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("share")))
+    share = rows.groupBy("lang").agg(F.count_if(fits).alias("fit"), F.count(F.lit(1)).alias("n"))
+    most = F.when(F.col("fit") > 0, SAMPLE_DOCS).otherwise(OTHER_DOCS)
+    share = settle(share.select("lang", (F.col("fit") > 0).alias("some_fit"), most.alias("most"), (4.0 * most / F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("n"))).alias("share")))
     share = broadcast_if(share, share.count(), 100_000)  # a row per language; without the hint all labelled texts would be shuffled
-    near = fit.join(share, "lang").filter(u < F.col("share")).withColumn("u", u)
-    ranked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("u", "doc_id", "text"))).filter(F.col("k") <= SAMPLE_DOCS)
+    near = rows.join(share, "lang").filter((u < F.col("share")) & (fits | ~F.col("some_fit"))).withColumn("u", u)
+    piece = LONGEST // PIECES
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (F.floor(i * (F.length("text") - piece) / (PIECES - 1)) + 1).cast("int"), F.lit(piece)))
+    near = near.select("lang", "doc_id", "u", "most", F.when(F.length("text") > LONGEST, F.array_join(spread, "\n")).otherwise(F.col("text")).alias("text"))
+    ranked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("u", "doc_id", "text"))).filter(F.col("k") <= F.col("most"))
+    # what is beyond SAMPLE_CHARS cannot be taken and stays with the executors
+    before = F.coalesce(F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.withColumn("before", before).filter((F.col("most") == SAMPLE_DOCS) | (F.col("before") < SAMPLE_CHARS))
     out: dict[str, list[str]] = {}
     for r in sorted(ranked.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
         held = out.setdefault(r["lang"], [])
         if sum(map(len, held)) + len(r["text"]) <= SAMPLE_CHARS or not held:
             held.append(r["text"])
-    if not out:  # only very short or very long labelled texts: take what there is, within the same bound
-        for r in rows.filter(F.length("text") > 0).orderBy("doc_id", "text").select("lang", F.substring("text", 1, SAMPLE_CHARS // 4).alias("text")).limit(SAMPLE_DOCS).collect():
-            out.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(texts) for lang, texts in sorted(out.items())}
 
 

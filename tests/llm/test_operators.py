@@ -287,6 +287,14 @@ def test_language_odd_rows(odd, none):
     assert langid.identify(none).count() == 0
 
 
+def test_language_of_long_or_short_texts_only(spark):
+    r = random.Random(6)
+    text = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcdef", 50), "fit") for i in range(20)] + [(100 + i, text("ghijkl", 3000), "long") for i in range(20)] + [(200 + i, text("mnopqr", 3), "short") for i in range(20)]
+    got = langid.identify(documents(spark, rows)).collect()
+    assert all(x["lang_pred"] == x["lang"] for x in got)
+
+
 # 7 secrets
 def brute_secrets(text):
     out = []
