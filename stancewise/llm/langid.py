@@ -54,7 +54,7 @@ def labelled_sample(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> dic
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x10000)])
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def automaton(text: str) -> tuple[list[dict[str, int]], int]:
@@ -96,12 +96,10 @@ class Parser:
         self.width = len(alphabet) + 2
         code = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": 0}
         self.letter = _letters()
-        self.code = np.zeros(0x10001, np.int32)
-        self.code[:0x10000][self.letter] = self.width - 1
-        self.code[0x10000] = self.width - 1
+        self.code = np.zeros(len(self.letter), np.int32)
+        self.code[self.letter] = self.width - 1
         for c, i in code.items():
-            if ord(c) < 0x10000:
-                self.code[ord(c)] = i
+            self.code[ord(c)] = i
         self.roots, self.bits, tables, base = [], [], [], 0
         for lang in self.langs:
             trans, n = automaton(words[lang])
@@ -126,9 +124,8 @@ class Parser:
         points = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), "<u4")
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         owner = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
-        clipped = np.minimum(points, 0x10000)
-        codes = self.code[clipped]
-        letter = np.append(self.letter, True)[clipped]
+        codes = self.code[points]
+        letter = self.letter[points]
         has = np.bincount(owner[letter], minlength=len(raw)) > 0
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (owner[1:] != owner[:-1])
@@ -159,7 +156,7 @@ class Parser:
 
 def _plain(text: str) -> str:
     """Lower case; runs of anything but letters become one space."""
-    return "".join(c if c.isalpha() and ord(c) < 0x10000 else " " for c in text.lower()).replace("  ", " ")
+    return "".join(c if c.isalpha() else " " for c in text.lower()).replace("  ", " ")
 
 
 _made: dict[int, Parser] = {}

@@ -295,6 +295,12 @@ def test_language_of_long_or_short_texts_only(spark):
     assert all(x["lang_pred"] == x["lang"] for x in got)
 
 
+def test_letters_above_the_basic_plane():
+    gothic = "".join(map(chr, range(0x10330, 0x1034A)))
+    parser = langid.Parser({"en": "a quick brown fox", "got": gothic})
+    assert langid._decide(parser, ["🙂🎉 🙂", gothic[3:12], "quick fox"])[0] == ["und", "got", "en"]
+
+
 # 7 secrets
 def brute_secrets(text):
     out = []
