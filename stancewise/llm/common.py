@@ -57,12 +57,39 @@ def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which nulls are equal; the key columns of left stay."""
-    for c in on:
-        right = right.withColumnRenamed(c, f"__right_{c}")
+    names = {c: fresh(left, f"right_{c}") for c in on}
     same = F.lit(True)
-    for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"__right_{c}"))
-    return left.join(right, same, how).drop(*[f"__right_{c}" for c in on])
+    for c, name in names.items():
+        right = right.withColumnRenamed(c, name)
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    return left.join(right, same, how).drop(*names.values())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def words_print(text: Column) -> Column:
+    """16 bytes (of a SHA-256) that tell texts apart by their words in order; white space only separates words."""
+    return F.unhex(F.substring(F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")).cast("binary"), 256), 1, 32))
+
+
+def without_copies(docs: DataFrame, found: DataFrame, mark: Column, most: int) -> DataFrame:
+    """The rows of docs but those that found (doc_id, mark, kept, n rows of it) lists as gone; of n rows with a listed id and
+    mark one stays if kept. Rows are told apart by id and mark, so rows with null or repeated ids keep their own fate. Columns of docs."""
+    name = fresh(docs, "mark")
+    marked = docs.withColumn(name, mark)
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        near = broadcast_if(keys.select("doc_id", F.col("mark").alias(name)), keys.count(), most)
+        return null_safe_join(marked, near, ["doc_id", name], how)
+
+    once = joined(found, "left_anti")
+    again = joined(found.filter("kept"), "left_semi").dropDuplicates(["doc_id", name])
+    return once.unionByName(again).drop(name)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if, null_safe_join, settle
+from .common import SPACE, broadcast_if, settle, without_copies
 
 #: Up to so many suspect groups (24 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 1_000_000
@@ -49,15 +49,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs. Of rows that repeat id and text one stays."""
-    found = exact_duplicates(docs).filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
-    found = settle(found.filter("n > 1 OR NOT any_kept"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-
-    def joined(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        near = broadcast_if(keys.select("doc_id", F.col("text_sha256").alias("__sha")), keys.count(), BROADCAST_GROUPS)
-        return null_safe_join(left, near, ["doc_id", "__sha"], how)
-
-    once = joined(marked, found, "left_anti")
-    again = joined(marked, found.filter("any_kept"), "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return once.unionByName(again).drop("__sha")
+    """The rows of docs that stay, with the columns of docs.
+
+    A row is known by its id and normalised text: with null or repeated ids each text still keeps one row. Of rows that
+    repeat both (their other columns may differ) one stays. Null text counts as empty; an empty table stays empty.
+    """
+    found = exact_duplicates(docs).filter("group_size > 1").groupBy("doc_id", F.col("text_sha256").alias("mark")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = settle(found.filter("n > 1 OR NOT kept"))
+    return without_copies(docs, found, F.sha2(normalised(F.col("text")).cast("binary"), 256), BROADCAST_GROUPS)

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, broadcast_if, lean, null_safe_join, settle
+from .common import batches_of, broadcast_if, lean, null_safe_join, settle, without_copies, words_print
 from .graph import components
-from .hashing import PieceHash, mixed
+from .hashing import mixed, piece_hashes
 
 #: Words of a shingle, least similarity, bands of rows samples each.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 3
 SAMPLES = BANDS * ROWS
-#: Document frequencies are kept for so many hash cells (a fixed table); rare shingles weigh up to 1 + GAIN times common ones.
-CELLS, GAIN = 1 << 18, 0.1
+#: A shingle in at least SHARE of all texts is common and weighs less, down to 1 for one in every text; all others weigh 1 + GAIN.
+SHARE, GAIN = 1 / 200, 0.25
+#: Hash cells of the first count, which tells where common shingles can be.
+CELLS = 1 << 18
 #: Random variables of the sampling are shared by features with the same low bits.
 DRAWS = 1 << 14
 #: Bands of the first pass. In the second, nodes meet LEADERS of their bucket in turn, which joins what is alike at little cost.
@@ -34,12 +37,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _state: dict[str, object] = {}
 
 
-def _hasher() -> PieceHash:
-    if "hash" not in _state:
-        _state["hash"] = PieceHash(np.arange(256), 1 << 18)
-    return _state["hash"]
-
-
 def shingles(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, shingle keys, counts, owners) of runs of texts: each text's distinct shingles in ascending order.
 
@@ -55,7 +52,7 @@ def shingles(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         space = _SPACE[buf]
         edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
         starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        word = _hasher().of(buf, starts, stops)
+        word = piece_hashes(buf, starts, stops)
         ends = np.cumsum([len(r) + 1 for r in raw])
         upto = np.searchsorted(starts, ends)
         words = np.diff(np.append(0, upto))
@@ -75,8 +72,22 @@ def shingles(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         lo += len(raw)
 
 
-def _weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * idf[(keys & np.uint64(CELLS - 1)).astype(np.int64)]
+@dataclass
+class Weights:
+    """What a shingle weighs: keys (ascending) and weights of the common ones, and the cells that hold some; rare weighs all others."""
+
+    keys: np.ndarray
+    weights: np.ndarray
+    held: np.ndarray
+    rare: float
+
+    def of(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.rare)
+        near = np.flatnonzero(self.held[(keys & np.uint64(CELLS - 1)).astype(np.int64)])
+        if len(near):
+            at = np.minimum(np.searchsorted(self.keys, keys[near]), len(self.keys) - 1)
+            out[near] = np.where(self.keys[at] == keys[near], self.weights[at], self.rare)
+        return counts * out
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,71 +134,112 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"cell": some.astype(np.int32), "n": total[some]})
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """A weight between 1 and 1 + GAIN for every hash cell, from the document frequencies of all shingles of all texts.
+def _counted_in(cells):
+    """Exact counts of the shingles in some cells, added up within the task some million at a time."""
+
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+        return found, np.bincount(back, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
 
-    A cell counts the documents of every shingle that falls into it, so the table has CELLS entries at any size.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, most = cells.value, 2_000_000
+        keys, counts, n = [], [], 0
+        for b in batches:
+            for _, found, _, _ in shingles([t or "" for t in b.column(0).to_pylist()]):
+                some = found[held[(found & np.uint64(CELLS - 1)).astype(np.int64)]]
+                keys.append(some)
+                counts.append(np.ones(len(some)))
+                n += len(some)
+                if n > most:
+                    one, many = summed(keys, counts)
+                    if len(one) > most // 2:
+                        yield pa.RecordBatch.from_pydict({"key": one.astype(np.int64), "n": many})
+                        one, many = one[:0], many[:0]
+                    keys, counts, n = [one], [many], len(one)
+        if n:
+            one, many = summed(keys, counts)
+            yield pa.RecordBatch.from_pydict({"key": one.astype(np.int64), "n": many})
+
+    return run
+
+
+def inverse_frequencies(docs: DataFrame) -> Weights:
+    """1 + GAIN * min(ln(N / df), ln(1 / SHARE)) / ln(1 / SHARE) for a shingle in df of N texts, over all texts.
+
+    A count by cell finds the cells that can hold a common shingle; those alone are counted one by one. At most mean shingles of
+    a text / SHARE are common, at any number of texts, and only they reach the driver. The rest need no table.
     """
-    counts = docs.select("text").mapInArrow(lean(_counted), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(CELLS)
-    n[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
-    total = max(docs.count(), 2)
-    return (1 + GAIN * np.clip(np.log(total / np.maximum(n, 1)), 0, None) / np.log(total)).astype(np.float32)
+    spark = docs.sparkSession
+    total = max(docs.count(), 1)
+    least, deep = max(SHARE * total, 3.0), np.log(1 / SHARE)
+    cells = docs.select("text").mapInArrow(lean(_counted), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    held = np.zeros(CELLS, bool)
+    held[cells.column("cell").to_numpy()] = True
+    if not held.any():
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), held, 1 + GAIN)
+    sent = spark.sparkContext.broadcast(held)
+    common = docs.select("text").mapInArrow(lean(_counted_in(sent)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy("key").toArrow()
+    keys, n = common.column("key").to_numpy().astype(np.uint64), common.column("n").to_numpy()
+    held = np.zeros(CELLS, bool)
+    held[(keys & np.uint64(CELLS - 1)).astype(np.int64)] = True
+    return Weights(keys, 1 + GAIN * np.clip(np.log(total / np.maximum(n, 1)), 0, deep) / deep, held, 1 + GAIN)
 
 
 def _signed(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(2).to_pylist()]
             for lo, keys, counts, owners in shingles(texts):
                 if not len(keys):
                     continue
                 begin = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-                sig = signatures(keys, _weights(keys, counts, idf.value), owners)
+                sig = signatures(keys, idf.value.of(keys, counts), owners)
                 bands = np.zeros((BANDS, sig.shape[1]), np.uint64)
                 for k in range(SAMPLES):
                     bands[k // ROWS] = mixed(bands[k // ROWS] * np.uint64(31) + sig[k])
                 which = pa.array(lo + owners[begin])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(which), pa.array(_whole(keys, counts, begin)), pa.FixedSizeListArray.from_arrays(pa.array(bands.T.astype(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array((sig >> np.uint64(48)).T.astype(np.uint16).view(np.int16).ravel()), SAMPLES).cast(pa.list_(pa.int16()))],
-                    ["doc_id", "node", "bands", "samples"],
+                    [b.column(0).take(which), b.column(1).take(which), pa.FixedSizeListArray.from_arrays(pa.array(bands.T.astype(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array((sig >> np.uint64(48)).T.astype(np.uint16).view(np.int16).ravel()), SAMPLES).cast(pa.list_(pa.int16()))],
+                    ["doc_id", "print", "bands", "samples"],
                 )
 
     return run
 
 
-def _whole(keys: np.ndarray, counts: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A hash of each text's shingles with their counts: equal texts are one node."""
-    return np.add.reduceat(mixed(keys * np.uint64(0x9E3779B97F4A7C15) + counts.astype(np.uint64)), begin).astype(np.int64)
+def packed_shingles(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys (8 bytes each), then their counts (4 bytes each)."""
+    return keys.astype("<u8").tobytes() + np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes()
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, keys, counts, owners in shingles([t or "" for t in b.column(0).to_pylist()]):
+        for lo, keys, counts, owners in shingles([t or "" for t in b.column(1).to_pylist()]):
             if len(keys):
                 begin = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-                packed = (keys << np.uint64(14)) | np.minimum(counts, (1 << 14) - 1).astype(np.uint64)
-                raws = [x.tobytes() for x in np.split(packed, begin[1:])]
-                yield pa.RecordBatch.from_pydict({"node": _whole(keys, counts, begin), "shingles": pa.array(raws, pa.binary())})
+                raws = [packed_shingles(k, n) for k, n in zip(np.split(keys, begin[1:]), np.split(counts, begin[1:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + owners[begin])), pa.array(raws, pa.binary())], ["print", "shingles"])
 
 
-def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    low = np.uint64((1 << 14) - 1)
-    kx, ky, nx, ny = x >> np.uint64(14), y >> np.uint64(14), x & low, y & low
+def weighted_jaccard(a: bytes, b: bytes, idf: Weights) -> float:
+    def split(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(raw) // 12
+        return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
+
+    (kx, nx), (ky, ny) = split(a), split(b)
     _, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
-    both = _weights(kx[i], np.minimum(nx[i], ny[j]), idf).sum()
-    return float(both / (_weights(kx, nx, idf).sum() + _weights(ky, ny, idf).sum() - both))
+    both = idf.of(kx[i], np.minimum(nx[i], ny[j])).sum()
+    return float(both / (idf.of(kx, nx).sum() + idf.of(ky, ny).sum() - both))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least SIMILAR. Only texts in a pair are read again."""
     pairs = settle(pairs.distinct())
-    need = settle(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    ids = need.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct()
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    need = settle(need.join(nodes.select("node", "doc_id", "print"), "node"))
+    ids = need.select("doc_id").distinct()
     near = broadcast_if(ids, need.count(), BROADCAST_IDS)
-    rows = null_safe_join(docs, near, ["doc_id"], "left_semi").select("text")
-    texts = rows.mapInArrow(lean(_featured), "node long, shingles binary").join(need, "node", "left_semi").dropDuplicates(["node"])
+    rows = null_safe_join(docs.select("doc_id", "text"), near, ["doc_id"], "left_semi").select(words_print(F.col("text")).alias("print"), "text")
+    texts = rows.mapInArrow(lean(_featured), "print binary, shingles binary").join(need.select("node", "print"), "print").select("node", "shingles").dropDuplicates(["node"])
     texts = settle(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +319,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, n_links, kept.
 
     Classes are the components of "weighted Jaccard similarity of five-word shingles is 0.8 or more", where a shingle weighs
-    its count times a mild inverse document frequency (see inverse_frequencies). Texts with the same shingles are one node from
+    its count times a smoothed inverse document frequency (see inverse_frequencies). Texts of the same words are one node from
     the start. Each node's consistent weighted samples fall into bands; nodes that share a band are candidates. First, in FIRST of
     the bands, every node of a bucket meets the bucket's least node; then, in all buckets that still hold several components,
     LEADERS times every node meets a leader of the bucket, if it is of another component; the leader differs between bands. Last,
@@ -278,12 +330,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A text without words is alone in its class, as is a null one. Of equal ids, rows repeat; exactly one row of a class is kept,
     that of the least id (null ids last). An empty table gives an empty result; extra columns are ignored.
     """
+    return _classes(docs).drop("mark")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """near_duplicates with mark, the print of the words of each text."""
     spark = docs.sparkSession
     batches_of(spark, 500)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))  # CELLS floats: 1 MB at any size
-    signed = settle(docs.mapInArrow(lean(_signed(idf)), "doc_id long, node long, bands array<long>, samples array<short>").withColumn("row", F.monotonically_increasing_id()))
-    nodes = settle(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")))
+    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))  # at most mean shingles of a text / SHARE entries
+    signed = docs.select("doc_id", words_print(F.col("text")).alias("print"), "text").mapInArrow(lean(_signed(idf)), "doc_id long, print binary, bands array<long>, samples array<short>")
+    signed = settle(signed.withColumn("row", F.monotonically_increasing_id()))
+    nodes = settle(signed.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")))
     banded = settle(nodes.select("node", F.posexplode("bands").alias("band", "key")))
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     shared = settle(banded.join(buckets, ["band", "key"]))
@@ -305,18 +363,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labels = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node").join(labels, "node", "left").join(ends, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = settle(signed.select("doc_id", "node", "row").join(named, "node"))
+    named = nodes.select("node", "print").join(labels, "node", "left").join(ends, "node", "left").select("print", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = settle(signed.select("doc_id", "print", "row").join(named, "print"))
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     classes = settle(rows.groupBy("label").agg(first_row, F.count(F.lit(1)).alias("class_size")))  # written, so that the join below is dealt afresh and can be split
-    in_class = rows.join(classes, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"))
-    alone = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    in_class = rows.join(classes, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), F.col("print").alias("mark"))
+    alone = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), words_print(F.col("text")).alias("mark"))
     return in_class.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay (one of each class), with the columns of docs. Ids are taken to be unique."""
-    gone = settle(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
-    near = broadcast_if(gone, gone.count(), BROADCAST_IDS)
-    return null_safe_join(docs, near, ["doc_id"], "left_anti")
+    """The rows of docs that stay (one of each class), with the columns of docs.
 
+    A row is known by its id and words, so with null or repeated ids every class still keeps one row; of rows that repeat both
+    (their other columns may differ) one stays. Texts without words stay, each of them; an empty table stays empty.
+    """
+    found = _classes(docs).filter("class_size > 1").groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return without_copies(docs, settle(found.filter("n > 1 OR NOT kept")), words_print(F.col("text")), BROADCAST_IDS)

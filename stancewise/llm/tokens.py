@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from .hashing import PieceHash
+from .hashing import WORDS_OF, mixed_pieces, packed_pieces
 
 #: Slots of a way of the word table (a power of two), ways, ids kept before the table starts afresh, words encoded in a call.
 SLOTS, WAYS, KEPT, JOINED = 1 << 18, 4, 6_000_000, 200
@@ -34,9 +34,9 @@ class WordEncoder:
 
     This kind of tokenizer lower-cases, splits at white space, which it drops, and between letters and punctuation. So a
     text's ids are those of its pieces one after another, where a piece ends at ASCII white space or between an ASCII
-    letter and an ASCII punctuation mark other than the apostrophe (which begins contractions). Pieces are found and hashed
-    (64 bits, ASCII letters as lower case) for a whole batch at once and looked up in a set-associative table; only
-    pieces not in it reach the tokenizer.
+    letter and an ASCII punctuation mark other than the apostrophe (which begins contractions). Pieces are found for a whole
+    batch at once. Those of up to 24 bytes (ASCII letters as lower case) are looked up in a set-associative table by a
+    hash and compared with the bytes kept there, so that different pieces never meet; longer ones and those not in the table reach the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,13 +50,14 @@ class WordEncoder:
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cls = _classes()
-        low = np.arange(256)
-        low[65:91] += 32
-        self.hash = PieceHash(low, CHUNK)
+        self.low = np.arange(256, dtype=np.uint8)
+        self.low[65:91] += 32
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros((WAYS, SLOTS), np.uint64)
+        self.keys = np.zeros((WAYS, SLOTS), np.uint64)  # 0: a free place
+        self.words = {k: np.zeros((WAYS, SLOTS), np.uint64) for k in range(1, WORDS_OF)}
+        self.bytes = np.zeros((WAYS, SLOTS), np.uint8)
         self.at = np.zeros((WAYS, SLOTS), np.int32)
         self.size = np.zeros((WAYS, SLOTS), np.int32)
         self.store = np.zeros(1 << 20, self.kind)
@@ -109,34 +110,58 @@ class WordEncoder:
         stop[-1] = True
         stop[:-1] = (c[1:] == 0) | start[1:]
         stops = np.flatnonzero(stop & (c != 0)) + 1
-        key = self.hash.of(buf, starts, stops)
+        long = stops - starts
+        packed = packed_pieces(self.low[buf], starts, stops)
+        key = mixed_pieces(packed, long)
         key[key == 0] = 1
         slot = (key >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
         place, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        rest = np.arange(len(key))
+        table = long <= 8 * WORDS_OF
+        key[~table] = 0
+        rest, other = np.arange(len(key)), []
         for way in range(WAYS):
             s = slot[rest]
             hit = self.keys[way][s] == key[rest]
             h, sh = rest[hit], s[hit]
+            same = self.bytes[way][sh] == long[h]  # each step of the hash is a bijection: with equal later words the first are equal
+            for k in range(1, WORDS_OF):
+                more = np.flatnonzero(long[h] > 8 * k)
+                same[more] &= self.words[k][way][sh[more]] == packed[k][h[more]]
+            if not same.all():  # another piece of this hash, or one too long for the table
+                other.append(h[~same])
+                h, sh = h[same], sh[same]
             place[h], size[h] = self.at[way][sh], self.size[way][sh]
             rest = rest[~hit]
             if not len(rest):
                 break
+        rest = np.concatenate([rest, *other])
         if len(rest):
-            fresh, first, back = np.unique(key[rest], return_index=True, return_inverse=True)
-            one = rest[first]
-            words = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), stops[one].tolist(), strict=True)]
-            p, n = self._add(words)
-            place[rest], size[rest] = p[back], n[back]
-            where = slot[one]
+            words = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), stops[rest].tolist(), strict=True)]
+            first: dict[str, int] = {}
+            back = np.array([first.setdefault(w.lower() if w.isascii() else w, i) for i, w in enumerate(words)])
+            one = np.unique(back)
+            p, n = self._add([words[i] for i in one.tolist()])
+            which = np.searchsorted(one, back)
+            place[rest], size[rest] = p[which], n[which]
+            keep = table[rest[one]]
+            of, p, n = rest[one][keep], p[keep], n[keep]
             for i in range(WAYS):  # each into the first free way, else in turn
-                free = self.keys[i][where] == 0
-                self.keys[i][where[free]], self.at[i][where[free]], self.size[i][where[free]] = fresh[free], p[free], n[free]
-                fresh, p, n, where = fresh[~free], p[~free], n[~free], where[~free]
+                where = slot[of]
+                _, lead = np.unique(where, return_index=True)
+                free = np.zeros(len(of), bool)
+                free[lead] = self.keys[i][where[lead]] == 0
+                self._put(i, of[free], where[free], key, packed, long, p[free], n[free])
+                of, p, n = of[~free], p[~free], n[~free]
             self.turn = (self.turn + 1) % WAYS
-            self.keys[self.turn][where], self.at[self.turn][where], self.size[self.turn][where] = fresh, p, n
+            where, lead = np.unique(slot[of], return_index=True)
+            self._put(self.turn, of[lead], where, key, packed, long, p[lead], n[lead])
         return starts, place, size
 
+    def _put(self, way: int, of: np.ndarray, where: np.ndarray, key: np.ndarray, packed: list[np.ndarray], long: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        self.keys[way][where], self.bytes[way][where], self.at[way][where], self.size[way][where] = key[of], long[of], place, size
+        for k, held in self.words.items():
+            held[way][where] = packed[k][of]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Texts that spell an added token go to the tokenizer whole."""
         special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
