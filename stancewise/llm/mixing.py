@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, null_safe_join, settle
+from .common import WORD, fresh, null_safe_join, settle
 
 #: Tokens in a block, slots in an output shard, cells of the unit interval by which slots find their source.
 BLOCK, SHARD, CELLS = 128, 65_536, 4096
-#: Rows of a bucket, within which one task numbers documents; slots of a run, within which one task numbers draws.
-BUCKET, RUN = 4_000, 1024
+#: Least slots of a run, within which one task numbers draws.
+RUN = 1024
 
 
 def _targets(totals: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -49,10 +51,10 @@ def _permuted(j: Column, n: Column, key: Column) -> Column:
     return x
 
 
-def _laid(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str, text: bool) -> tuple[DataFrame, DataFrame]:
+def _laid(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str, text: bool, mark: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents with the index of their first word in their source, and the slots that read a block (see mixed_blocks)."""
-    sizes = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(text_col).alias("text")] if text else [])))
-    buckets = max(16, min(100_000, -(-sizes.count() // BUCKET)))
+    sizes = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *([F.col(text_col).alias("text")] if text else []), *([F.xxhash64(text_col).alias("mark")] if mark else [])))
+    buckets = math.isqrt(sizes.count()) + 1  # as many buckets as rows in a bucket, at any size
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(buckets))
     sizes = sizes.withColumn("bucket", spread)
 
@@ -66,7 +68,7 @@ def _laid(docs: DataFrame, weights: tuple[int, ...], share: float, most: float,
     targets = settle(targets.withColumn("upto", F.sum("target").over(W.orderBy(F.col("source").asc_nulls_last())) / F.nullif(F.sum("target").over(W.partitionBy()), F.lit(0.0))))
     slots = targets.agg(F.sum("quota")).first()[0] or 0
 
-    held = ["text"] if text else []
+    held = [*["text"] * text, *["mark"] * mark]
     inside = W.partitionBy("source", "bucket").orderBy("doc_id", "size", *([F.xxhash64("text")] if text else [])).rowsBetween(W.unboundedPreceding, -1)
     placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = null_safe_join(placed, per_bucket.select("source", "bucket", "base"), ["source", "bucket"]).select("doc_id", "source", "size", *held, (F.col("base") + F.col("inner")).alias("first"))
@@ -76,7 +78,7 @@ def _laid(docs: DataFrame, weights: tuple[int, ...], share: float, most: float,
 
 def _slots(targets: DataFrame, slots: int, seed: int) -> DataFrame:
     """shard, slot, source, block: a row per slot, in the shard that drew it."""
-    drawn = _drawn(targets, slots, seed).withColumn("run", F.expr(f"slot div {RUN}"))
+    drawn = _drawn(targets, slots, seed).withColumn("run", F.expr(f"slot div {max(RUN, math.isqrt(slots))}"))
     counts = settle(drawn.groupBy("run", "source").agg(F.count(F.lit(1)).alias("n")))
     running = W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
@@ -122,15 +124,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     words meet its target within a block and no block is read more than ``most`` times. Blocks are joined by index. ``mixed_blocks``
     gives the mix itself; here the words of the dealt slots are summed per document.
 
-    A hot source is numbered in buckets of about BUCKET documents and its blocks spread by (source, block). All draws are
+    A hot source is numbered in buckets and its blocks spread by (source, block). All draws are
     hashes of the seed, so reruns agree. Null or empty text has size 0 and is never taken; null sources are one
     source, last in order; repeated rows count each; extra columns are ignored; an empty table gives an empty result.
     """
-    placed, slots = _laid(docs, weights, share, most, seed, id_col, text_col, source_col, False)
+    return _taken(*_laid(docs, weights, share, most, seed, id_col, text_col, source_col, False)).drop("first")
+
+
+def _taken(placed: DataFrame, slots: DataFrame) -> DataFrame:
+    """placed with taken, the words that the slots read of each document."""
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + size - 1) div {BLOCK})")))
     parts = parts.withColumn("words", F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("first", F.col("block") * BLOCK))
-    taken = null_safe_join(parts, slots, ["source", "block"], "left").groupBy("doc_id", "source", "size", "source_size", "target", "first").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken")).drop("first")
-    return taken.unionByName(placed.filter("size = 0").drop("first").withColumn("taken", F.lit(0).cast("long")))
+    taken = null_safe_join(parts, slots, ["source", "block"], "left").groupBy(*placed.columns).agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken"))
+    return taken.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
 
 
 def _drawn(targets: DataFrame, slots: int, seed: int) -> DataFrame:
@@ -145,11 +151,23 @@ def _drawn(targets: DataFrame, slots: int, seed: int) -> DataFrame:
     return slot.join(pieces.select("source", "lower", "upper", "cell"), "cell").filter("u >= lower AND u < upper").select("slot", "source")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """docs with each document repeated as often as the mix takes it: taken / size copies, the fraction settled by a
-    hash of the id, so that the expected words of each source meet its target. Columns of docs."""
-    counts = mix(docs, seed=seed, **options)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    hash of the row, so that the expected words of each source meet its target. Columns of docs.
+
+    A row is known by its id, source and text, so rows with null or repeated ids come as often as they are taken themselves; rows
+    that repeat all three share their copies evenly. Null and empty texts are never taken; an empty table stays empty.
+    """
+    counts = _taken(*_laid(docs, weights, share, most, seed, "doc_id", "text", "source", False, True))
+    draw = F.pmod(F.xxhash64("doc_id", "mark", "first", F.lit(seed), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(F.lit(0)).cast("int")
-    counts = counts.groupBy("doc_id").agg(F.max(copies).alias("__copies")).filter("__copies > 0")
-    return null_safe_join(docs, counts, ["doc_id"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies", "__copy")
+    copy, rows, nth = (fresh(docs, c) for c in ("copy", "rows", "nth"))
+    mark = fresh(docs, "mark")
+    counts = counts.groupBy("doc_id", "source", F.col("mark").alias(mark)).agg(F.sum(copies).cast("int").alias(copy), F.count(F.lit(1)).alias(rows)).filter(F.col(copy) > 0)
+    found = null_safe_join(docs.withColumn(mark, F.xxhash64("text")), counts, ["doc_id", "source", mark])
+    alone = found.filter(F.col(rows) == 1)
+    #: rows that repeat: the first ones take what does not divide
+    several = found.filter(F.col(rows) > 1).withColumn(nth, F.row_number().over(W.partitionBy("doc_id", "source", mark).orderBy(F.lit(0))))
+    several = several.withColumn(copy, (F.floor(F.col(copy) / F.col(rows)) + (F.col(nth) <= F.col(copy) % F.col(rows)).cast("int")).cast("int")).filter(F.col(copy) > 0).drop(nth)
+    both = alone.unionByName(several)
+    return both.withColumn(nth, F.explode(F.sequence(F.lit(1), copy))).drop(copy, rows, nth, mark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -12,13 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import batches_of, lean, settle
+from .common import batches_of, broadcast_if, lean, settle
 
 #: Tokens of a sequence; pieces longer than SMALL tokens are grouped, into at most GROUPS groups. A lower SMALL leaves fewer
 #: pieces to fill the room that rounding up wastes: on log-normal lengths 256 gives 1.1 % over the lower bound, 900 0.16 %.
 CAPACITY, SMALL, GROUPS = 2048, 900, 48
-#: Rows of a bucket, within which one task numbers pieces of one length.
-BUCKET = 20_000
+#: Runs of a plan (40 bytes each) that are broadcast; their number follows the lengths and groups, not the corpus.
+RUNS = 1_000_000
 
 
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -200,7 +201,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups
     """
     spark = pieces.sparkSession
     pieces = settle(pieces)
-    spread = max(16, min(100_000, -(-pieces.count() // BUCKET)))
+    spread = math.isqrt(pieces.count()) + 1  # as many buckets as rows in a bucket, at any size
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
     keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(spread)))
     sizes = keyed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -210,10 +211,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups
     table = spark.createDataFrame([tuple(map(int, r)) for r in runs], "length long, lo long, hi long, first long, offset long")
     rank = F.row_number().over(W.partitionBy("length", "__bucket").orderBy(*order)) - 1
     numbered = keyed.withColumn("__k", rank).join(sizes.drop("n"), ["length", "__bucket"]).withColumn("__k", F.col("__k") + F.col("__base")).drop("__bucket", "__base")
-    placed = numbered.join(F.broadcast(table), (numbered["length"] == table["length"]) & (F.col("__k") >= F.col("lo")) & (F.col("__k") < F.col("hi")))
+    placed = numbered.join(broadcast_if(table, len(runs), RUNS), (numbered["length"] == table["length"]) & (F.col("__k") >= F.col("lo")) & (F.col("__k") < F.col("hi")))
     return placed.select(*[numbered[c] for c in pieces.columns], (F.col("first") + F.col("__k") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """cut, then pack."""
+    """cut, then pack.
+
+    Null text is empty (a piece of the end id alone); repeated rows are packed each, ties among equal pieces in any order; texts
+    are cut whole, however long; extra columns are ignored; an empty table gives an empty result.
+    """
     return pack(cut(docs, path, capacity, keep_ids=keep_ids), capacity)

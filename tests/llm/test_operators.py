@@ -137,6 +137,31 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixed_documents_of_repeated_and_null_ids(spark):
+    """Rows of one id share nothing but the id: each comes as often as it is taken itself, and no source loses its words."""
+    r = random.Random(2)
+    rows = [(None if i % 3 else 1, " ".join(f"w{r.randrange(99)}" for _ in range(r.randint(50, 900))), None, f"s{i % 2}") for i in range(200)]
+    table = documents(spark, rows + rows[:5])
+    size = lambda t: len(t.split())
+    taken = collections.Counter()
+    for x in mixing.mix(table).collect():
+        taken[x["source"]] += x["taken"]
+    got = mixing.mixed_documents(table).collect()
+    words, times = collections.Counter(), collections.Counter((x["source"], x["text"]) for x in got)
+    for x in got:
+        words[x["source"]] += size(x["text"])
+    assert all(abs(words[s] - taken[s]) < 0.1 * taken[s] for s in taken)
+    assert all(n <= 2 * sum(1 for x in rows + rows[:5] if (x[3], x[1]) == key) for key, n in times.items())
+    assert {x["doc_id"] for x in got} == {None, 1}
+
+
+def test_other_draws_deal_other_mixes_within_the_targets(docs):
+    one, two = (mixing.mixed_blocks(docs, seed=s) for s in (7, 8))
+    count = lambda rows: {(x["source"]): x["n"] for x in rows.select("slot", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = lambda rows: [x["source"] for x in rows.select("slot", "source").distinct().orderBy("slot").collect()]
+    assert count(one) == count(two) and order(one) != order(two)
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 1000, 1024, 4097):
         got = [x[0] for x in spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5))).collect()]
@@ -192,6 +217,15 @@ def test_word_encoder_equals_the_tokenizer():
     assert [x.tolist() for x in enc.encode(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_encoder_tells_pieces_apart():
+    """Strings of many collisions under polynomial hashes modulo 2^64, and pieces at the limits of the table."""
+    enc = tokens.encoder(tokens.default_path())
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)] + ["a" * n + c for n in range(1, 34) for c in "bcd"] + ["x\0", "x", "x\0\0"]
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # 4 toxicity
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
@@ -347,8 +381,8 @@ def test_exact_duplicates(spark, docs, odd, none):
             assert x["group_size"] == len(ids) and x["keep_id"] == min(i for i in ids if i is not None)
         kept = collections.Counter(x["text_sha256"] for x in got if x["kept"])
         assert set(kept) == set(groups) and set(kept.values()) == {1}
-        stay = dedup.drop_exact_duplicates(table)
-        assert stay.columns == table.columns and stay.count() == len(groups)
+        stay = dedup.drop_exact_duplicates(table.withColumn("mark", F.lit(1)))
+        assert stay.columns == [*table.columns, "mark"] and stay.count() == len(groups)
     assert dedup.exact_duplicates(none).count() == 0
 
 
@@ -444,6 +478,26 @@ def test_near_duplicates_against_all_pairs(spark, docs):
             assert max(jaccard(texts[i], texts[j]) for j in got if got[j] == c and j != i) >= 0.78 or len(texts[i].split()) < 5
 
 
+def test_near_duplicates_keep_a_row_of_every_class_without_ids(spark):
+    r = random.Random(10)
+    family = lambda: [f"v{r.randrange(9999)}" for _ in range(80)]
+    bases = [family() for _ in range(5)]
+    rows = [(None if n % 2 else 3, " ".join(base[:40] + ["odd"] * (n > 2) + base[40:])) for base in bases for n in range(4)]
+    rows += [(None, None), (None, ""), (3, " ")]
+    stay = nearcopies.drop_near_duplicates(documents(spark, rows)).collect()
+    assert len(stay) == 5 + 3
+    assert collections.Counter((x["text"] or "").split()[0] if (x["text"] or "").strip() else None for x in stay) == collections.Counter([b[0] for b in bases] + [None] * 3)
+
+
+def test_counts_above_two_bytes_and_long_words(spark):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]
+    own = lambda k: " ".join(f"{k}{i}" for i in range(5000))
+    rows = [(1, "r " * 60_000 + own("x")), (2, "r " * 60_000 + own("y")), (3, "r " * 20_000), (4, "r " * 26_000), (5, words[0]), (6, words[1])]
+    got = {x["doc_id"]: x["class_id"] for x in nearcopies.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     rows = nearcopies.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and sum(x["kept"] for x in rows if x["class_id"] == 4) == 1
