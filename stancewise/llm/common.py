@@ -26,15 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault("path", tempfile.mkdtemp(prefix="stancewise-"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and returns the reader.
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes df once as Parquet in the shared folder (a folder per value of ``by``) and returns the reader.
 
     Cuts the lineage, so that a lost executor costs a re-read and not a recomputation, and gives every later use
     the same rows.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stancewise/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,9 @@ OTHER_DOCS, PIECES = 4_000, 8
 #: Characters of a segment: parsing starts a new phrase at each multiple of it, so that segments are independent.
 SEGMENT = 1024
 #: Characters parsed at a time (some 60 bytes of working memory each).
-PASS = 250_000
+PASS = 500_000
+#: Cells of all dense tables of a worker (4 bytes each).
+DENSE = 1 << 25
 
 
 def labelled_sample(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> dict[str, str]:
@@ -86,37 +89,66 @@ def automaton(text: str) -> tuple[list[dict[str, int]], int]:
     return trans, len(text)
 
 
+class _Table:
+    """A language's automaton over its own letters. Cell [state, code] holds 2 * (next state * width) + (1 if a phrase ends).
+
+    After the automaton's states come one for "after a character that the sample lacks" and one for "nothing read yet". Small
+    tables are dense; of large alphabets only the moves are kept, sorted.
+    """
+
+    def __init__(self, text: str, code: dict[str, int], dense: int):
+        trans, n = automaton(text)
+        letters = sorted(set(text) - {" "})
+        local = {c: i + 1 for i, c in enumerate(letters)} | {" ": 0}
+        self.width, self.bits = len(letters) + 2, math.log2(max(n, 2))
+        self.local = np.full(len(code) + 2, self.width - 1, np.int32)
+        self.local[0] = 0
+        self.local[[code[c] for c in letters]] = [local[c] for c in letters]
+        lacking, w = len(trans), self.width
+        self.begin = (lacking + 1) * w
+        first = np.full(w, lacking, np.int64)
+        for c, q in trans[0].items():
+            first[local[c]] = q
+        self.restart = 2 * first * w + 1
+        self.dense = (lacking + 2) * w <= dense
+        if self.dense:
+            t = np.tile(self.restart, (lacking + 2, 1))
+            t[-1] -= 1  # the first phrase is counted at the end
+            for s, moves in enumerate(trans):
+                for c, q in moves.items():
+                    t[s, local[c]] = 2 * q * w
+            self.cells = t.astype(np.int32 if 2 * t.size < 1 << 31 else np.int64).ravel()
+        else:
+            moves = sorted((s * w + local[c], 2 * q * w) for s, m in enumerate(trans) for c, q in m.items())
+            self.keys, self.next = np.array([k for k, _ in moves], np.int64), np.array([v for _, v in moves], np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return self.cells[state + code]
+        key = state + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], self.restart[code] - (state == self.begin))
+
+
 class Parser:
-    """The automata of all languages as one table. Cell [state + code] holds 2 * next state + (1 if a phrase ends)."""
+    """The automata of all languages. The dense ones share DENSE cells, the narrowest first."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = list(samples)
         words = {lang: _plain(text) for lang, text in samples.items()}
         alphabet = sorted(set().union(*words.values()) - {" "})
-        self.width = len(alphabet) + 2
-        code = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": 0}
+        code = {c: i + 1 for i, c in enumerate(alphabet)}
         self.letter = _letters()
         self.code = np.zeros(len(self.letter), np.int32)
-        self.code[self.letter] = self.width - 1
-        for c, i in code.items():
-            self.code[ord(c)] = i
-        self.roots, self.bits, tables, base = [], [], [], 0
-        for lang in self.langs:
-            trans, n = automaton(words[lang])
-            root = base
-            t = np.full((len(trans) + 1, self.width), -1, np.int64)  # the last state: after a character that the sample lacks
-            for s, moves in enumerate(trans):
-                for c, q in moves.items():
-                    t[s, code[c]] = q
-            first = t[0].copy()
-            restart = np.where(first >= 0, first, len(trans))
-            t = 2 * (np.where(t >= 0, t, restart[None, :]) * self.width + base) + (t < 0)
-            tables.append(t.astype(np.int32).ravel())
-            self.roots.append(root)
-            self.bits.append(math.log2(max(n, 2)))
-            base += (len(trans) + 1) * self.width
-            del trans, t
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.code[self.letter] = len(alphabet) + 1
+        self.code[[ord(c) for c in alphabet]] = list(code.values())
+        made: dict[str, _Table] = {}
+        left = DENSE
+        for lang in sorted(self.langs, key=lambda x: (len(set(words[x])), x)):
+            made[lang] = _Table(words[lang], code, left)
+            left -= len(made[lang].cells) if made[lang].dense else 0
+        self.tables = [made[lang] for lang in self.langs]
+        self.bits = [t.bits for t in self.tables]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: phrases by language (rows), characters after normalising, has a letter."""
@@ -125,8 +157,7 @@ class Parser:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         owner = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         codes = self.code[points]
-        letter = self.letter[points]
-        has = np.bincount(owner[letter], minlength=len(raw)) > 0
+        has = np.bincount(owner[self.letter[points]], minlength=len(raw)) > 0
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (owner[1:] != owner[:-1])
         codes, owner = codes[keep], owner[keep]
@@ -139,24 +170,24 @@ class Parser:
         size = np.minimum(chars[doc] - nth * SEGMENT, SEGMENT)
         order = np.argsort(-size, kind="stable")
         begin, size, doc = begin[order], size[order], doc[order]
-        counts = np.zeros((len(self.langs), len(doc)), np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(doc), 1) if self.langs else np.zeros((0, len(doc)), np.int32)
         alive = np.searchsorted(-size, -np.arange(SEGMENT), side="left")
-        codes = codes.astype(np.int32)
-        for i in range(int(size[0]) if len(size) else 0):
-            m = alive[i]
-            t = self.table[state[:, :m] + codes[begin[:m] + i]]
-            counts[:, :m] += t & 1
-            state[:, :m] = t >> 1
         total = np.zeros((len(self.langs), len(raw)))
-        for k in range(len(self.langs)):
-            total[k] = np.bincount(doc, weights=counts[k] + 1, minlength=len(raw))
+        for k, table in enumerate(self.tables):
+            own = table.local[codes]
+            count = np.ones(len(doc), np.int64)
+            state = np.full(len(doc), table.begin, np.int64)
+            for i in range(int(size[0]) if len(size) else 0):
+                m = alive[i]
+                t = table.step(state[:m], own[begin[:m] + i])
+                count[:m] += t & 1
+                state[:m] = t >> 1
+            total[k] = np.bincount(doc, weights=count, minlength=len(raw))
         return total, chars, has
 
 
 def _plain(text: str) -> str:
     """Lower case; runs of anything but letters become one space."""
-    return "".join(c if c.isalpha() else " " for c in text.lower()).replace("  ", " ")
+    return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
 
 
 _made: dict[int, Parser] = {}

@@ -16,99 +16,112 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import batches_of, lean, shared_folder
 
-#: Ids of a grammar block, rules per round and rounds at most, and the least count of a pair that becomes a rule.
-BLOCK_IDS, PER_ROUND, ROUNDS, LEAST = 1_000_000, 400, 5, 24
+#: Ids of a grammar block, characters of a shard, and the least count of a pair that becomes a rule.
+BLOCK_IDS, SHARD_CHARS, LEAST = 1_000_000, 32_000_000, 4
+
+
+def _chosen(at: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Which of the overlapping pairs that begin at ``at`` are taken: those worth more than their neighbours, then what is left."""
+    state = np.zeros(len(at), np.int8)  # 1 taken, -1 overlaps a taken one
+    near = np.concatenate([[False], np.diff(at) == 1, [False]])
+    for _ in range(3):
+        value = np.where(state == 0, worth, -1)
+        before, after = np.where(near[:-1], np.append(-1, value[:-1]), -1), np.where(near[1:], np.append(value[1:], -1), -1)
+        new = (value > before) & (value > after)
+        state[new] = 1
+        i = np.flatnonzero(new)
+        state[i[near[i]] - 1] = -1
+        state[i[near[i + 1]] + 1] = -1
+        if state.all():
+            break
+    return state == 1
 
 
-def compress(ids: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Re-Pair grammar of ids: terminals (block symbol -> id), rules (pairs of symbols), sizes (ids each symbol stands for),
-    symbols (the sequence left) and docs (where each document begins in it).
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> dict[str, np.ndarray]:
+    """Re-Pair grammar of ids: terminals (block symbol -> id), rules (pairs of symbols), rounds (rules of each round), sizes (ids
+    each rule stands for), symbols (the sequence left) and docs (where each document begins in it).
 
-    A round counts the neighbouring pairs, takes the most frequent of which no symbol stands both left and right (their
-    occurrences cannot overlap), and replaces them all. Pairs never cross the end of a document, whose last position
-    ``ends`` marks.
+    The most frequent pairs are replaced until none occurs ``least`` times without overlap. A round takes all pairs that occur
+    ``limit`` times, the more frequent of two that overlap; the limit halves from the greatest count to ``least``. Of a run
+    of one symbol every other position begins a pair. A hash count spares most pairs the sort. Rules of a round refer to symbols
+    of earlier ones. Pairs never cross the end of a document, whose last position ``ends`` marks.
     """
     terminals, seq = np.unique(ids, return_inverse=True)
     seq = seq.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends] = True
-    sizes = [np.ones(len(terminals), np.int64)]
-    rules: list[np.ndarray] = []
-    n = len(terminals)
-    for _ in range(ROUNDS):
-        open_ = ~last[:-1]
-        if n < 1 << 16:
-            keys = ((seq[:-1] << np.uint32(16)) | seq[1:])[open_]
-            width = 16
-        else:
-            keys = ((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])[open_]
-            width = 32
-        if not len(keys):
-            break
-        keys.sort()
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        count = np.diff(np.append(edge, len(keys)))
-        often = np.flatnonzero(count >= LEAST)
-        if not len(often):
-            break
-        often = often[np.lexsort((keys[edge[often]], -count[often]))][: 4 * PER_ROUND]
-        pairs = keys[edge[often]]
-        left, right = (pairs >> keys.dtype.type(width)).astype(np.int64), (pairs & keys.dtype.type((1 << width) - 1)).astype(np.int64)
-        lefts: dict[int, int] = {}
-        rights: dict[int, int] = {}
-        chosen = []
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            if a != b and a not in rights and b not in lefts:
-                lefts.setdefault(a, len(lefts) + 1)
-                rights.setdefault(b, len(rights) + 1)
-                chosen.append((a, b))
-                if len(chosen) == PER_ROUND:
-                    break
-        if not chosen:
+    sizes, rules, n, limit, least = [np.ones(len(terminals), np.int64)], [], len(terminals), None, max(least, 2)
+    while len(seq) > 1:
+        free = ~last[:-1]
+        same = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+        if len(same):
+            run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+            nth = np.arange(len(same)) - np.repeat(run, np.diff(np.append(run, len(same))))
+            free[same[nth % 2 == 1]] = False
+        bits = max(8, min(20, len(seq).bit_length()))
+        cell = ((seq[:-1] * np.uint32(2654435761)) ^ (seq[1:] * np.uint32(2246822519))) >> np.uint32(32 - bits)
+        often = np.bincount(cell[free], minlength=1 << bits)
+        limit = max(least, min(limit or len(seq), int(often.max()) // 2))
+        at = np.flatnonzero(free & (often >= limit)[cell])
+        pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        found, which, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        some = count[which] >= limit
+        at, which = at[some], which[some]
+        rank = np.empty(len(found), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(found))
+        taken = _chosen(at, rank[which])
+        at, which = at[taken], which[taken]
+        held = np.bincount(which, minlength=len(found))
+        good = held >= least
+        done, limit = limit == least and not good.any(), max(least, limit // 2)
+        if done:
             break
-        pick = np.array(chosen, np.int64)
-        table = np.zeros((len(lefts) + 1, len(rights) + 1), np.uint32)
-        table[[lefts[a] for a, _ in chosen], [rights[b] for _, b in chosen]] = n + np.arange(len(chosen))
-        as_left, as_right = np.zeros(n, np.uint8 if len(lefts) < 256 else np.uint16), np.zeros(n, np.uint8 if len(rights) < 256 else np.uint16)
-        as_left[list(lefts)], as_right[list(rights)] = list(lefts.values()), list(rights.values())
-        hit = table[as_left[seq[:-1]], as_right[seq[1:]]]
-        hit[last[:-1]] = 0
-        at = np.flatnonzero(hit)
-        if not len(at):
-            break
-        seq[at] = hit[at]
+        at, which = at[good[which]], which[good[which]]
+        name = np.cumsum(good) - 1
+        a, b = (found[good] >> np.uint64(32)).astype(np.int64), (found[good] & np.uint64((1 << 32) - 1)).astype(np.int64)
+        seq[at] = n + name[which]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
         known = np.concatenate(sizes)
-        rules.append(pick)
-        sizes.append(known[pick[:, 0]] + known[pick[:, 1]])
-        n += len(pick)
-    ends_now = np.flatnonzero(last)
-    return {"terminals": terminals.astype("<u4"), "rules": np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4"), "sizes": np.concatenate(sizes).astype("<u4"), "symbols": seq.astype("<u2" if n < 1 << 16 else "<u4"), "docs": np.concatenate([[0], ends_now + 1]).astype("<u4")}
+        sizes = [known, known[a] + known[b]]
+        rules.append(np.stack([a, b], 1))
+        n += len(a)
+    kind, made = "<u2" if n < 1 << 16 else "<u4", np.concatenate(sizes)[len(terminals) :]
+    return {
+        "terminals": terminals.astype("<u4"), "rules": (np.concatenate(rules) if rules else np.zeros((0, 2))).astype(kind), "rounds": np.array([len(r) for r in rules], "<u4"),
+        "sizes": made.astype("<u4"), "symbols": seq.astype(kind), "docs": np.concatenate([[0], np.flatnonzero(last) + 1]).astype("<u4"),
+    }
+
+
+def all_sizes(terminals: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids that each symbol stands for: one for a terminal, the stored size of a rule."""
+    return np.concatenate([np.ones(len(terminals), np.int64), sizes.astype(np.int64)])
 
 
-def expansions(terminals: np.ndarray, rules: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of every symbol, end to end, and where each symbol's begin. Rules refer to earlier symbols only."""
-    begin = np.cumsum(sizes.astype(np.int64)) - sizes
+def expansions(terminals: np.ndarray, rules: np.ndarray, rounds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every symbol, end to end, and where each symbol's begin, round by round."""
+    begin = np.cumsum(sizes) - sizes
     flat = np.zeros(int(sizes.sum()), np.uint32)
     flat[: len(terminals)] = terminals
-    for k, (a, b) in enumerate(rules.tolist(), len(terminals)):
-        at, n = begin[k], int(sizes[a])
-        flat[at : at + n] = flat[begin[a] : begin[a] + n]
-        flat[at + n : at + sizes[k]] = flat[begin[b] : begin[b] + int(sizes[b])]
+    n, lo = len(terminals), 0
+    for k in rounds.tolist():
+        both = rules[lo : lo + k].ravel()
+        ids = expand(both, sizes, flat, begin)
+        flat[begin[n] : begin[n] + len(ids)] = ids
+        n, lo = n + k, lo + k
     return flat, begin
 
 
 def expand(symbols: np.ndarray, sizes: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for."""
-    n = sizes[symbols].astype(np.int64)
+    n = sizes[symbols]
     ends = np.cumsum(n)
     return flat[np.repeat(begin[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_FIELDS = "shard int, block int, doc_ids array<long>, terminals binary, rules binary, sizes binary, symbols binary, wide boolean, docs binary, n_ids long"
+_FIELDS = "shard int, block int, doc_ids array<long>, terminals binary, rules binary, rounds binary, sizes binary, symbols binary, wide boolean, docs binary, n_ids long"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None) -> None:
@@ -122,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     tokenizer = tokenizer or tokens.default_path()
     batches_of(spark, 2000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shards = shards or -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 1) // SHARD_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -131,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             ids = np.concatenate(held)
             g = compress(ids, np.cumsum([len(h) for h in held]) - 1)
             row = {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([names], pa.list_(pa.int64()))}
-            row |= {k: [g[k].tobytes()] for k in ("terminals", "rules", "sizes", "symbols")}
+            row |= {k: [g[k].tobytes()] for k in ("terminals", "rules", "rounds", "sizes", "symbols")}
             return pa.RecordBatch.from_pydict(row | {"wide": [g["symbols"].itemsize == 4], "docs": [g["docs"].tobytes()], "n_ids": pa.array([len(ids)], pa.int64())})
 
         for b in batches:
@@ -167,11 +180,11 @@ def read_token_files(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                terminals, rules = np.frombuffer(r["terminals"], "<u4"), np.frombuffer(r["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-                sizes, docs = np.frombuffer(r["sizes"], "<u4"), np.frombuffer(r["docs"], "<u4")
-                symbols = np.frombuffer(r["symbols"], "<u4" if r["wide"] else "<u2")
-                at = np.concatenate([[0], np.cumsum(sizes[symbols].astype(np.int64))])[docs]
-                flat, begin = expansions(terminals, rules, sizes)
+                kind = "<u4" if r["wide"] else "<u2"
+                terminals, rules, symbols = np.frombuffer(r["terminals"], "<u4"), np.frombuffer(r["rules"], kind).reshape(-1, 2), np.frombuffer(r["symbols"], kind)
+                sizes, docs = all_sizes(terminals, np.frombuffer(r["sizes"], "<u4")), np.frombuffer(r["docs"], "<u4")
+                at = np.concatenate([[0], np.cumsum(sizes[symbols])])[docs]
+                flat, begin = expansions(terminals, rules, np.frombuffer(r["rounds"], "<u4"), sizes)
                 for lo in range(0, len(r["doc_ids"]), 200):
                     hi = min(lo + 200, len(r["doc_ids"]))
                     ids = expand(symbols[docs[lo] : docs[hi]], sizes, flat, begin).astype("<u4")
@@ -184,8 +197,19 @@ def read_token_files(spark, path: str) -> DataFrame:
     return read.join(bases, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
+def file_sizes(spark, path: str) -> DataFrame:
+    """ids, rules, symbols and bytes of all blocks under path: what the grammars take, before Parquet's own compression."""
+    blocks = spark.read.schema(_FIELDS).parquet(path)
+    held = sum((F.octet_length(c) for c in ("terminals", "rules", "rounds", "sizes", "symbols", "docs")), F.lit(0))
+    return blocks.agg(F.sum("n_ids").alias("ids"), F.sum(F.octet_length("sizes") / 4).cast("long").alias("rules"), F.sum(F.octet_length("symbols") / F.when(F.col("wide"), 4).otherwise(2)).cast("long").alias("symbols"), F.sum(held).cast("long").alias("bytes"))
+
+
 def store_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Writes docs into the shared folder and reads them back."""
+    """Writes docs into the shared folder and reads them back.
+
+    Null text is empty and holds the end id alone; equal ids are ordered by a hash of the text, null ids come first; repeated rows
+    repeat; an empty table gives an empty result; extra columns are ignored.
+    """
     path = f"{shared_folder(docs.sparkSession)}/stancewise/{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer)
     return read_token_files(docs.sparkSession, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches_of, lean, settle
+from .common import batches_of, broadcast_if, lean, settle
 
-#: Vectors in a tile, queries in a block, dimensions in the first partial sum.
-TILE, QUERIES, HEAD = 2048, 256, 16
+#: Vectors in a tile, queries in a block, blocks that are broadcast together, coordinates of the partial sums.
+TILE, QUERIES, GROUP, HEADS = 2048, 256, 256, (8, 24)
+#: A wave of tiles holds so many times the tiles of the one before; bounds tighten between waves.
+GROWTH = 4
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -66,7 +69,7 @@ def _packer(size: int):
 
         def tile(i: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
             longest = float(np.sqrt((v.astype(np.float64) ** 2).sum(1).max()))
-            return pa.RecordBatch.from_pydict({"tile": pa.array([part * 1_000_000 + k], pa.int64()), "longest": [longest], "ids": [i.astype("<i8").tobytes()], "vs": [v.astype("<i8").tobytes()]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "longest": [longest], "ids": [i.astype("<i8").tobytes()], "vs": [v.astype("<i8").tobytes()]})
 
         for b in batches:
             if b.num_rows:
@@ -82,67 +85,103 @@ def _packer(size: int):
     return pack
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    order = np.lexsort((ids, -scores))
-    return order[:k]
+def _packed(rows: DataFrame, size: int, n: int, name: str) -> DataFrame:
+    """name (0, 1, ... in descending order of length), longest, ids, vs: rows in packs of size vectors, nearly all full."""
+    order = (F.desc("len2"), F.asc("vec_id"), F.asc("row"))
+    parts = rows.repartitionByRange(max(1, -(-n // (4 * size))), *order).sortWithinPartitions(*order)
+    packs = settle(parts.select("vec_id", "v").mapInArrow(lean(_packer(size)), "part int, k int, longest double, ids binary, vs binary"))
+    ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    counts = packs.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    base = settle(counts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")))
+    return packs.join(broadcast_if(base, base.count(), 100_000), "part").select((F.col("base") + F.col("k")).alias(name), "longest", "ids", "vs")
 
 
 def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other vectors.
 
     Queries are the rows whose id is divisible by ``every``; rows of one query id rank together, and no row of that id is a
-    candidate. Vectors are range-partitioned by descending length (ties by id and row, so one very common vector still spreads) and packed into tiles; queries are packed into blocks. First each block meets the
-    tile of longest vectors, which gives every query a lower bound for its k-th score. Then a block meets only tiles
-    whose longest vector can still reach some bound (|q||v| >= bound). Inside a pair both are rotated by the right singular
-    vectors of the table; the partial product over the first HEAD coordinates plus the product of the residual lengths
-    bounds the rest, and only what survives gets its exact integer product. Results per pair (k at most, above the bound)
-    merge in one window per query.
+    candidate. Vectors are range-partitioned by descending length (ties by id and row, so one very common vector still spreads)
+    and packed into tiles, queries into blocks. Tiles come in waves of growing number, the longest first. In a wave a tile meets
+    only those blocks for which |q||v| of its longest vector can still reach some query's bound, its k-th score so far; a
+    task goes through its tiles in order and raises the bounds as it finds more, and after the wave the results of all tasks give
+    the bounds of the next. When no bound can be reached the later, shorter tiles are not read. Inside a tile both sides are
+    rotated by the right singular vectors of the table; partial products over the first HEADS coordinates plus the
+    product of the residual lengths bound the rest, and only what survives gets its exact integer product.
+
+    No vector is shuffled after packing: GROUP blocks at a time (some 35 MB at 64 dimensions) are broadcast to the tiles.
 
     Ties go to the smaller id. With fewer than k candidates all are returned. See ``quantised`` for the rows that take
     part. An empty table or one without queries gives an empty result; extra columns are ignored.
     """
-    batches_of(vectors.sparkSession, 1000)
+    spark = vectors.sparkSession
+    batches_of(spark, 1000)
     rows = settle(quantised(vectors, id_col, vector_col, scale))
     n = rows.count()
-    schema = "query_id long, rank int, vec_id long, score long"
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return empty
     turn = _rotation(rows)
-    parts = max(1, -(-n // (4 * TILE)))
-    packed = "tile long, longest double, ids binary, vs binary"
-    tiles = settle(rows.repartitionByRange(parts, F.desc("len2"), F.asc("vec_id"), F.asc("row")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id"), F.asc("row")).select("vec_id", "v").mapInArrow(lean(_packer(TILE)), packed))
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    blocks = settle(asked.repartitionByRange(max(1, -(-n // (every * QUERIES * 4))), F.desc("len2"), F.asc("vec_id"), F.asc("row")).sortWithinPartitions(F.desc("len2"), F.asc("vec_id"), F.asc("row")).select("vec_id", "v").mapInArrow(lean(_packer(QUERIES)), packed))
-    blocks = blocks.select(F.col("tile").alias("block"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
-
-    head = F.broadcast(tiles.orderBy(F.desc("longest"), "tile").limit(1))  # one tile: TILE vectors
-    seeded = settle(blocks.join(head).mapInArrow(lean(_bounds(k)), "block long, q_ids binary, q_vs binary, bounds binary, need double"))
-    reach = seeded.select("block", "need").join(tiles.select("tile", "longest"), F.col("longest") >= F.col("need")).select("block", "tile")
-    pairs = reach.join(tiles, "tile").join(seeded, "block").select("q_ids", "q_vs", "bounds", "ids", "vs")
-    found = pairs.mapInArrow(lean(_search(k, turn, HEAD)), "query_id long, vec_id long, score long")
+    wave = F.floor(F.log((GROWTH - 1.0) * F.col("tile") + 1.000001) / math.log(GROWTH)).cast("int")
+    tiles = settle(_packed(rows, TILE, n, "tile").withColumn("wave", wave), "wave")
+    blocks = settle(_packed(rows.filter(F.col("vec_id") % every == 0), QUERIES, -(-n // every), "block").withColumn("group", F.expr(f"cast(block div {GROUP} as int)")), "group")
+    longest = [r["longest"] for r in tiles.groupBy("wave").agg(F.max("longest").alias("longest")).orderBy("wave").collect()]  # a row per wave
+    groups = blocks.agg(F.max("group")).first()[0]
+    if groups is None:
+        return empty
+    batches_of(spark, 8)
+    found = None
+    for group in range(groups + 1):
+        asked = blocks.filter(F.col("group") == group).select("block", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+        best = _searched(asked, tiles, longest, turn, k)
+        found = best if found is None else found.unionByName(best)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _searched(asked: DataFrame, tiles: DataFrame, longest: list[float], turn: np.ndarray, k: int) -> DataFrame:
+    """block, at, query_id, vec_id, score: the k best of the query at each place of some blocks, wave by wave."""
+    best, order = None, W.partitionBy("block", "at").orderBy(F.desc("score"), "vec_id")
+    for wave, most in enumerate(longest):
+        if best is None:
+            bounded = asked.withColumn("floors", F.expr("cast(array() as array<struct<at:int,bound:long>>)"))
+        else:
+            kth = best.groupBy("block", "at").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+            floors = kth.groupBy("block").agg(F.collect_list(F.struct("at", "bound")).alias("floors"))  # at most QUERIES
+            bounded = asked.join(floors, "block", "left")
+        bounded = settle(bounded.mapInArrow(lean(_bounds), "block long, q_ids binary, q_vs binary, bounds binary, need double").filter(F.col("need") <= most))
+        if not bounded.limit(1).count():
+            break
+        #: GROUP blocks at most; the stated queries against all rows, in blocks
+        pairs = tiles.filter(F.col("wave") == wave).join(F.broadcast(bounded), F.col("longest") >= F.col("need"))
+        new = pairs.select("tile", "ids", "vs", "block", "q_ids", "q_vs", "bounds").mapInArrow(lean(_search(k, turn)), "block long, at int, query_id long, vec_id long, score long")
+        both = new if best is None else best.unionByName(new)
+        best = settle(both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place"))
+    return best
+
+
 def _unpacked(ids: bytes, vs: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
     return i, np.frombuffer(vs, "<i8").reshape(len(i), -1)
 
 
-def _bounds(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                q_ids, q = _unpacked(r["q_ids"], r["q_vs"])
-                ids, v = _unpacked(r["ids"], r["vs"])
-                s = _products(q, v).astype(np.float64)
-                s[q_ids[:, None] == ids[None, :]] = -np.inf
-                bound = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
-                length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-                need = np.where(length > 0, bound / np.maximum(length, 1e-300), np.where(bound > 0, np.inf, -np.inf)).min()
-                yield pa.RecordBatch.from_pydict({"block": [r["block"]], "q_ids": [r["q_ids"]], "q_vs": [r["q_vs"]], "bounds": [bound.astype("<f8").tobytes()], "need": [float(need) - abs(float(need)) * 1e-9 if np.isfinite(need) else float(need)]})
+def _at_most(x: int) -> float:
+    """The largest double that is not above x."""
+    f = float(x)
+    return f if int(f) <= x else float(np.nextafter(f, -np.inf))
 
-    return run
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bounds: the k-th score so far of each query (-inf without one); need: the least vector length that can reach some bound."""
+    for b in batches:
+        for r in b.to_pylist():
+            ids, q = _unpacked(r["q_ids"], r["q_vs"])
+            bound = np.full(len(ids), -np.inf)
+            for f in r["floors"] or ():
+                bound[f["at"]] = _at_most(f["bound"])
+            length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+            need = np.where(length > 0, bound / np.maximum(length, 1e-300), np.where(bound > 0, np.inf, -np.inf)).min()
+            need = float(need) - abs(float(need)) * 1e-9 if np.isfinite(need) else float(need)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]], pa.int64()), "q_ids": [r["q_ids"]], "q_vs": [r["q_vs"]], "bounds": [bound.astype("<f8").tobytes()], "need": [need]})
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -153,27 +192,65 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
-def _search(k: int, turn: np.ndarray, head: int):
+class _Side:
+    """Vectors with their rotated form, lengths and residual lengths after each of HEADS."""
+
+    def __init__(self, ids: bytes, vs: bytes, turn: np.ndarray):
+        self.ids, self.v = _unpacked(ids, vs)
+        self.turned = self.v @ turn
+        self.length = np.sqrt((self.turned**2).sum(1))
+        self.rest = [np.sqrt((self.turned[:, h:] ** 2).sum(1)) for h in HEADS]
+
+
+def _search(k: int, turn: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[int, _Side] = {}
+        bounds: dict[int, np.ndarray] = {}
+        best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        none = np.zeros(0, np.int64)
+        at_hand: tuple[int, _Side] | None = None
         for b in batches:
-            for r in b.to_pylist():
-                q_ids, q = _unpacked(r["q_ids"], r["q_vs"])
-                ids, v = _unpacked(r["ids"], r["vs"])
-                bound = np.frombuffer(r["bounds"], "<f8")
-                tq, tv = q @ turn, v @ turn
-                slack = 1e-9 * np.sqrt((tq**2).sum(1))[:, None] * np.sqrt((tv**2).sum(1))[None, :] + 1e-6
-                rest_q, rest_v = np.sqrt((tq[:, head:] ** 2).sum(1)), np.sqrt((tv[:, head:] ** 2).sum(1))
-                live = tq[:, :head] @ tv[:, :head].T + rest_q[:, None] * rest_v[None, :] + slack >= bound[:, None]
-                live &= q_ids[:, None] != ids[None, :]
-                out = [[], [], []]
-                for i in np.flatnonzero(live.any(1)):
-                    at = np.flatnonzero(live[i])
-                    s = _products(q[i : i + 1], v[at])[0]
-                    for j in _best(s, ids[at], k):
-                        if s[j] >= bound[i]:
-                            for o, x in zip(out, (q_ids[i], ids[at][j], s[j]), strict=True):
-                                o.append(int(x))
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["query_id", "vec_id", "score"])
+            for i in range(b.num_rows):
+                tile, ids, vs, block, q_ids, q_vs, floors = (b.column(c)[i].as_py() for c in range(7))
+                if at_hand is None or at_hand[0] != tile:
+                    at_hand = (tile, _Side(ids, vs, turn))
+                v = at_hand[1]
+                if block not in sides:
+                    sides[block] = _Side(q_ids, q_vs, turn)
+                    bounds[block] = np.frombuffer(floors, "<f8").copy()
+                    best[block] = [(none, none)] * len(sides[block].ids)
+                _meet(sides[block], v, bounds[block], best[block], k)
+        for block, held in best.items():
+            at = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
+            if len(at):
+                score, ids = (np.concatenate([h[j] for h in held]) for j in range(2))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(at), pa.int64()), "at": at.astype(np.int32), "query_id": sides[block].ids[at], "vec_id": ids, "score": score})
 
     return run
+
+
+def _meet(q: _Side, v: _Side, bound: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
+    """Takes into best (score, id of the k best of each query) what a tile holds above the bounds, and raises these."""
+    live = q.ids[:, None] != v.ids[None, :]
+    rows, columns = np.arange(len(q.ids)), np.arange(len(v.ids))
+    for head, rest_q, rest_v in zip(HEADS, q.rest, v.rest, strict=True):
+        some = live.any(1)
+        rows, live = rows[some], live[some]
+        some = live.any(0)
+        columns, live = columns[some], live[:, some]
+        if not live.size:
+            return
+        slack = 1e-9 * q.length[rows][:, None] * v.length[columns][None, :] + 1e-6
+        most = q.turned[rows, :head] @ v.turned[columns, :head].T + rest_q[rows][:, None] * rest_v[columns][None, :] + slack
+        live = live & (most >= bound[rows][:, None])
+    for r, hits in zip(rows, live, strict=True):
+        at = columns[hits]
+        if not len(at):
+            continue
+        score = _products(q.v[r : r + 1], v.v[at])[0]
+        near = score >= bound[r]
+        score, ids = np.concatenate([best[r][0], score[near]]), np.concatenate([best[r][1], v.ids[at[near]]])
+        order = np.lexsort((ids, -score))[:k]
+        best[r] = (score[order], ids[order])
+        if len(order) == k:
+            bound[r] = max(bound[r], _at_most(int(score[order[-1]])))

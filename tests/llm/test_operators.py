@@ -276,12 +276,41 @@ def test_token_files_round_trip(docs):
         start += len(ids) // 4
 
 
+def read_grammar(g):
+    sizes = tokenstore.all_sizes(g["terminals"], g["sizes"])
+    flat, begin = tokenstore.expansions(g["terminals"], g["rules"], g["rounds"], sizes)
+    return tokenstore.expand(g["symbols"], sizes, flat, begin)
+
+
 def test_grammar_shrinks_and_expands():
     r = np.random.default_rng(1)
     ids = np.concatenate([np.tile(r.integers(0, 60_000, 50), 100), r.integers(0, 300, 5000)]).astype(np.uint32)
     g = tokenstore.compress(ids, np.array([2499, 4999, 5000, len(ids) - 1]))
-    flat, begin = tokenstore.expansions(g["terminals"], g["rules"], g["sizes"])
-    assert (tokenstore.expand(g["symbols"], g["sizes"], flat, begin) == ids).all() and len(g["symbols"]) < 0.7 * len(ids)
+    assert (read_grammar(g) == ids).all() and len(g["symbols"]) < 0.7 * len(ids)
+    assert np.diff(np.append(g["docs"], len(g["symbols"])))[:3].min() > 0
+
+
+def test_grammar_of_runs_and_repeats():
+    """Runs of one id halve until nothing repeats; a passage repeated 2000 times ends as a few symbols."""
+    equal = np.full(100_000, 7, np.uint32)
+    g = tokenstore.compress(equal, np.array([len(equal) - 1]), least=2)
+    assert (read_grammar(g) == equal).all() and len(g["symbols"]) + len(g["rules"]) < 40
+    passage = np.random.default_rng(2).permutation(5000)[:64].astype(np.uint32)
+    many = np.tile(passage, 2000)
+    g = tokenstore.compress(many, np.array([len(many) - 1]), least=2)
+    assert (read_grammar(g) == many).all() and len(g["symbols"]) + len(g["rules"]) < 100
+    text = np.random.default_rng(3).zipf(1.3, 20_000).clip(0, 3000).astype(np.uint32)
+    for least in (2, 4):
+        g = tokenstore.compress(text, np.array([9_999, 19_999]), least=least)
+        assert (read_grammar(g) == text).all()
+        pairs = collections.Counter()
+        for part in np.split(g["symbols"], g["docs"][1:-1]):
+            at = -1
+            for i, pair in enumerate(itertools.pairwise(part.tolist())):
+                if pair[0] != pair[1] or i > at:  # a pair of equal symbols does not overlap the one before
+                    pairs[pair] += 1
+                    at = i + 1 if pair[0] == pair[1] else at
+        assert max(pairs.values()) < least
 
 
 def test_token_files_odd_rows(odd, none):
@@ -298,20 +327,34 @@ def test_language_held_out(spark):
     assert all(0 <= x["score"] <= 1 for x in rows)
 
 
-def test_phrases_equal_brute_force():
-    parser = langid.Parser({"a": "abracadabra alakazam", "b": "zzyzx xylophone zig"})
+@pytest.mark.parametrize("dense", [1 << 25, 300, 0])
+def test_phrases_equal_brute_force(monkeypatch, dense):
+    """In dense and in sparse tables, with letters that no sample has, and over several segments."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    samples = {"a": "abracadabra - alakazam", "b": "zzyzx xylophone zig"}
+    parser = langid.Parser(samples)
+    assert sum(t.dense for t in parser.tables) == {1 << 25: 2, 300: 1, 0: 0}[dense]
     r = random.Random(1)
-    for text in ["".join(r.choice("abrzyx k") for _ in range(r.randint(1, 60))) for _ in range(50)]:
-        plain = re.sub(" +", " ", text)
+    texts = ["".join(r.choice("abrzyxq  k1") for _ in range(r.randint(1, 60))) for _ in range(50)] + ["".join(r.choice("abrzyxk ") for _ in range(3000))]
+    for text in texts:
+        plain = re.sub(" +", " ", text.replace("1", " "))
         got = parser.phrases([text])[0][:, 0]
-        for k, sample in enumerate(("abracadabra alakazam", "zzyzx xylophone zig")):
-            n, i = 0, 0
-            while i < len(plain):
-                j = i + 1
-                while j <= len(plain) and plain[i:j] in sample:
-                    j += 1
-                i, n = max(j - 1, i + 1), n + 1
-            assert got[k] == pytest.approx(n, abs=1), (text, k)
+        for k, sample in enumerate(re.sub("[^a-z]+", " ", s) for s in samples.values()):
+            n = 0
+            for lo in range(0, len(plain), langid.SEGMENT):
+                part, i = plain[lo : lo + langid.SEGMENT], 0
+                while i < len(part):
+                    j = i + 1
+                    while j <= len(part) and part[i:j] in sample:
+                        j += 1
+                    i, n = max(j - 1, i + 1), n + 1
+            assert got[k] == n, (text, k)
+
+
+def test_large_alphabets_stay_small():
+    r = random.Random(3)
+    parser = langid.Parser({"han": "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(32_000)), "en": "a quick brown fox " * 100})
+    assert [t.dense for t in parser.tables] == [False, True] and len(parser.tables[0].keys) < 200_000
 
 
 def test_language_odd_rows(odd, none):
