@@ -22,25 +22,49 @@ ALPHABETS = {
     "base64": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 RANKS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
+#: What counts as ordinary text: symbol counts whose chi-squared exceeds its mean by symbols / UNEVEN for each character, or runs or
+#: serial correlation off by SHIFT standard errors times the root of the length.
+UNEVEN, SHIFT = 50, 0.6
 #: False-discovery level; bins of -ln p in which p-values are counted over the corpus.
 LEVEL, BIN, BINS = 0.05, 0.1, 400
+#: Matches whose places are added up at a time; characters of a string that are looked at at a time.
+CHUNK, PIECE = 64, 4096
 
 
-def _places(text: Column, pattern: str, group: int) -> Column:
-    """array<struct<start, end, hit, size>> of the leftmost non-overlapping matches, in code points.
-
-    What lies between matches and the matches themselves give the places: one pass adds up their lengths.
-    """
+def _parts(text: Column, pattern: str, group: int) -> Column:
+    """array<struct<gap, hit, size>> of the leftmost non-overlapping matches: the text before, the match, the length of its group."""
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else F.transform(hits, F.length)
     parts = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), sized.alias("size"))
+    return F.when(text.rlike(pattern), parts).otherwise(F.expr("cast(array() as array<struct<gap:string,hit:string,size:int>>)"))
+
+
+def _places(parts: Column) -> Column:
+    """array<struct<start, end, hit, size>> of matches, in code points.
+
+    The places are running sums of lengths: first of chunks of CHUNK matches, then inside each, so that a text of many matches
+    costs their number times CHUNK and not its square.
+    """
+    width = lambda p: F.length(p["gap"]) + F.length(p["hit"])
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(parts) / CHUNK).cast("int") - 1, F.lit(0))), lambda i: F.slice(parts, i * CHUNK + 1, F.lit(CHUNK)))
+    before = F.aggregate(
+        F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + width(p))),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+    )["out"]
     empty = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,size:int>>)")
     step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("end"), p["hit"].alias("hit"), p["size"].alias("size")))).alias("out"),
+        (acc["at"] + width(p)).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), (acc["at"] + width(p)).alias("end"), p["hit"].alias("hit"), p["size"].alias("size")))).alias("out"),
     )
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.flatten(F.zip_with(chunks, before, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step)["out"]))
+
+
+def _masked(text: Column, parts: Column, least: int) -> Column:
+    """text with line feeds in place of the matches of at least that size."""
+    kept = F.transform(parts, lambda p: F.concat(p["gap"], F.when(p["size"] >= least, F.repeat(F.lit("\n"), F.length(p["hit"]))).otherwise(p["hit"])))
+    used = F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["hit"]))
+    return F.when(F.size(parts) == 0, text).otherwise(F.concat(F.array_join(kept, ""), F.substr(text, used + 1)))
 
 
 def _tail(z: Column) -> Column:
@@ -49,11 +73,13 @@ def _tail(z: Column) -> Column:
 
 
 def _battery(s: Column) -> Column:
-    """struct<n, p>: the combined p-value of the hypothesis that s is drawn evenly from its inferred alphabet.
+    """struct<n, nlp>: length, and -ln of the p-value of the hypothesis that s is ordinary text and not drawn evenly from
+    its inferred alphabet.
 
-    Chi-squared of the symbol counts (upper tail), runs about the middle of the alphabet and lag-1 serial correlation
-    of the symbol numbers (both two-sided), combined by Fisher's method. Null where s is no candidate: it needs a digit
-    and a letter.
+    Three tests, each of the hypothesis of a departure at least as large as UNEVEN and SHIFT say: chi-squared of the
+    symbol counts (lower tail of the noncentral law), runs about the middle of the alphabet, and lag-1 serial correlation of
+    the symbol numbers. The largest p-value counts, so only what passes all three is random. A short string cannot
+    pass: the laws with and without departure part with the root of the length. Null where s has no digit or no letter.
     """
     body = F.rtrim(s, F.lit("="))
     kind = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").when(body.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
@@ -62,63 +88,68 @@ def _battery(s: Column) -> Column:
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     base = F.struct(body.alias("s"), alphabet.alias("abc"), F.length(body).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"))
 
-    def tests(b: Column) -> Column:
+    def sums(b: Column) -> Column:
         s, n, k = b["s"], b["n"], b["k"]
         squares = F.aggregate(chars(b["abc"]), F.lit(0.0), lambda a, c: a + F.pow((n - F.length(F.replace(s, c)).cast("double")), F.lit(2.0)))
-        df, chi = k - 1, k / n * squares - n
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        x = F.transform(chars(s), lambda c: F.instr(b["abc"], c).cast("double"))
-        return F.struct(n.alias("n"), k.alias("k"), z_chi.alias("z_chi"), x.alias("x"))
-
-    def lagged(b: Column) -> Column:
-        x, n, k = b["x"], b["n"], b["k"]
-        pairs = F.arrays_zip(F.slice(x, 1, F.size(x) - 1).alias("a"), F.slice(x, 2, F.size(x) - 1).alias("b"))
-        total = lambda f, of: F.aggregate(of, F.lit(0.0), lambda a, v: a + f(v))
-        above = total(lambda v: (v > k / 2).cast("double"), x)
-        runs = 1 + total(lambda v: ((v["a"] > k / 2) != (v["b"] > k / 2)).cast("double"), pairs)
-        mean = total(lambda v: v, x) / n
-        cross, own = total(lambda v: (v["a"] - mean) * (v["b"] - mean), pairs), total(lambda v: F.pow(v - mean, F.lit(2.0)), x)
+        high = lambda x: x > k / 2
+        step = lambda t, x: F.struct(
+            x.alias("last"), F.when(t["last"] > 0, t["first"]).otherwise(x).alias("first"), (t["sum"] + x).alias("sum"), (t["own"] + x * x).alias("own"), (t["cross"] + t["last"] * x).alias("cross"),
+            (t["above"] + high(x).cast("double")).alias("above"), (t["runs"] + ((t["last"] == 0) | (high(t["last"]) != high(x))).cast("double")).alias("runs"),
+        )
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("last", "first", "sum", "own", "cross", "above", "runs")])
+        pieces = F.regexp_extract_all(s, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+        total = F.aggregate(pieces, zero, lambda t, piece: F.aggregate(F.transform(chars(piece), lambda c: F.instr(b["abc"], c).cast("double")), t, step))
+        return F.struct(n.alias("n"), k.alias("k"), (k / n * squares - n).alias("chi"), total.alias("t"))
+
+    def tests(b: Column) -> Column:
+        n, k, t = b["n"], b["k"], b["t"]
+        extra = n * k / UNEVEN
+        z_chi = (b["chi"] - (k - 1 + extra)) / F.sqrt(2 * (k - 1 + 2 * extra))
+        mean, above = t["sum"] / n, t["above"]
+        cross, own = t["cross"] - mean * (2 * t["sum"] - t["first"] - t["last"]) + (n - 1) * mean * mean, t["own"] - n * mean * mean
         runs_mean = 2 * above * (n - above) / n + 1
         runs_var = F.greatest((runs_mean - 1) * (runs_mean - 2) / (n - 1), F.lit(1e-9))
-        return F.struct(n.alias("n"), b["z_chi"].alias("z_chi"), ((runs - runs_mean) / F.sqrt(runs_var)).alias("z_runs"), (F.when(own > 0, cross / F.greatest(own, F.lit(1e-9))).otherwise(1.0) * F.sqrt(n)).alias("z_serial"))
-
-    def combined(b: Column) -> Column:
-        half = -(F.ln(F.greatest(_tail(b["z_chi"]), F.lit(1e-300))) + F.ln(F.greatest(F.least(2 * _tail(F.abs(b["z_runs"])), F.lit(1.0)), F.lit(1e-300))) + F.ln(F.greatest(F.least(2 * _tail(F.abs(b["z_serial"])), F.lit(1.0)), F.lit(1e-300))))
-        return F.struct(b["n"].alias("n"), (half - F.ln(1 + half + half * half / 2)).alias("nlp"))
+        z_runs, z_serial = (t["runs"] - runs_mean) / F.sqrt(runs_var), F.when(own > 0, cross / F.greatest(own, F.lit(1e-9))).otherwise(1.0) * F.sqrt(n)
+        far = SHIFT * F.sqrt(n)
+        p = F.greatest(_tail(-z_chi), _tail(far - F.abs(z_runs)), _tail(far - F.abs(z_serial)), F.lit(1e-17))
+        return F.struct(n.alias("n"), (-F.ln(p)).alias("nlp"))
 
-    one = F.transform(F.transform(F.transform(F.array(base), tests), lagged), combined)
+    one = F.transform(F.transform(F.array(base), sums), tests)
     return F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]"), one[0])
 
 
-def _base(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    kept = F.filter(_places(text, pattern, group), lambda p: p["size"] >= least)
+def _base(parts: Column, kind: str, least: int) -> Column:
+    kept = F.filter(_places(parts), lambda p: p["size"] >= least)
     return F.transform(kept, lambda p: F.struct(p["start"].alias("start"), F.lit(RANKS[kind]).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: float = LEVEL) -> DataFrame:
     """One row per document: doc_id, base (array of kind, start, end) and spans (base and added), ordered by place.
 
-    Base spans come from the three patterns. The battery then tests every other string of 20 or more key characters
-    with digits and letters. Its hypothesis is "drawn evenly from the inferred alphabet"; Benjamini-Hochberg over the whole
-    corpus, weighted by length (a longer string tells more, so it gets the larger share of the level), decides which strings
-    are *not* random. The rest is added as kind ``random``. The level bounds the share of true keys among what is
-    thrown out. Only counts per length class and p-value bin (at most 16 x 400) reach the driver.
+    Base spans come from the three patterns. The battery then tests every other string of 20 or more key characters with
+    digits and letters (outside assignments; a string that holds another base span is none). Its hypothesis is "ordinary
+    text"; Benjamini-Hochberg over the whole corpus, weighted by length (a longer string tells more, so it gets the larger share
+    of the level), decides which strings are random. Those are added as kind ``random``: the level bounds the share of ordinary
+    strings among them. Only counts per length class and p-value bin (at most 16 x 400) reach the driver.
 
     Null text counts as empty; documents without secrets get empty arrays; repeated rows give repeated results; extra
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. The work is linear in the length of a text and its matches.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = [_base(text, kind, *rule) for kind, rule in KINDS.items()]
-    tested = F.transform(F.filter(_places(text, CANDIDATE, 0), lambda p: p["hit"].rlike("[0-9]")), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), _battery(p["hit"]).alias("test")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(F.concat(*base)).alias("base"), tested.alias("tested"))
-    free = lambda t, base: t["test"].isNotNull() & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({kind: _parts(F.col("text"), pattern, group) for kind, (pattern, group, _) in KINDS.items()})
+    base = [_base(F.col(kind), kind, least) for kind, (_, _, least) in KINDS.items()]
+    rows = rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), _masked(F.col("text"), F.col("assign"), KINDS["assign"][2]).alias("rest"))
+    rows = rows.select("doc_id", "base", _parts(F.col("rest"), CANDIDATE, 0).alias("parts"))
+    fit = lambda p: p["hit"].rlike("[0-9]") & ~p["hit"].rlike(f"{KINDS['hex'][0]}|{KINDS['access'][0]}")
+    tested = F.transform(F.filter(_places(F.col("parts")), fit), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), _battery(p["hit"]).alias("test")))
+    rows = rows.select("doc_id", "base", F.filter(tested, lambda t: t["test"].isNotNull()).alias("tested"))
     size_class = lambda n: F.least(F.floor(F.log2(n)), F.lit(15)).cast("int")
-    rows = settle(rows.select("doc_id", "base", F.transform(F.filter("tested", lambda t: free(t, F.col("base"))), lambda t: F.struct(t["start"].alias("start"), F.lit(RANKS["random"]).alias("rank"), t["end"].alias("end"), F.lit("random").alias("kind"), size_class(t["test"]["n"]).alias("of"), t["test"]["nlp"].alias("nlp"))).alias("tested")))
+    rows = settle(rows.select("doc_id", "base", F.transform("tested", lambda t: F.struct(t["start"].alias("start"), F.lit(RANKS["random"]).alias("rank"), t["end"].alias("end"), F.lit("random").alias("kind"), size_class(t["test"]["n"]).alias("of"), t["test"]["nlp"].alias("nlp"))).alias("tested")))
 
     seen = rows.select(F.explode("tested").alias("t")).groupBy("t.of", F.least(F.floor(F.col("t.nlp") / BIN), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     limits = _limits([tuple(r) for r in seen.collect()], level)
     table = F.create_map(*[x for of, v in limits.items() for x in (F.lit(of), F.lit(v))]) if limits else None
-    keep = (lambda t: t["nlp"] < F.coalesce(F.element_at(table, t["of"]), F.lit(float("inf")))) if limits else (lambda t: F.lit(True))
+    keep = (lambda t: t["nlp"] >= F.coalesce(F.try_element_at(table, t["of"]), F.lit(float("inf")))) if limits else (lambda t: F.lit(False))
     added = F.transform(F.filter("tested", keep), lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind")))
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 

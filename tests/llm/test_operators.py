@@ -258,6 +258,19 @@ def test_toxicity_marginals_equal_brute_force():
             assert x[0, 2] == pytest.approx(1 - clean / z)
 
 
+def test_toxicity_of_very_long_texts(spark):
+    """A text of 5 MB, nearly all of it in the lexicon, takes seconds, and a chain cut into segments gives what single texts give."""
+    r = np.random.default_rng(1)
+    field = toxicity.Field({"bad": 5, "worse": 7, "odd": 1}, np.append(-3.0, np.linspace(-1, 2, 56)), np.array([[0.2, -1.0], [0.1, 0.7]]), np.array([-2.0, 1.0, 1.0, 0.5]), 0.1)
+    seqs = [np.where(r.random(n) < 0.3, r.integers(0, 57, n), 0).astype(np.uint8) for n in (1, 2, 50, 3, 400, 1, 7)] + [np.zeros(4, np.uint8), np.zeros(0, np.uint8)]
+    together, each = toxicity._features(field, seqs), [toxicity._features(field, [s]) for s in seqs]
+    assert together[0] == pytest.approx(np.concatenate([x for x, _ in each])) and all(a == pytest.approx(b[0]) for a, (_, b) in zip(together[1], each, strict=True))
+    text = "bad Worse odd other " * 250_000
+    table = documents(spark, [(1, text), (2, "fine words"), (3, None)])
+    got = {x["doc_id"]: (x["score"], x["n"]) for x in toxicity.score(table, field).select("doc_id", "score", F.size("spans").alias("n")).collect()}
+    assert got[1][0] > 0.9 > got[2][0] == got[3][0] and got[1][1] > 100_000
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)] + [(None, None, None)], "doc_id long, quality int, toxic int")
     field = toxicity.learn(odd, labels)
@@ -397,12 +410,29 @@ def test_secrets_base_equals_brute_force(spark, docs):
         assert set(x["base"].split(",")) - {""} <= set(x["spans"].split(","))
 
 
-def test_battery_keeps_random_strings_and_leaves_regular_ones(spark):
+def test_added_spans_have_precision_and_recall(spark):
+    """Keys of 40 and more characters against identifiers, paths, numbered words and repeats of the same lengths."""
     r = random.Random(4)
-    key = lambda: "".join(r.choice(secrets.ALPHABETS["alnum"]) for _ in range(40))
-    rows = [(i, f"see {key()} here") for i in range(40)] + [(100 + i, "id " + "xy1" * 30) for i in range(40)]
-    got = {x["doc_id"]: x["n"] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("spans").alias("n")).collect()}
-    assert np.mean([got[i] for i in range(40)]) > 0.8 and not any(got[100 + i] for i in range(40))
+    word = lambda: "".join(r.choice("etaoinshrdlucmfw") for _ in range(r.randint(3, 9)))
+    key = lambda abc: "".join(r.choice(secrets.ALPHABETS[abc]) for _ in range(r.randint(40, 80)))
+    camel = lambda: "".join(word().capitalize() for _ in range(8)) + str(r.randrange(99))
+    path = lambda: "/".join(word() for _ in range(8)) + f"/{r.randrange(1000)}"
+    number = lambda: "id-" + "0123456789" * r.randint(4, 7)
+    rows = [(i, f"see {key('alnum' if i % 2 else 'base64')} here") for i in range(200)]
+    rows += [(1000 + i, f"see {(camel, path, number, lambda: 'xy1' * 20)[i % 4]()} here") for i in range(400)]
+    rows += [(2000, None), (2001, "")]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", (F.size("spans") - F.size("base")).alias("n")).collect()
+    got = {x["doc_id"] for x in found if x["n"]}
+    right = sum(i < 1000 for i in got)
+    print(f"precision {right / len(got):.3f}, recall {right / 200:.3f}")
+    assert len(found) == len(rows) and right / 200 > 0.9 and right / len(got) > 0.95
+
+
+def test_secrets_of_very_long_texts(spark):
+    """5 MB of hex strings and assignments: places as brute force gives them, in time that grows with the text."""
+    text = ("🙂 0123456789abcdef0 token=abcdefghijkl12 word " * 120_000)[:5_000_000]
+    x = secrets.scan_secrets(spark.createDataFrame([(1, text), (2, "k1" * 100_000)], "doc_id long, text string")).select("doc_id", secrets.span_text("base").alias("base"), secrets.span_text("spans").alias("spans")).orderBy("doc_id").collect()
+    assert x[0]["base"] == x[0]["spans"] == brute_secrets(text) and x[1]["spans"] == ""
 
 
 def test_secrets_odd_rows(odd, none):
