@@ -9,27 +9,27 @@ from stancewise.llm.common import settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letter in the text) go."""
+    """Documents whose language cannot be told (null text, or no letter in it) go; repeated rows repeat."""
     return langid.identify(docs).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays; null ids lose to any other, of rows that repeat all one stays."""
     return dedup.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, also where ids are null or repeat; texts without words stay."""
     return nearcopies.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it: not at all, once or twice."""
+    """Each document comes as often as the mix takes it: not at all, once or twice. Null sources are one source, last in order."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document: where it lies in which sequence."""
+    """A row per piece of a document: where it lies in which sequence. A null text is a piece of the end id alone."""
     return packing.pack_documents(docs)
 
 

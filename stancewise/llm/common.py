@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows from which a group is hot, and hot groups (some 100 bytes each) that are broadcast at most.
+HOT, BROADCAST_HOT = 500, 200_000
+
 _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new temporary one only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a new temporary one in local mode, else an error: executors
+    do not share a machine's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _own_folder.setdefault("path", tempfile.mkdtemp(prefix="stancewise-"))
 
 
@@ -77,6 +83,21 @@ def words_print(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")).cast("binary"), 256), 1, 32))
 
 
+def handed_back(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataFrame:
+    """rows with the columns of their group (one row per value of ``on``; ``size`` counts its rows). Both are written tables.
+
+    Groups of HOT and more rows, of which there are at most rows / HOT, are broadcast, so that a group with a third of all rows
+    stays where its rows are; the rest meet by shuffle.
+    """
+    hot = groups.filter(F.col(size) >= HOT)
+    n = hot.count()
+    if not n:
+        return rows.join(groups, on)
+    near = broadcast_if(hot, n, BROADCAST_HOT)
+    rest = rows.join(broadcast_if(hot.select(on), n, BROADCAST_HOT), on, "left_anti")
+    return rows.join(near, on).unionByName(rest.join(groups.filter(F.col(size) < HOT), on))
+
+
 def without_copies(docs: DataFrame, found: DataFrame, mark: Column, most: int) -> DataFrame:
     """The rows of docs but those that found (doc_id, mark, kept, n rows of it) lists as gone; of n rows with a listed id and
     mark one stays if kept. Rows are told apart by id and mark, so rows with null or repeated ids keep their own fate. Columns of docs."""

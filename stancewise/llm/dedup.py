@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if, settle, without_copies
+from .common import SPACE, broadcast_if, handed_back, settle, without_copies
 
 #: Up to so many suspect groups (24 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 1_000_000
@@ -21,8 +21,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Three passes, each over what the last left open: groups by length of the normalised text; within lengths that
     occur more than once, by a hash of the first ``prefix_chars`` characters; within prefixes that do, by SHA-256 of the
     whole text. Only rows of the third pass are ever grouped by content. Counts are combined before each shuffle, so
-    a group with a third of all rows is a few partial counts; the join that hands a group's result back to its rows is a
-    sort-merge join that adaptive execution splits.
+    a group with a third of all rows is a few partial counts; the result of such a group is broadcast to its rows and only small
+    groups meet theirs by shuffle.
 
     Null text counts as empty; empty texts equal each other. Among equal texts the smallest id stays; a null id loses
     to any other; of rows that repeat the same id and text exactly one is kept. Other columns are ignored. An empty
@@ -40,8 +40,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     full = settle(rows.join(near, ["len", "prefix"], "left_semi").select(F.monotonically_increasing_id().alias("row"), "doc_id", digest))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    groups = settle(full.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size")))  # written, so that the join is dealt afresh and can be split
-    members = full.join(groups, "text_sha256").select(
+    groups = settle(full.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size")))
+    members = handed_back(full, groups, "text_sha256", "group_size").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
     )
     alone = rows.join(near, ["len", "prefix"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)

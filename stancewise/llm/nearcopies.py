@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, broadcast_if, lean, null_safe_join, settle, without_copies, words_print
+from .common import batches_of, broadcast_if, handed_back, lean, null_safe_join, settle, without_copies, words_print
 from .graph import components
 from .hashing import mixed, piece_hashes
 
@@ -341,7 +341,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))  # at most mean shingles of a text / SHARE entries
     signed = docs.select("doc_id", words_print(F.col("text")).alias("print"), "text").mapInArrow(lean(_signed(idf)), "doc_id long, print binary, bands array<long>, samples array<short>")
     signed = settle(signed.withColumn("row", F.monotonically_increasing_id()))
-    nodes = settle(signed.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")))
+    nodes = settle(signed.groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")))
     banded = settle(nodes.select("node", F.posexplode("bands").alias("band", "key")))
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     shared = settle(banded.join(buckets, ["band", "key"]))
@@ -363,11 +363,11 @@ def _classes(docs: DataFrame) -> DataFrame:
             labels = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "print").join(labels, "node", "left").join(ends, "node", "left").select("print", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = settle(signed.select("doc_id", "print", "row").join(named, "print"))
+    named = nodes.select("node", "print", "copies").join(labels, "node", "left").join(ends, "node", "left").select("print", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = settle(handed_back(signed.select("doc_id", "print", "row"), settle(named), "print", "copies").drop("copies"))
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    classes = settle(rows.groupBy("label").agg(first_row, F.count(F.lit(1)).alias("class_size")))  # written, so that the join below is dealt afresh and can be split
-    in_class = rows.join(classes, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), F.col("print").alias("mark"))
+    classes = settle(rows.groupBy("label").agg(first_row, F.count(F.lit(1)).alias("class_size")))
+    in_class = handed_back(rows, classes, "label", "class_size").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("kept"), F.col("print").alias("mark"))
     alone = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), words_print(F.col("text")).alias("mark"))
     return in_class.unionByName(alone)
 
