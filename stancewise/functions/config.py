@@ -25,13 +25,17 @@ class Lexicon:
 
 
 #: The shipped Spanish fiscal keywords and cues.
-FISCAL_KEYWORDS = tuple(
-    "deficit,superavit,gasto,presupuest,fiscal,impuesto,deuda,inflacion,ajuste,subsidio,recaudacion,austeridad,obra publica,inversion publica,inversion social,emision,jubil,pension,salario,fmi,privatiz,pobreza".split(",")
+FISCAL_KEYWORDS = (
+    "deficit", "superavit", "gasto", "presupuest", "fiscal", "impuesto", "deuda", "inflacion", "ajuste", "subsidio", "recaudacion", "austeridad", "obra publica", "inversion publica",
+    "inversion social", "emision", "jubil", "pension", "salario", "fmi", "privatiz", "pobreza",
 )
 STRONG_CUES = ("supuest*", "llamad*", "mal llamad*", "rechaz*", "critic*", "en contra", "opuest*", "en nombre de", "lo que llaman", "so pretexto", "negar*", "combat*", "fals*", "ideolog*")
 GATED_CUES = ("elimin*",)
 WEAK_CUES = ("no", "nunca", "jamas")
 
+#: The Spanish lexicon without its terms, which come from files (see sources.tables.lexicon).
+SPANISH = Lexicon(keywords=FISCAL_KEYWORDS, positive=(), negative=(), strong=STRONG_CUES, weak=WEAK_CUES, gated=GATED_CUES)
+
 #: The lexicon of the synthetic tables (FIXTURES.md).
 FIXTURE = Lexicon(
     keywords=("thing", "ring", "nicht", "mente", "elle", "thble"),

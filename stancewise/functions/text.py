@@ -42,12 +42,19 @@ def tokens(norm: Column, shortest: int = 3, stopwords: tuple[str, ...] = ()) ->
 def spanish_date(c: Column) -> Column:
     """The first "d de <month> de yyyy" in the text; null for unknown months and impossible days."""
     # fixed values: month names
-    months = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+    months = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
     pattern = r"(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})"
     low = F.lower(c)
     names = F.create_map(*[x for i, m in enumerate(months, 1) for x in (F.lit(m), F.lit(str(i)))])
     parts = [F.regexp_extract(low, pattern, i) for i in (1, 2, 3)]
-    return F.try_to_date(F.concat_ws("-", parts[2], F.try_element_at(names, parts[1]), parts[0]), "yyyy-M-d") if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.concat_ws("-", parts[2], F.try_element_at(names, parts[1]), parts[0]), F.lit("yyyy-M-d")))
+    written = F.concat_ws("-", parts[2], F.try_element_at(names, parts[1]), parts[0])
+    return F.to_date(F.try_to_timestamp(written, F.lit("yyyy-M-d")))
+
+
+def sentences(c: Column) -> Column:
+    """The pieces between white space that follows . ! ? , ; or :, without empty ones; the whole text if none is left."""
+    parts = F.filter(F.split(c, r"(?<=[.!?,;:])[ \t\n\r\f]+"), lambda s: s != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
 
 
 def truncated(c: Column, most: int = 800, mark: str = " [...]") -> Column:

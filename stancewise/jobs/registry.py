@@ -35,6 +35,10 @@ def _paras(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs.paragraphs(_speeches(spark, sf), FIXTURE)
 
 
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    return paragraphs.one_per_match(paragraphs.with_matches(_paras(spark, sf), FIXTURE))
+
+
 def _votes(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs.with_votes(paragraphs.with_matches(_paras(spark, sf), FIXTURE))
 
@@ -106,8 +110,7 @@ def w1_paragraphs(spark, sf):
 
 @query(f"WITH {MATCH} SELECT speech_id, para_idx, direction, term, negated, count(*) AS n FROM hit GROUP BY ALL")
 def w1_matches(spark, sf):
-    hits = paragraphs.with_matches(_paras(spark, sf), FIXTURE).select("speech_id", "para_idx", F.explode("matches").alias("m"))
-    return hits.groupBy("speech_id", "para_idx", "m.direction", "m.term", "m.negated").agg(F.count(F.lit(1)).alias("n"))
+    return _hits(spark, sf).groupBy("speech_id", "para_idx", "direction", "term", "negated").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {VOTE} SELECT speech_id, para_idx, is_fiscal, pos_hits, neg_hits, pos_negated, neg_negated, has_pos, has_neg FROM vote")
@@ -128,8 +131,7 @@ def w1_month_signal(spark, sf):
 # audit and exploration
 @query(f"WITH {MATCH} SELECT president, direction, count(*) FILTER (NOT negated) AS accepted, count(*) FILTER (negated) AS negated_n, round(100.0 * count(*) FILTER (negated) / count(*), 6) AS pct FROM hit JOIN sp USING (speech_id) GROUP BY ALL")
 def negation_report(spark, sf):
-    hits = paragraphs.with_matches(_paras(spark, sf), FIXTURE).select("president", F.explode("matches").alias("m"))
-    out = hits.groupBy("president", "m.direction").agg(F.count_if(~F.col("m.negated")).alias("accepted"), F.count_if("m.negated").alias("negated_n"))
+    out = _hits(spark, sf).groupBy("president", "direction").agg(F.count_if(~F.col("negated")).alias("accepted"), F.count_if("negated").alias("negated_n"))
     return out.withColumn("pct", F.round(100.0 * F.col("negated_n") / (F.col("accepted") + F.col("negated_n")), 6))
 
 
@@ -152,24 +154,22 @@ def hit_rate(spark, sf):
     return _votes(spark, sf).filter("is_fiscal").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("n_hit"), F.round(F.avg(hit.cast("double")), 6).alias("share"))
 
 
-@query(f"WITH {MATCH} SELECT term, {', '.join(f'''count(*) FILTER (president = '{g}') AS {g}''' for g in REGIMES.kept)} FROM hit JOIN sp USING (speech_id) WHERE NOT negated GROUP BY term")
+@query(f"WITH {MATCH} SELECT term, {', '.join(f'''count(*) FILTER (president = '{g}') AS {g}''' for g in REGIMES.kept)} FROM hit JOIN sp USING (speech_id) WHERE NOT negated GROUP BY term ORDER BY count(*) DESC, term LIMIT 20")
 def term_pivot(spark, sf):
-    hits = paragraphs.with_matches(_paras(spark, sf), FIXTURE).select("president", F.explode("matches").alias("m")).filter("NOT m.negated")
-    terms = hits.groupBy("m.term").agg(*[F.count_if(F.col("president") == g).alias(g) for g in REGIMES.kept])
-    return terms
+    terms = _hits(spark, sf).filter("NOT negated").groupBy("term").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("president") == g).alias(g) for g in REGIMES.kept])
+    return terms.orderBy(F.desc("n"), "term").limit(20).drop("n")
 
 
 @query(f"WITH {MATCH}, c AS (SELECT president, term, count(*) AS n FROM hit JOIN sp USING (speech_id) WHERE NOT negated GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY president ORDER BY n DESC, term) AS INTEGER) AS k FROM c) SELECT president, term, n, k FROM r WHERE k <= 3")
 def top_terms(spark, sf):
-    hits = paragraphs.with_matches(_paras(spark, sf), FIXTURE).select("president", F.explode("matches").alias("m")).filter("NOT m.negated")
-    counts = hits.groupBy("president", "m.term").agg(F.count(F.lit(1)).alias("n"))
+    counts = _hits(spark, sf).filter("NOT negated").groupBy("president", "term").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("k", F.row_number().over(W.partitionBy("president").orderBy(F.desc("n"), "term"))).filter("k <= 3")
 
 
 @query(f"WITH {MATCH} SELECT direction, term FROM terms EXCEPT SELECT direction, term FROM hit WHERE NOT negated")
 def zero_hit_terms(spark, sf):
     terms = spark.createDataFrame([("pos", t) for t in FIXTURE.positive] + [("neg", t) for t in FIXTURE.negative], "direction string, term string")
-    seen = paragraphs.with_matches(_paras(spark, sf), FIXTURE).select(F.explode("matches").alias("m")).filter("NOT m.negated").select("m.direction", "m.term").distinct()
+    seen = _hits(spark, sf).filter("NOT negated").select("direction", "term").distinct()
     return terms.join(seen, ["direction", "term"], "left_anti")
 
 
@@ -387,9 +387,9 @@ def threshold_sweep(spark, sf):
 
 
 # pages and prompts
-@query("SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS url FROM pages")
+@query("WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS url FROM pages) SELECT DISTINCT CASE WHEN starts_with(url, 'http') THEN url ELSE 'https://pages.example' || url END AS url FROM l WHERE contains(url, '/') AND NOT contains(url, 'the')")
 def page_links(spark, sf):
-    return tables.page_links(tables.table(spark, sf, "pages"), "", None, "")
+    return tables.page_links(tables.table(spark, sf, "pages"), "/", "the", "https://pages.example")
 
 
 @query(None)

@@ -15,6 +15,14 @@ def clean_labels(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).try_cast("double").cast("int")).filter(F.col(column).isin(*CLASSES))
 
 
+def label_report(df: DataFrame, column: str) -> DataFrame:
+    """outcome, n: how many labels are kept, blank, no number or out of range."""
+    number = F.col(column).try_cast("double").cast("int")
+    blank = F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) == ""
+    outcome = F.when(blank, "blank").when(number.isNull(), "not a number").when(number.isin(*CLASSES), "kept").otherwise("out of range")
+    return df.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion(df: DataFrame, truth: str = "human", model: str = "model") -> DataFrame:
     """truth, n_neg, n_neutral, n_pos and row percentages."""
     names = {-1: "neg", 0: "neutral", 1: "pos"}
@@ -34,6 +42,11 @@ def class_metrics(df: DataFrame, by: list[str] | None = None, truth: str = "huma
     return out.select(*by, "cls", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"), (F.col("tp") + F.col("fn")).alias("support"))
 
 
+def macro_f1(df: DataFrame, by: list[str] | None = None, truth: str = "human", model: str = "model") -> DataFrame:
+    """The mean F1 of the classes that have one."""
+    return class_metrics(df, by, truth, model).groupBy(*(by or [])).agg(F.avg("f1").alias("macro_f1"))
+
+
 def kappa(df: DataFrame, by: list[str] | None = None, truth: str = "human", model: str = "model") -> DataFrame:
     """n, accuracy and Cohen's kappa (0 where chance agreement is total)."""
     shares = [f(F.when(F.col(c) == k, 1.0).otherwise(0.0)).alias(f"{c}_{i}") for c in (truth, model) for i, k in enumerate(CLASSES) for f in (F.avg,)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import Regimes
+from ..sources.landing import landed
 
 
 def speech_counts(votes: DataFrame) -> DataFrame:
@@ -30,8 +31,10 @@ def standardised(df: DataFrame, columns: dict[str, tuple[str, str, str]], quanti
     """For each raw column adds its winsorised form, the z-score of that, and the raw z-score (names in columns[raw]).
 
     Quantiles (linear interpolation), means and sample deviations are over all rows without nulls. A z-score is 0 for every
-    row if the deviation is 0 or undefined. The statistics are two one-row frames; df has one row per month and group.
+    row if the deviation is 0 or undefined. The statistics are two one-row frames; df has one row per month and group and is
+    written first, since it is read three times here and what computes it may be dear.
     """
+    df = landed(df)
     q = df.agg(*[F.expr(f"percentile({c}, array({quantile}, {1 - quantile}))").alias(f"__q_{c}") for c in columns])
     out = df.join(F.broadcast(q))
     for c, (wins, _, _) in columns.items():

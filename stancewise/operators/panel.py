@@ -37,6 +37,30 @@ def calendar_panel(panel: DataFrame, regimes: Regimes, thin: int = 2) -> DataFra
     return out.withColumn("n_fiscal_paras", n.cast("long")).withColumn("is_thin", (F.col("n_fiscal_paras") > 0) & (F.col("n_fiscal_paras") <= thin))
 
 
+def cross_validated(one: DataFrame, two: DataFrame, a: str, b: str) -> DataFrame:
+    """n, pearson, spearman of a series of one table and a series of another over the months and groups that both have."""
+    keys = ["year_month", "president"]
+    return correlations(one.select(*keys, F.col(a).alias("a")).join(two.select(*keys, F.col(b).alias("b")), keys), "a", "b")
+
+
+def with_other(months: DataFrame, other: DataFrame, suffix: str = "_dict") -> DataFrame:
+    """months with the columns of another month table by month and group (null where it has none); clashing names get the suffix."""
+    keys = ["year_month", "president"]
+    named = other.select(*keys, *[F.col(c).alias(c + suffix if c in months.columns else c) for c in other.columns if c not in keys])
+    return months.join(named, keys, "left")
+
+
+def narrow(months: DataFrame, *columns: str) -> DataFrame:
+    """month, group and some columns, in the order of month and group: one small file when written."""
+    return months.select("year_month", "president", *columns).orderBy("year_month", "president")
+
+
+def group_gap(df: DataFrame, column: str, one: str, two: str, group: str = "president") -> DataFrame:
+    """The means of two groups and their difference, in one row."""
+    mean = lambda g: F.avg(F.when(F.col(group) == g, F.col(column)))
+    return df.agg(mean(one).alias("first"), mean(two).alias("second"), (mean(one) - mean(two)).alias("gap"))
+
+
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the average rank of a column from the cumulative counts of its distinct values; ranked rows are not sorted in one task."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

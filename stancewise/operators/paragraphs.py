@@ -1,4 +1,4 @@
-"""Speeches to paragraphs to term matches to votes. Nothing here shuffles."""
+"""Speeches to paragraphs to term matches to votes. Nothing here shuffles but the numbering."""
 
 from __future__ import annotations
 
@@ -7,20 +7,27 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import Lexicon
 from ..functions.patterns import cue_pattern, keyword_pattern, term_pattern
 from ..functions.text import normalise, tokens
+from ..sources.landing import landed
 
 META = ("speech_id", "date", "president", "president_id", "year_month")
 
 
 def paragraphs(speeches: DataFrame, lexicon: Lexicon, least: int = 20, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """A row per line of at least ``least`` tokens: para_idx (its line number from 0), text_para, text_norm, n_tokens, is_fiscal."""
-    lines = speeches.select(*[c for c in (*META, "source", "lang") if c in speeches.columns], F.posexplode(F.split("text_raw", "\n")).alias("para_idx", "text_para"))
-    lines = lines.withColumn("text_norm", normalise(F.col("text_para"))).withColumn("n_tokens", F.size(tokens(F.col("text_norm"), 3, stopwords)))
-    return lines.filter(F.col("n_tokens") >= least).withColumn("is_fiscal", F.col("text_norm").rlike(keyword_pattern(lexicon.keywords)))
+    """A row per line of at least ``least`` tokens: para_idx (its line number from 0), text_para, text_norm, n_tokens, is_fiscal.
+
+    Lines are normalised inside the generator, so that no later filter or projection repeats it.
+    """
+    line = lambda x, i: F.struct(i.alias("para_idx"), x.alias("text_para"), normalise(x).alias("text_norm"))
+    sized = lambda x: F.struct(x["para_idx"].alias("para_idx"), x["text_para"].alias("text_para"), x["text_norm"].alias("text_norm"), F.size(tokens(x["text_norm"], 3, stopwords)).alias("n_tokens"))
+    lines = F.transform(F.transform(F.split("text_raw", "\n"), line), sized)
+    kept = speeches.select(*[c for c in (*META, "source", "lang") if c in speeches.columns], F.inline(lines)).filter(F.col("n_tokens") >= least)
+    return kept.withColumn("is_fiscal", F.col("text_norm").rlike(keyword_pattern(lexicon.keywords)))
 
 
 def with_matches(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -31,6 +38,9 @@ def with_matches(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
     one) are searched for cues. Terms are independent of each other and may overlap.
     """
     terms = [("pos", t) for t in lexicon.positive] + [("neg", t) for t in lexicon.negative]
+    none = F.expr("cast(array() as array<struct<direction:string,term:string,negated:boolean>>)")
+    if not terms:
+        return paras.withColumn("matches", none)
     table = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(t).alias("term"), F.lit(term_pattern(t)).alias("pattern")) for d, t in terms])
     any_term = "|".join(term_pattern(t) for _, t in terms)
     text = F.col("text_norm")
@@ -38,20 +48,28 @@ def with_matches(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def negated(before: Column, direction: Column) -> Column:
         words = F.filter(F.split(before, " "), lambda w: w != "")
-        last = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " ")
-        return last(lexicon.strong_window).rlike(strong) | ((direction == "neg") & last(lexicon.strong_window).rlike(gated)) | last(lexicon.weak_window).rlike(weak)
+        last = lambda w, n: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
+        cut = F.transform(F.array(words), lambda w: F.struct(last(w, lexicon.strong_window).alias("far"), last(w, lexicon.weak_window).alias("near")))
+        return F.exists(cut, lambda c: c["far"].rlike(strong) | ((direction == "neg") & c["far"].rlike(gated)) | c["near"].rlike(weak))
 
     def hits(t: Column) -> Column:
-        between = F.split(text, t["pattern"], -1)
-        found = F.regexp_extract_all(text, t["pattern"], F.lit(0))
-        woven = F.zip_with(F.concat(F.array(F.lit("")), found), between, lambda hit, gap: F.concat(hit, gap))
-        return F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(t["direction"].alias("direction"), t["term"].alias("term"), negated(F.array_join(F.slice(woven, F.lit(1), i), ""), t["direction"]).alias("negated")))
+        once = F.array(F.struct(F.regexp_extract_all(text, t["pattern"], F.lit(0)).alias("found"), F.split(text, t["pattern"], -1).alias("gaps")))
+        before = lambda o, i: F.array_join(F.zip_with(F.slice(F.concat(F.array(F.lit("")), o["found"]), F.lit(1), i), F.slice(o["gaps"], F.lit(1), i), lambda hit, gap: F.concat(hit, gap)), "")
+        return F.flatten(F.transform(once, lambda o: F.transform(F.sequence(F.lit(1), F.size(o["found"])), lambda i: F.struct(t["direction"].alias("direction"), t["term"].alias("term"), negated(before(o, i), t["direction"]).alias("negated")))))
 
     present = F.filter(table, lambda t: F.regexp_like(text, t["pattern"]))
-    none = F.expr("cast(array() as array<struct<direction:string,term:string,negated:boolean>>)")
     return paras.withColumn("matches", F.when(text.rlike(any_term), F.flatten(F.transform(present, hits))).otherwise(none))
 
 
+def one_per_match(matched: DataFrame) -> DataFrame:
+    """A row per match: direction, term, negated beside the columns of its paragraph.
+
+    The outer form keeps Spark from filtering by the size of the array first, for which it would match every text twice.
+    """
+    rows = matched.select(*[c for c in matched.columns if c != "matches"], F.explode_outer("matches").alias("m")).filter("m IS NOT NULL")
+    return rows.select(*[c for c in rows.columns if c != "m"], "m.direction", "m.term", "m.negated")
+
+
 def matches_by_helper(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
     """speech_id, para_idx, direction, term, negated: the matches of with_matches from an Arrow helper, to check it against."""
     terms = [(d, t, re.compile(term_pattern(t), re.A)) for d, ts in (("pos", lexicon.positive), ("neg", lexicon.negative)) for t in ts]
@@ -87,10 +105,21 @@ def with_votes(matched: DataFrame) -> DataFrame:
 
 
 def numbered(paras: DataFrame) -> DataFrame:
-    """Adds para_id, dense from 0 in (speech, line) order: counts per id range, then per range a running number."""
-    from pyspark.sql import Window as W
+    """Adds para_id, dense from 0 in (speech, line) order.
 
-    part = paras.withColumn("__range", F.expr("speech_id div 1000"))
-    sizes = part.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).withColumn("__base", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = F.row_number().over(W.partitionBy("__range").orderBy("speech_id", "para_idx")) - 1
-    return part.withColumn("__k", inner).join(sizes, "__range").withColumn("para_id", F.col("__base") + F.col("__k")).drop("__range", "__k", "__base")
+    Rows are written in ranges of (speech_id, para_idx), as many as the data has partitions; a range starts where the counts of
+    those before end, and within it a running number is taken. Ids may be as sparse as they like.
+    """
+    part = fresh_column(paras, "part")
+    ranged = landed(paras.repartitionByRange("speech_id", "para_idx").withColumn(part, F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    bases = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(part, before.alias("base"))
+    inner = F.row_number().over(W.partitionBy(part).orderBy("speech_id", "para_idx")) - 1
+    found = ranged.withColumn("para_id", inner).join(bases, part)
+    return found.withColumn("para_id", F.col("base") + F.col("para_id")).drop(part, "base")
+
+
+def fresh_column(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name

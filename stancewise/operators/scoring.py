@@ -10,19 +10,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
+from ..sources.landing import landed
 
 FALLBACKS = ("parse_fallback", "api_error", "retry_exhausted", "no_response")
 
 
-def batched(paras: DataFrame, size: int = 10, buckets: int = 64) -> DataFrame:
-    """batch_id, ids, prompt: batches of ``size`` paragraphs, numbered within hash buckets so that no global sort is needed."""
-    b = F.pmod(F.xxhash64("para_id"), F.lit(buckets))
-    rows = paras.select("para_id", truncated(F.col("text_para")).alias("text")).withColumn("bucket", b)
+def batched(paras: DataFrame, size: int = 10, per_bucket: int = 10_000) -> DataFrame:
+    """batch_id, ids, prompt: batches of ``size`` paragraphs, numbered within hash buckets of about ``per_bucket`` rows so that
+    no global sort is needed at any size."""
+    rows = landed(paras.select("para_id", truncated(F.col("text_para")).alias("text")))
+    buckets = rows.count() // per_bucket + 1
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("para_id"), F.lit(buckets)))
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("para_id")) - 1)
-    rows = rows.withColumn("batch_id", F.concat_ws("-", F.col("bucket"), F.floor(F.col("k") / size).cast("string"))).withColumn("i", F.col("k") % size + 1)
-    held = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("i", "para_id", "text"))).alias("items"))
+    rows = rows.withColumn("nth", F.floor(F.col("k") / size)).withColumn("i", F.col("k") % size + 1)
+    held = rows.groupBy("bucket", "nth").agg(F.array_sort(F.collect_list(F.struct("i", "para_id", "text"))).alias("items"))
     line = lambda x: F.format_string("%d. [id=%d] %s", x["i"], x["para_id"], x["text"])
-    return held.select("batch_id", F.transform("items", lambda x: x["para_id"]).alias("ids"), F.array_join(F.transform("items", line), "\n").alias("prompt"))
+    return held.select(F.concat_ws("-", "bucket", "nth").alias("batch_id"), F.transform("items", lambda x: x["para_id"]).alias("ids"), F.array_join(F.transform("items", line), "\n").alias("prompt"))
 
 
 def replied(batches: DataFrame, scorer: Callable[[str], str], tries: int = 3) -> DataFrame:
@@ -46,26 +49,49 @@ def replied(batches: DataFrame, scorer: Callable[[str], str], tries: int = 3) ->
 
 
 def _items(reply: Column) -> Column:
-    """The reply as a variant array: fences off; if that does not parse, its outermost brackets; a bare object is wrapped."""
+    """The objects of a reply: fences off; if that does not parse, its outermost brackets; a bare object is wrapped. Scores out of
+    -1..1 become 0, reasons keep 120 characters; what is no object or lacks an id or a whole score goes."""
     bare = F.trim(F.regexp_replace(reply, r"```(?:json)?", ""))
-    whole, inner = F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1))
-    listed = F.coalesce(whole, inner)
-    return F.when(F.schema_of_variant(listed).startswith("ARRAY"), listed).otherwise(F.try_parse_json(F.concat(F.lit("["), F.to_json(listed), F.lit("]"))))
+    listed = F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1)))
+    each = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array(listed))
+    get = lambda v: F.struct(F.try_variant_get(v, "$.id", "long").alias("para_id"), F.try_variant_get(v, "$.score", "int").alias("score"), F.substring(F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit("")), 1, 120).alias("reason"))
+    whole = F.filter(F.transform(each, get), lambda x: x["para_id"].isNotNull() & x["score"].isNotNull())
+    return F.transform(whole, lambda x: F.struct(x["para_id"].alias("para_id"), F.when(x["score"].isin(-1, 0, 1), x["score"]).otherwise(0).alias("score"), x["reason"].alias("reason")))
 
 
 def parsed(replies: DataFrame) -> DataFrame:
-    """para_id, score, reason for every id that was asked: scores out of -1..1 become 0, reasons keep 120 characters, the
-    last of repeated ids counts, ids without a reply are neutral with a reason from FALLBACKS."""
-    items = replies.withColumn("v", _items(F.col("reply"))).filter("v IS NOT NULL")
-    items.createOrReplaceTempView("__stancewise_items")
-    got = replies.sparkSession.sql("SELECT batch_id, t.pos, t.value AS v FROM __stancewise_items, LATERAL variant_explode(v) AS t")
-    num = lambda p: F.try_variant_get("v", p, "int")
-    got = got.filter(F.schema_of_variant("v").startswith("OBJECT")).select("batch_id", "pos", F.try_variant_get("v", "$.id", "long").alias("para_id"), num("$.score").alias("score"), F.substring(F.coalesce(F.try_variant_get("v", "$.reason", "string"), F.lit("")), 1, 120).alias("reason"))
-    got = got.filter("para_id IS NOT NULL AND score IS NOT NULL").withColumn("score", F.when(F.col("score").isin(-1, 0, 1), F.col("score")).otherwise(0))
-    last = got.groupBy("batch_id", "para_id").agg(F.max_by(F.struct("score", "reason"), "pos").alias("r"))
-    asked = replies.select("batch_id", F.explode("ids").alias("para_id"), F.coalesce(F.col("reply"), F.lit("")).alias("reply"))
-    missing = F.when(F.trim("reply") == "", "no_response").otherwise("parse_fallback")
-    return asked.join(last, ["batch_id", "para_id"], "left").select("para_id", F.coalesce("r.score", F.lit(0)).alias("score"), F.coalesce("r.reason", missing).alias("reason"))
+    """para_id, score, reason for every id that was asked; the last of repeated ids counts, ids without a reply are neutral with a
+    reason from FALLBACKS.
+
+    A reply and its ids stay in one row until they are matched, so that a batch goes to the scorer once.
+    """
+    reply = F.coalesce(F.col("reply"), F.lit(""))
+    missing = F.struct(F.lit(0).alias("score"), F.when(F.trim(reply) == "", "no_response").otherwise("parse_fallback").alias("reason"))
+
+    def answer(i: Column, items: Column) -> Column:
+        own = F.filter(items, lambda x: x["para_id"] == i)
+        last = F.when(F.size(own) > 0, F.struct(F.element_at(own, -1)["score"].alias("score"), F.element_at(own, -1)["reason"].alias("reason"))).otherwise(missing)
+        return F.struct(i.alias("para_id"), last.alias("r"))
+
+    items = F.coalesce(_items(reply), F.expr("cast(array() as array<struct<para_id:bigint,score:int,reason:string>>)"))
+    answers = F.flatten(F.transform(F.array(items), lambda all_: F.transform("ids", lambda i: answer(i, all_))))
+    return replies.select(F.inline(answers)).select("para_id", "r.score", "r.reason")
+
+
+def joined_scores(paras: DataFrame, scores: DataFrame) -> DataFrame:
+    """paras with score and reason; without a score 0 and an empty reason."""
+    known = scores.select("para_id", "score", "reason")
+    return paras.join(known, "para_id", "left").na.fill({"score": 0, "reason": ""})
+
+
+def without_examples(paras: DataFrame, examples: DataFrame, key: str = "para_id") -> DataFrame:
+    """The rows that do not serve as examples in the prompt."""
+    return paras.join(examples.select(key).distinct(), key, "left_anti")
+
+
+def simple_sample(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
+    """n rows (all, if fewer), those of least md5(seed, key): the same ones in every run."""
+    return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
 def to_score(paras: DataFrame, done: DataFrame) -> DataFrame:

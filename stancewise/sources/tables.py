@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.config import Regimes
-from ..functions.text import normalise, word_count
+from ..functions.config import SPANISH, Lexicon, Regimes
+from ..functions.text import normalise, spanish_date, word_count
 
 SPEECHES = "speech_id long, date date, url string, president string, president_id int, year int, month int, year_month string, n_words long, text_raw string"
 
@@ -26,6 +28,22 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(normalise(F.col("line")).alias("term")).distinct().orderBy(F.length("term").desc(), "term")
 
 
+def lexicon(spark: SparkSession, positive: str, negative: str, base: Lexicon = SPANISH) -> Lexicon:
+    """base with the terms of two dictionary files, longest first. Dictionaries are written by hand; both reach the driver."""
+    terms = lambda path: tuple(r["term"] for r in dictionary(spark, path).collect())
+    return replace(base, positive=terms(positive), negative=terms(negative))
+
+
+def word_list(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The normalised words of a stopword file, one per line, # comments."""
+    return tuple(sorted(r["term"] for r in dictionary(spark, path).collect()))
+
+
+def labels_csv(spark: SparkSession, path: str) -> DataFrame:
+    """item_no, score, notes of a filled label sheet; scores are text until they are cleaned."""
+    return spark.read.schema("item_no int, text string, score string, notes string").option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).select("item_no", "score", "notes")
+
+
 def month_series(spark: SparkSession, path: str, pattern: str = "dd/MM/yyyy") -> DataFrame:
     """month,value files whose month is a date in the given pattern or yyyy-MM."""
     raw = spark.read.option("header", True).csv(path).toDF("month", "value")
@@ -49,15 +67,29 @@ def speeches(docs: DataFrame, regimes: Regimes) -> DataFrame:
 
 
 def page_speeches(pages: DataFrame, tag: str = "article", least_words: int = 50) -> DataFrame:
-    """page_id, url, text, n_words of stored pages: the body's text with tags as spaces; at least ``least_words`` words."""
+    """page_id, url, text, n_words, date of stored pages: the body's text with tags as spaces; at least ``least_words`` words.
+
+    The date is the Spanish one of the page's <time> element or, without one, of the text's first 500 characters.
+    """
     body = F.regexp_extract("html", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
     text = F.regexp_replace(body, "(?s)<[^>]+>", " ")
     for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(c))
-    rows = pages.select("page_id", "url", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+    rows = pages.select("page_id", "url", F.regexp_extract("html", r"(?is)<time[^>]*>(.*?)</time>", 1).alias("time"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+    rows = rows.withColumn("date", spanish_date(F.when(F.trim("time") != "", F.col("time")).otherwise(F.substring("text", 1, 500)))).drop("time")
     return rows.withColumn("n_words", word_count(F.col("text")).cast("long")).filter(F.col("n_words") >= least_words)
 
 
+def since(df: DataFrame, first: str, date: str = "date") -> DataFrame:
+    """The rows dated on or after a day; undated ones stay."""
+    return df.filter(F.col(date).isNull() | (F.col(date) >= F.lit(first).cast("date")))
+
+
+def short_enough(df: DataFrame, column: str, most: int = 2500) -> DataFrame:
+    """The rows whose text has at most ``most`` characters."""
+    return df.filter(F.char_length(column) <= most)
+
+
 def page_links(pages: DataFrame, holding: str, without: str | None, root: str) -> DataFrame:
     """url: distinct links that hold one string and not another, made absolute."""
     links = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("url")).filter(F.col("url").contains(holding))
@@ -66,5 +98,6 @@ def page_links(pages: DataFrame, holding: str, without: str | None, root: str) -
 
 
 def write_stage(df: DataFrame, path: str, by: str | None = "president") -> None:
+    """Writes a stage table, a folder per value of ``by`` if it has that column."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by and by in df.columns else writer).parquet(path)

@@ -4,25 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import scoring
 
+SCORES = "para_id long, score int, reason string, scored_at timestamp"
+
+
+def newest_scores(spark: SparkSession, scores: str) -> DataFrame:
+    """para_id, score, reason: the newest row of each id of a score table (none before the first append)."""
+    try:
+        rows = spark.read.schema(SCORES).parquet(scores)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], SCORES)
+    newest = F.max_by(F.struct("score", "reason"), F.struct("scored_at", "reason")).alias("r")
+    return rows.groupBy("para_id").agg(newest).select("para_id", "r.score", "r.reason")
+
 
 def score_new(spark: SparkSession, source: str, scores: str, checkpoint: str, scorer: Callable[[str], str], schema: str = "para_id long, text_para string") -> None:
-    """Reads new Parquet files under source, appends (para_id, score, reason) to scores. Safe to run again: a replayed
-    micro-batch finds its ids in the table, and readers keep one row per id."""
+    """Reads new Parquet files under source, appends (para_id, score, reason, scored_at) to scores. Safe to run again: a replayed
+    micro-batch finds its ids in the table, and ``newest_scores`` keeps one row per id."""
 
     def one(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["para_id"])
-        try:
-            done = spark.read.parquet(scores)
-        except Exception as e:  # the table does not exist before the first append
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = None
-        fresh = scoring.to_score(fresh, done) if done is not None else fresh
-        scoring.parsed(scoring.replied(scoring.batched(fresh), scorer)).write.mode("append").parquet(scores)
+        fresh = scoring.to_score(batch.dropDuplicates(["para_id"]), newest_scores(spark, scores))
+        found = scoring.parsed(scoring.replied(scoring.batched(fresh), scorer))
+        found.withColumn("scored_at", F.current_timestamp()).write.mode("append").parquet(scores)
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from stancewise.jobs import registry
+from stancewise.jobs import registry, reports  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
