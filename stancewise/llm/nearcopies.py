@@ -25,8 +25,9 @@ CELLS = 1 << 18
 DRAWS = 1 << 14
 #: Bands of the first pass. In the second, nodes meet LEADERS of their bucket in turn, which joins what is alike at little cost.
 FIRST, LEADERS = 4, 2
-#: Texts in a tile: in the last pass, tile against tile, all pairs of a bucket that are still of different components are compared.
-TILE = 512
+#: Texts and bytes of shingles in a tile: in the last pass, tile against tile, all pairs of a bucket that are still of different
+#: components are compared.
+TILE, TILE_BYTES = 512, 4_000_000
 #: Candidate texts whose ids are broadcast to pick their rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Candidate pairs whose signatures agree in less than this share are not verified (4 standard errors below SIMILAR).
@@ -220,15 +221,27 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + owners[begin])), pa.array(raws, pa.binary())], ["print", "shingles"])
 
 
-def weighted_jaccard(a: bytes, b: bytes, idf: Weights) -> float:
-    def split(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = len(raw) // 12
-        return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
+def unpacked_shingles(raw: bytes, idf: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and weights of what packed_shingles made."""
+    n = len(raw) // 12
+    keys = np.frombuffer(raw, "<u8", n)
+    return keys, idf.of(keys, np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
 
-    (kx, nx), (ky, ny) = split(a), split(b)
-    _, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
-    both = idf.of(kx[i], np.minimum(nx[i], ny[j])).sum()
-    return float(both / (idf.of(kx, nx).sum() + idf.of(ky, ny).sum() - both))
+
+def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    (kx, wx), (ky, wy) = (x, y) if len(x[0]) <= len(y[0]) else (y, x)
+    at = np.minimum(np.searchsorted(ky, kx), len(ky) - 1)
+    both = np.minimum(wx, wy[at])[ky[at] == kx].sum()
+    return float(both / (wx.sum() + wy.sum() - both))
+
+
+def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """node, shingles of the nodes of need (node, doc_id, print; written). Only their texts are read again."""
+    ids = need.select("doc_id").distinct()
+    near = broadcast_if(ids, need.count(), BROADCAST_IDS)
+    rows = null_safe_join(docs.select("doc_id", "text"), near, ["doc_id"], "left_semi").select(words_print(F.col("text")).alias("print"), "text")
+    texts = rows.mapInArrow(lean(_featured), "print binary, shingles binary").join(need.select("node", "print"), "print").select("node", "shingles").dropDuplicates(["node"])
+    return settle(texts)
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataFrame:
@@ -236,16 +249,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataF
     pairs = settle(pairs.distinct())
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     need = settle(need.join(nodes.select("node", "doc_id", "print"), "node"))
-    ids = need.select("doc_id").distinct()
-    near = broadcast_if(ids, need.count(), BROADCAST_IDS)
-    rows = null_safe_join(docs.select("doc_id", "text"), near, ["doc_id"], "left_semi").select(words_print(F.col("text")).alias("print"), "text")
-    texts = rows.mapInArrow(lean(_featured), "print binary, shingles binary").join(need.select("node", "print"), "print").select("node", "shingles").dropDuplicates(["node"])
-    texts = settle(texts)
+    texts = _texts(docs, need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, z, x, y = (b.column(i) for i in range(4))
-            good = [i for i in range(b.num_rows) if weighted_jaccard(x[i].as_py(), y[i].as_py(), idf.value) >= SIMILAR]
+            good = [i for i in range(b.num_rows) if weighted_jaccard(unpacked_shingles(x[i].as_py(), idf.value), unpacked_shingles(y[i].as_py(), idf.value)) >= SIMILAR]
             if good:
                 yield pa.RecordBatch.from_arrays([a.take(pa.array(good)), z.take(pa.array(good))], ["a", "b"])
 
@@ -274,45 +283,107 @@ def _with_leaders(held: DataFrame, open_: DataFrame, nodes: DataFrame) -> DataFr
     return met.join(samples, "node").filter(_alike("samples", "lead")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def _unmet(held: DataFrame, open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All hopeful pairs (a < b) of nodes that share a bucket and are of different components, each from the first band they share.
+def _last_links(docs: DataFrame, held: DataFrame, open_: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between nodes that share a bucket and are of different components, enough to join all components that have one.
 
-    The nodes of a bucket are dealt into tiles of about TILE; every tile meets every tile in one row, so a large bucket spreads over
-    the tasks, and pairs without hope never become rows.
+    Of a bucket's components the largest is its main one; every node outside meets all nodes of the bucket. A tile of outside
+    nodes and a tile of the bucket make one row. First they come with their signatures, to find the nodes that are likely
+    enough to link to some other; those alone come again with their shingles, and are verified where they meet. So a large
+    bucket spreads over the tasks, pairs never become rows, and a node's shingles travel once per bucket and tile.
     """
     batches_of(held.sparkSession, 8)
-    spread = open_.select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rows = held.join(spread, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).join(nodes.select("node", "bands", "samples"), "node")
-    tiles = settle(rows.groupBy("band", "key", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "label", "bands", "samples")).alias("held")))
-    one = tiles.select("band", "key", "tile", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("with"), F.col("held").alias("x"))
-    both = one.join(tiles.select("band", "key", F.col("tile").alias("with"), F.col("held").alias("y")), ["band", "key", "with"]).select("band", "x", "y", (F.col("tile") == F.col("with")).alias("same"))
-    out = settle(both.mapInArrow(lean(_met), "a long, b long"))
+    rows = settle(held.join(open_.select("band", "key", "main"), ["band", "key"]).withColumn("out", F.col("label") != F.col("main")))
+    signed = rows.join(nodes.select("node", "bands", "samples"), "node")
+    near = settle(_in_tiles(signed.withColumns({"size": F.lit(0), "shingles": F.lit(None).cast("binary")})).mapInArrow(lean(_likely), "band int, key long, node long").distinct())
+    texts = _texts(docs, settle(near.select("node").distinct().join(nodes.select("node", "doc_id", "print"), "node")))
+    likely = rows.join(near, ["band", "key", "node"]).join(nodes.select("node", "bands", "samples"), "node").join(texts, "node")
+    batches_of(held.sparkSession, 4)
+    links = settle(_in_tiles(likely.withColumn("size", F.octet_length("shingles"))).mapInArrow(lean(_met(idf)), "a long, b long"))
     batches_of(held.sparkSession, 500)
-    return out
+    return links
+
+
+def _in_tiles(rows: DataFrame) -> DataFrame:
+    """band, key, x, y: each tile of outside nodes of a bucket with each tile of its nodes, of at most about TILE nodes and TILE_BYTES."""
+    tiles = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES), F.lit(1)).cast("int")
+    counts = rows.groupBy("band", "key").agg(tiles(F.count(F.lit(1)), F.sum("size")).alias("all"), tiles(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("size")).otherwise(0))).alias("outside"), F.count_if("out").alias("n_out"))
+    full = rows.join(settle(counts.filter("n_out > 0")), ["band", "key"])
+    one = F.struct("node", "label", "out", "bands", "samples", "shingles")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int").alias("tile")
+    whole = full.groupBy("band", "key", dealt("all")).agg(F.collect_list(one).alias("y")).drop("tile")
+    outside = full.filter("out").groupBy("band", "key", dealt("outside")).agg(F.collect_list(one).alias("x")).drop("tile")
+    return outside.join(whole, ["band", "key"]).select("band", "key", "x", "y")
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def columns(held: pa.ListScalar) -> list[np.ndarray]:
-        node, label, bands, samples = held.values.flatten()
-        return [node.to_numpy(), label.to_numpy(), bands.flatten().to_numpy().reshape(-1, BANDS), samples.flatten().to_numpy().reshape(-1, SAMPLES)]
+def _columns(held: pa.ListScalar) -> list:
+    node, label, out, bands, samples, shingles = held.values.flatten()
+    return [node.to_numpy(), label.to_numpy(), out.to_numpy(zero_copy_only=False), bands.flatten().to_numpy().reshape(-1, BANDS), samples.flatten().to_numpy().reshape(-1, SAMPLES), shingles]
 
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of two tiles whose signatures agree often enough with some node of the other."""
     for batch in batches:
         for i in range(batch.num_rows):
-            band = batch.column(0)[i].as_py()
-            (n1, l1, b1, s1), (n2, l2, b2, s2) = columns(batch.column(1)[i]), columns(batch.column(2)[i])
-            unmet = l1[:, None] != l2[None, :]
-            if batch.column(3)[i].as_py():
-                unmet = np.triu(unmet, 1)
-            for k in range(band):
-                unmet &= b1[:, k, None] != b2[None, :, k]
-            if not unmet.any():
-                continue
-            agree = np.zeros(unmet.shape, np.int16)
-            for k in range(SAMPLES):
-                agree += s1[:, k, None] == s2[None, :, k]
-            x, y = np.nonzero(unmet & (agree >= int(HOPELESS * SAMPLES)))
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n1[x], n2[y])), pa.array(np.maximum(n1[x], n2[y]))], ["a", "b"])
+            one, two = _columns(batch.column(2)[i]), _columns(batch.column(3)[i])
+            x, y, _ = _hopeful_pairs(batch.column(0)[i].as_py(), one, two)
+            found = np.unique(np.concatenate([one[0][np.unique(x)], two[0][np.unique(y)]]))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([batch.column(c)[i : i + 1].take(pa.array(np.zeros(len(found), int))) for c in (0, 1)] + [pa.array(found, pa.int64())], ["band", "key", "node"])
+
+
+def _hopeful_pairs(band: int, one: list, two: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in two tiles of the pairs of different components that share no band before this one and are not HOPELESS, and how
+    many samples agree."""
+    (n1, l1, _, b1, s1, _), (n2, l2, o2, b2, s2, _) = one, two
+    unmet = (l1[:, None] != l2[None, :]) & ~(o2[None, :] & (n1[:, None] > n2[None, :]))  # two outside nodes meet once
+    for k in range(band):
+        unmet &= b1[:, k, None] != b2[None, :, k]
+    agree = np.zeros(unmet.shape, np.int16)
+    if unmet.any():
+        for k in range(SAMPLES):
+            agree += s1[:, k, None] == s2[None, :, k]
+    x, y = np.nonzero(unmet & (agree >= int(HOPELESS * SAMPLES)))
+    return x, y, agree[x, y]
+
+
+def _met(idf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                links = _compared(batch.column(0)[i].as_py(), _columns(batch.column(2)[i]), _columns(batch.column(3)[i]), idf.value)
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _compared(band: int, one: list, two: list, idf: Weights) -> list[tuple[int, int]]:
+    """Links between the nodes of two tiles, the likeliest pairs first; pairs of components that a link has joined are passed over."""
+    (n1, l1, raw1), (n2, l2, raw2) = (one[0], one[1], one[5]), (two[0], two[1], two[5])
+    x, y, agree = _hopeful_pairs(band, one, two)
+    order = np.argsort(-agree, kind="stable")
+    top: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while v in top:
+            v = top[v]
+        return v
+
+    held: tuple[dict, dict] = ({}, {})
+    links = []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        p, q = root(int(l1[i])), root(int(l2[j]))
+        if p == q:
+            continue
+        for side, raw, at in ((0, raw1, i), (1, raw2, j)):
+            if at not in held[side]:
+                held[side][at] = unpacked_shingles(raw[at].as_py(), idf)
+        if weighted_jaccard(held[0][i], held[1][j]) >= SIMILAR:
+            a, b = int(n1[i]), int(n2[j])
+            links.append((min(a, b), max(a, b)))
+            top[max(p, q)] = min(p, q)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -321,10 +392,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Classes are the components of "weighted Jaccard similarity of five-word shingles is 0.8 or more", where a shingle weighs
     its count times a smoothed inverse document frequency (see inverse_frequencies). Texts of the same words are one node from
     the start. Each node's consistent weighted samples fall into bands; nodes that share a band are candidates. First, in FIRST of
-    the bands, every node of a bucket meets the bucket's least node; then, in all buckets that still hold several components,
-    LEADERS times every node meets a leader of the bucket, if it is of another component; the leader differs between bands. Last,
-    every pair of a bucket of any size that is still of different components is compared, so no candidate is left out (see
-    _unmet). A pair of similarity 0.8 shares 8 of 16 bands on average and none with probability 1e-5. Every link is verified on
+    the bands, every node of a bucket meets the bucket's most central one, whose bands are shared most: of copies of one text
+    that is the text. Then, in all buckets that still hold several components, LEADERS times every node meets a leader of the
+    bucket, the central one and one by chance, if it is of another component. Last, every pair of a bucket of any size that is
+    still of different components is compared, so no candidate is left out (see _last_links). A pair of similarity 0.8 shares 8 of 16 bands on average and none with probability 1e-5. Every link is verified on
     the whole texts. n_links counts the verified links of a document's text.
 
     A text without words is alone in its class, as is a null one. Of equal ids, rows repeat; exactly one row of a class is kept,
@@ -343,21 +414,28 @@ def _classes(docs: DataFrame) -> DataFrame:
     signed = settle(signed.withColumn("row", F.monotonically_increasing_id()))
     nodes = settle(signed.groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")))
     banded = settle(nodes.select("node", F.posexplode("bands").alias("band", "key")))
-    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = settle(banded.join(buckets, ["band", "key"]))
-
-    first = shared.filter(f"band < {FIRST} AND node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(docs, nodes, _hopeful(first, nodes), idf)
-    labels, tried = components(links), settle(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    shared = settle(shared.select("node", "band", "key").join(central, "node"))
+
+    most_central = F.struct("weight", F.xxhash64("node"))
+    leads = shared.filter(f"band < {FIRST}").groupBy("band", "key").agg(F.max_by("node", most_central).alias("lead"))
+    first = shared.join(leads, ["band", "key"]).filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    first = settle(first)
+    links, tried = _verified(docs, nodes, _hopeful(first, nodes), idf), first
+    labels = components(links)
     for turn in range(LEADERS + 1):
-        held = settle(shared.join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label")))
-        leader = F.min_by(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(turn))).alias("leader")
-        open_ = settle(held.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), leader).filter("lo <> hi").drop("lo", "hi"))
-        pairs = _with_leaders(held, open_, nodes) if turn < LEADERS else _unmet(held, open_, nodes)
-        pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            continue
-        more, tried = _verified(docs, nodes, pairs, idf), tried.unionByName(pairs)
+        held = settle(shared.join(labels, "node", "left").select("band", "key", "node", "weight", F.coalesce("label", "node").alias("label")))
+        leader = F.max_by(F.struct("node", "label"), F.xxhash64("node", "band") if turn else most_central).alias("leader")
+        open_ = settle(held.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.mode("label").alias("main"), leader).filter("lo <> hi").drop("lo", "hi"))
+        if turn < LEADERS:
+            pairs = settle(_with_leaders(held, open_, nodes).distinct().join(tried, ["a", "b"], "left_anti"))
+            if not pairs.limit(1).count():
+                continue
+            more, tried = _verified(docs, nodes, pairs, idf), tried.unionByName(pairs)
+        else:
+            more = _last_links(docs, held, open_, nodes, idf).distinct()
         if more.limit(1).count():
             links = settle(links.unionByName(more))
             labels = components(links)
