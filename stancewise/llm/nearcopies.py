@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, broadcast_if, handed_back, lean, null_safe_join, settle, without_copies, words_print
+from .common import BROADCAST_HOT, batches_of, broadcast_if, handed_back, lean, null_safe_join, settle, without_copies, words_print
 from .graph import components
 from .hashing import mixed, piece_hashes
 
@@ -28,6 +28,8 @@ FIRST, LEADERS = 4, 2
 #: Texts and bytes of shingles in a tile: in the last pass, tile against tile, all pairs of a bucket that are still of different
 #: components are compared.
 TILE, TILE_BYTES = 512, 4_000_000
+#: Pairs that one copy of a node's shingles serves while pairs are verified.
+MEETINGS = 200
 #: Candidate texts whose ids are broadcast to pick their rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Candidate pairs whose signatures agree in less than this share are not verified (4 standard errors below SIMILAR).
@@ -245,11 +247,20 @@ def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least SIMILAR. Only texts in a pair are read again."""
-    pairs = settle(pairs.distinct())
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = settle(need.join(nodes.select("node", "doc_id", "print"), "node"))
+    """Of pairs (a, b; written, distinct) those whose weighted Jaccard similarity is at least SIMILAR. Only texts in a pair are
+    read again. A node in many pairs, as the leader of a large bucket is, comes once per MEETINGS of them, dealt over the tasks."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    need = settle(met.join(nodes.select("node", "doc_id", "print"), "node"))
     texts = _texts(docs, need)
+    hot = need.filter(F.col("met") > MEETINGS).select("node", F.ceil(F.col("met") / MEETINGS).cast("int").alias("shares"))
+    near = broadcast_if(hot, hot.count(), BROADCAST_HOT)
+    shares = F.coalesce("shares", F.lit(1))
+
+    def handed(rows: DataFrame, end: str, name: str) -> DataFrame:
+        many = near.withColumnRenamed("node", end)
+        dealt = rows.join(many, end, "left").withColumn("share", F.pmod(F.xxhash64("a", "b"), shares).cast("int")).drop("shares")
+        held = texts.select(F.col("node").alias(end), F.col("shingles").alias(name)).join(many, end, "left")
+        return dealt.join(held.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares"), [end, "share"]).drop("share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,8 +269,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataF
             if good:
                 yield pa.RecordBatch.from_arrays([a.take(pa.array(good)), z.take(pa.array(good))], ["a", "b"])
 
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    both = handed(handed(pairs, "a", "x"), "b", "y").select("a", "b", "x", "y")
     return settle(both.mapInArrow(lean(run), "a long, b long"))
 
 
@@ -423,7 +433,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     leads = shared.filter(f"band < {FIRST}").groupBy("band", "key").agg(F.max_by("node", most_central).alias("lead"))
     first = shared.join(leads, ["band", "key"]).filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     first = settle(first)
-    links, tried = _verified(docs, nodes, _hopeful(first, nodes), idf), first
+    links, tried = _verified(docs, nodes, settle(_hopeful(first, nodes)), idf), first
     labels = components(links)
     for turn in range(LEADERS + 1):
         held = settle(shared.join(labels, "node", "left").select("band", "key", "node", "weight", F.coalesce("label", "node").alias("label")))
@@ -435,9 +445,9 @@ def _classes(docs: DataFrame) -> DataFrame:
                 continue
             more, tried = _verified(docs, nodes, pairs, idf), tried.unionByName(pairs)
         else:
-            more = _last_links(docs, held, open_, nodes, idf).distinct()
+            more = settle(_last_links(docs, held, open_, nodes, idf).distinct())
         if more.limit(1).count():
-            links = settle(links.unionByName(more))
+            links = links.unionByName(more)
             labels = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
