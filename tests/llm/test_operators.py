@@ -526,6 +526,21 @@ def test_near_duplicates_finds_planted_copies(spark):
     assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got.values())
 
 
+def test_verified_pairs_share_out_a_node_of_many_pairs(spark, monkeypatch):
+    """One node in 30 pairs, as a and as b, its shingles dealt in copies of 4 pairs each: every alike pair comes once, no other."""
+    monkeypatch.setattr(nearcopies, "MEETINGS", 4)
+    r = random.Random(14)
+    base = [f"w{r.randrange(99999)}" for _ in range(120)]
+    texts = {n: " ".join([*base[:-1], f"end{n}"] if n % 3 else [f"x{n}y{r.randrange(99999)}" for _ in range(120)]) for n in range(31)}
+    texts[15] = " ".join(base)
+    docs = documents(spark, list(texts.items())).select("doc_id", "text")
+    nodes = nearcopies.settle(docs.select(F.col("doc_id").alias("node"), "doc_id", nearcopies.words_print(F.col("text")).alias("print")))
+    pairs = nearcopies.settle(spark.createDataFrame([(min(n, 15), max(n, 15)) for n in texts if n != 15], "a long, b long"))
+    idf = spark.sparkContext.broadcast(nearcopies.inverse_frequencies(docs))
+    got = sorted((x["a"], x["b"]) for x in nearcopies._verified(docs, nodes, pairs, idf).collect())
+    assert got == sorted((min(n, 15), max(n, 15)) for n in texts if n % 3)
+
+
 def test_near_duplicates_in_one_template(spark):
     """500 texts of one template (similarity 0.76, no link) with 40 planted pairs of 0.82: all in the same large buckets."""
     r = random.Random(12)
