@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_HOT, batches_of, broadcast_if, handed_back, lean, null_safe_join, settle, without_copies, words_print
-from .graph import components
+from .graph import components, merged
 from .hashing import mixed, piece_hashes
 
 #: Words of a shingle, least similarity, bands of rows samples each.
@@ -23,8 +23,8 @@ SHARE, GAIN = 1 / 200, 0.25
 CELLS = 1 << 18
 #: Random variables of the sampling are shared by features with the same low bits.
 DRAWS = 1 << 14
-#: Bands of the first pass. In the second, nodes meet LEADERS of their bucket in turn, which joins what is alike at little cost.
-FIRST, LEADERS = 4, 2
+#: Bands of the first pass, which joins what is alike at little cost; the second takes all bands.
+FIRST = 4
 #: Texts and bytes of shingles in a tile: in the last pass, tile against tile, all pairs of a bucket that are still of different
 #: components are compared.
 TILE, TILE_BYTES = 512, 4_000_000
@@ -278,12 +278,6 @@ def _alike(one: str, two: str) -> Column:
     return F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= int(HOPELESS * SAMPLES)
 
 
-def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    one = nodes.select(F.col("node").alias("a"), F.col("samples").alias("sa"))
-    two = nodes.select(F.col("node").alias("b"), F.col("samples").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").filter(_alike("sa", "sb")).select("a", "b")
-
-
 def _with_leaders(held: DataFrame, open_: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hopeful pairs (a < b) of a node and the leader of its bucket, if that is of another component. A leader's signature comes
     with its bucket, so pairs without hope end in the join that would make them."""
@@ -403,8 +397,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its count times a smoothed inverse document frequency (see inverse_frequencies). Texts of the same words are one node from
     the start. Each node's consistent weighted samples fall into bands; nodes that share a band are candidates. First, in FIRST of
     the bands, every node of a bucket meets the bucket's most central one, whose bands are shared most: of copies of one text
-    that is the text. Then, in all buckets that still hold several components, LEADERS times every node meets a leader of the
-    bucket, the central one and one by chance, if it is of another component. Last, every pair of a bucket of any size that is
+    that is the text. Then, in all buckets that still hold several components, every node meets the central one of its bucket if
+    that is of another component. Last, every pair of a bucket of any size that is
     still of different components is compared, so no candidate is left out (see _last_links). A pair of similarity 0.8 shares 8 of 16 bands on average and none with probability 1e-5. Every link is verified on
     the whole texts. n_links counts the verified links of a document's text.
 
@@ -430,25 +424,21 @@ def _classes(docs: DataFrame) -> DataFrame:
     shared = settle(shared.select("node", "band", "key").join(central, "node"))
 
     most_central = F.struct("weight", F.xxhash64("node"))
-    leads = shared.filter(f"band < {FIRST}").groupBy("band", "key").agg(F.max_by("node", most_central).alias("lead"))
-    first = shared.join(leads, ["band", "key"]).filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    first = settle(first)
-    links, tried = _verified(docs, nodes, settle(_hopeful(first, nodes)), idf), first
+    leader = F.max_by(F.struct("node", "label"), most_central).alias("leader")
+    alone = shared.filter(f"band < {FIRST}").withColumn("label", F.col("node"))
+    tried = settle(_with_leaders(alone, alone.groupBy("band", "key").agg(leader), nodes).distinct())
+    links = _verified(docs, nodes, tried, idf)
     labels = components(links)
-    for turn in range(LEADERS + 1):
+    for last in (False, True):
         held = settle(shared.join(labels, "node", "left").select("band", "key", "node", "weight", F.coalesce("label", "node").alias("label")))
-        leader = F.max_by(F.struct("node", "label"), F.xxhash64("node", "band") if turn else most_central).alias("leader")
-        open_ = settle(held.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.mode("label").alias("main"), leader).filter("lo <> hi").drop("lo", "hi"))
-        if turn < LEADERS:
-            pairs = settle(_with_leaders(held, open_, nodes).distinct().join(tried, ["a", "b"], "left_anti"))
-            if not pairs.limit(1).count():
-                continue
-            more, tried = _verified(docs, nodes, pairs, idf), tried.unionByName(pairs)
-        else:
+        wanted = F.mode("label").alias("main") if last else leader
+        open_ = settle(held.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), wanted).filter("lo <> hi").drop("lo", "hi"))
+        if last:
             more = settle(_last_links(docs, held, open_, nodes, idf).distinct())
+        else:
+            more = _verified(docs, nodes, settle(_with_leaders(held, open_, nodes).distinct().join(tried, ["a", "b"], "left_anti")), idf)
         if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
+            links, labels = links.unionByName(more), merged(labels, more)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "print", "copies").join(labels, "node", "left").join(ends, "node", "left").select("print", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
