@@ -308,15 +308,18 @@ def _last_links(docs: DataFrame, held: DataFrame, open_: DataFrame, nodes: DataF
 
 
 def _in_tiles(rows: DataFrame) -> DataFrame:
-    """band, key, x, y: each tile of outside nodes of a bucket with each tile of its nodes, of at most about TILE nodes and TILE_BYTES."""
+    """band, key, x, y: each tile of outside nodes of a bucket with each tile of its nodes, of at most about TILE nodes and TILE_BYTES.
+    Tiles are dealt one by one, so that those of one bucket are made and meet in many tasks."""
     tiles = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES), F.lit(1)).cast("int")
     counts = rows.groupBy("band", "key").agg(tiles(F.count(F.lit(1)), F.sum("size")).alias("all"), tiles(F.count_if("out"), F.sum(F.when(F.col("out"), F.col("size")).otherwise(0))).alias("outside"), F.count_if("out").alias("n_out"))
     full = rows.join(settle(counts.filter("n_out > 0")), ["band", "key"])
     one = F.struct("node", "label", "out", "bands", "samples", "shingles")
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int").alias("tile")
-    whole = full.groupBy("band", "key", dealt("all")).agg(F.collect_list(one).alias("y")).drop("tile")
-    outside = full.filter("out").groupBy("band", "key", dealt("outside")).agg(F.collect_list(one).alias("x")).drop("tile")
-    return outside.join(whole, ["band", "key"]).select("band", "key", "x", "y")
+    spread = ["band", "key", "tile"]
+    dealt = lambda df, n: df.withColumn("tile", F.pmod(F.xxhash64("node"), F.col(n)).cast("int")).repartition(*spread)
+    whole = dealt(full, "all").groupBy(*spread).agg(F.collect_list(one).alias("y"))
+    outside = dealt(full.filter("out"), "outside").groupBy(*spread, "all").agg(F.collect_list(one).alias("x"))
+    outside = outside.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    return outside.join(whole, spread).select("band", "key", "x", "y")
 
 
 def _columns(held: pa.ListScalar) -> list:
