@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, langid, mixing, nearcopies, packing, secrets, tokenstore, topk, toxicity
+from . import audit, chat, dedup, langid, mixing, nearcopies, packing, runs, secrets, slack, tokenstore, topk, toxicity
 
 #: The row that the formatting contract adds.
 TRICKY = "\\### Assistant: </turn> ok"
@@ -60,13 +60,31 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack_with_least_slack(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.planted(_table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_mixing, op3_packing, op4_toxicity, op5_token_files, op6_language, op7_secrets, op8_exact_dedup, op9_chat, op10_near_dedup, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_top_k, op2_mixing, op3_packing, op4_toxicity, op5_token_files, op6_language, op7_secrets, op8_exact_dedup, op9_chat, op10_near_dedup,
+        op11_packing, op12_filter_audit, op13_periodic_runs, pipeline,
+    )
+}
 
 _ESCAPED = "regexp_replace({}, '[\\\\<#:]', '\\\\\\0', 'g')"
 
@@ -91,4 +109,26 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(CASE WHEN role = 'assistant' THEN 15 ELSE 7 + length({_ESCAPED.format("role")}) END + length({_ESCAPED.format("text")}) + 9) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op12_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+        f AS (SELECT part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+                100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, false) AS good, coalesce(bad, false) AS bad
+            FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        g AS (SELECT part, a, b, c, d, e, good, bad, count(*) AS n FROM f GROUP BY ALL),
+        x AS (SELECT unnest(string_split('A,B,C,D,E', ',')) AS k),
+        o AS (SELECT p.k || q.k || r.k || s.k || u.k AS filter_order FROM x p JOIN x q ON q.k <> p.k JOIN x r ON r.k NOT IN (p.k, q.k)
+            JOIN x s ON s.k NOT IN (p.k, q.k, r.k) JOIN x u ON u.k NOT IN (p.k, q.k, r.k, s.k)),
+        s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, substr(filter_order, i, 1) AS k, substr(filter_order, 1, i - 1) AS before FROM o, range(1, 6) t(i)),
+        m AS (SELECT g.*, filter_order, step, k,
+                (a AND contains(before, 'A')) OR (b AND contains(before, 'B')) OR (c AND contains(before, 'C')) OR (d AND contains(before, 'D')) OR (e AND contains(before, 'E')) AS gone,
+                CASE k WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+                CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) AS failed FROM g, s),
+        y AS (SELECT part, filter_order, step, k, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+                CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails AND failed = 1), 0) AS BIGINT) AS unique_fails,
+                CAST(coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (NOT gone AND fails AND bad), 0) AS BIGINT) AS toxic_lost
+            FROM m GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM y""",
 }

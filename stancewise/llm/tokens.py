@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -39,6 +41,9 @@ class WordEncoder:
     hash and compared with the bytes kept there, so that different pieces never meet; longer ones and those not in the table reach the tokenizer.
     """
 
+    #: What stands between texts: no piece holds it.
+    between = b"\n"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -67,6 +72,13 @@ class WordEncoder:
     def _plain(self, words: list[str]) -> dict[str, np.ndarray]:
         return {w: np.array(e.ids, self.kind) for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True)} if words else {}
 
+    def _joinable(self, word: str) -> bool:
+        return word.isalpha()
+
+    def _same(self, word: str) -> str:
+        """Words of one such form have the same ids."""
+        return word.lower() if word.isascii() else word
+
     def _letters(self, words: list[str]) -> dict[str, np.ndarray]:
         """Words of letters only, many in one call: each ends with the one token that carries a word end."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
@@ -81,10 +93,25 @@ class WordEncoder:
             out.update({w: ids[a:b] for w, a, b in zip(group, at, at[1:], strict=False)})
         return out | self._plain(rest)
 
+    def _bounds(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of buf start and stop."""
+        c = self.cls[buf]
+        prev = np.empty_like(c)
+        prev[0], prev[1:] = 0, c[:-1]
+        start = (c != 0) & ((prev == 0) | ((c ^ prev) == 3))
+        stop = np.empty(len(c), bool)
+        stop[-1] = True
+        stop[:-1] = (c[1:] == 0) | start[1:]
+        return np.flatnonzero(start), np.flatnonzero(stop & (c != 0)) + 1
+
+    def _whole(self, text: str) -> bool:
+        """Whether the tokenizer must see text whole: it spells an added token."""
+        return any(a in text for a in self.added)
+
     def _add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encodes words into the store; their places and sizes there."""
-        letters = list({w for w in words if w.isalpha()})
-        known = self._letters(letters) | self._plain(list({w for w in words if not w.isalpha()}))
+        joined = {w for w in words if self._joinable(w)}
+        known = self._letters(list(joined)) | self._plain(list(set(words) - joined))
         arrays = [known[w] for w in words]
         sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
         flat = np.concatenate(arrays) if arrays else np.zeros(0, self.kind)
@@ -99,17 +126,9 @@ class WordEncoder:
         """Starts of the pieces in buf, and the place and size in the store of the ids of each."""
         if self.used > KEPT:
             self._clear()
-        c = self.cls[buf]
-        prev = np.empty_like(c)
-        prev[0], prev[1:] = 0, c[:-1]
-        start = (c != 0) & ((prev == 0) | ((c ^ prev) == 3))
-        starts = np.flatnonzero(start)
+        starts, stops = self._bounds(buf)
         if not len(starts):
             return starts, starts, starts
-        stop = np.empty(len(c), bool)
-        stop[-1] = True
-        stop[:-1] = (c[1:] == 0) | start[1:]
-        stops = np.flatnonzero(stop & (c != 0)) + 1
         long = stops - starts
         packed = packed_pieces(self.low[buf], starts, stops)
         key = mixed_pieces(packed, long)
@@ -138,7 +157,7 @@ class WordEncoder:
         if len(rest):
             words = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), stops[rest].tolist(), strict=True)]
             first: dict[str, int] = {}
-            back = np.array([first.setdefault(w.lower() if w.isascii() else w, i) for i, w in enumerate(words)])
+            back = np.array([first.setdefault(self._same(w), i) for i, w in enumerate(words)])
             one = np.unique(back)
             p, n = self._add([words[i] for i in one.tolist()])
             which = np.searchsorted(one, back)
@@ -163,11 +182,11 @@ class WordEncoder:
             held[way][where] = packed[k][of]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Texts that spell an added token go to the tokenizer whole."""
-        special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        """The ids of each text. Some texts (``_whole``) go to the tokenizer whole."""
+        special = [i for i, t in enumerate(texts) if self._whole(t)]
         if special:
             own = self._plain([texts[i] for i in special])
-            rest = self.encode(["" if any(a in t for a in self.added) else t for t in texts])
+            rest = self.encode(["" if self._whole(t) else t for t in texts])
             for i in special:
                 rest[i] = own[texts[i]]
             return rest
@@ -179,7 +198,7 @@ class WordEncoder:
             while hi < len(raw) and (hi == lo or n + len(raw[hi]) + 1 <= CHUNK):
                 n += len(raw[hi]) + 1
                 hi += 1
-            joined = b"\n".join(raw[lo:hi]) + b"\n"
+            joined = self.between.join(raw[lo:hi]) + self.between
             starts, place, size = self._chunk(np.frombuffer(joined, np.uint8))
             ends = np.cumsum(size)
             ids = self.store[np.repeat(place - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -190,12 +209,69 @@ class WordEncoder:
         return out
 
 
+#: White space above ASCII, and the line end U+0085: a byte cannot tell it from letters.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class ByteEncoder(WordEncoder):
+    """Encodes texts piece by piece with a byte-level tokenizer, which drops nothing and keeps case.
+
+    It takes one space before a word as part of it; of a longer run of white space the last character stands alone or, being a
+    space, joins the word, and the rest is one token string; a run at the end of a text is one. Between an ASCII letter and an
+    ASCII punctuation mark other than the apostrophe it always splits. Texts with other white space than ASCII's go to it whole.
+    """
+
+    between = b"\xff"
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.low = np.arange(256, dtype=np.uint8)
+        self.cls[[9, 10, 11, 12, 13]], self.cls[32], self.cls[255] = 4, 5, 0
+        self.opens = np.zeros(len(self.ends), bool)
+        self.opens[[i for s, i in self.tok.get_vocab().items() if s.startswith("\u0120")]] = True
+
+    def _bounds(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = self.cls[buf]
+        prev, after = np.append(np.uint8(0), c[:-1]), np.append(c[1:], np.uint8(0))
+        space, was_space = c >= 4, prev >= 4
+        word_next = (after > 0) & (after < 4)
+        start = (prev == 0) | (~space & ((prev == 4) | ((c ^ prev) == 3) & ~was_space)) | (space & (~was_space | word_next))
+        start &= c != 0
+        stop = np.append((c[1:] == 0) | start[1:], True)
+        return np.flatnonzero(start), np.flatnonzero(stop & (c != 0)) + 1
+
+    def _whole(self, text: str) -> bool:
+        return super()._whole(text) or (not text.isascii() and _WIDE_SPACE.search(text) is not None)
+
+    def _joinable(self, word: str) -> bool:
+        return word[0] == " " and word[1:].isalpha()
+
+    def _same(self, word: str) -> str:
+        return word
+
+    def _letters(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Words after a space, many in one call: each begins with the one token that begins with a space."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out = {}
+        for group, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            at = np.flatnonzero(self.opens[ids]).tolist()
+            if len(at) != len(group):
+                out |= self._plain(group)
+            else:
+                out.update({w: ids[a:b] for w, a, b in zip(group, at, [*at[1:], len(ids)], strict=True)})
+        return out
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
+    """The worker's encoder for the tokenizer file at path."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        with open(path, encoding="utf-8") as file:
+            kind = (json.load(file).get("pre_tokenizer") or {}).get("type")
+        _encoders[path] = (ByteEncoder if kind == "ByteLevel" else WordEncoder)(path)
     return _encoders[path]
 
 
