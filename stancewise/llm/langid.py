@@ -193,6 +193,10 @@ def _plain(text: str) -> str:
 _made: dict[int, Parser] = {}
 
 
+#: The columns that a verdict adds.
+VERDICT = ("held_out", "lang_pred", "score")
+
+
 def _parser(samples: dict[str, str]) -> Parser:
     """One per Python worker: made from the sample (some 30 kB per language), not sent as a table."""
     key = hash(tuple(samples.items()))
@@ -216,7 +220,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, modulus: in
     spark = docs.sparkSession
     samples = labelled_sample(docs, modulus, held_out) if samples is None else samples
     batches_of(spark, 500)
-    plain = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", id_remainder("doc_id", modulus) == held_out)
+    plain = docs.drop(*VERDICT).withColumn("held_out", id_remainder("doc_id", modulus) == held_out)
     schema = plain.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double"
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import batches_of, lean, shared_folder
 
-#: Ids of a grammar block, characters of a shard, and the least count of a pair that becomes a rule.
-BLOCK_IDS, SHARD_CHARS, LEAST = 1_000_000, 32_000_000, 4
+#: Ids of a grammar block, characters of a shard (at least, while cores would idle, and at most), the least count of a pair that becomes a rule.
+BLOCK_IDS, LEAST_CHARS, SHARD_CHARS, LEAST = 1_000_000, 4_000_000, 32_000_000, 4
 
 
 def _chosen(at: np.ndarray, worth: np.ndarray) -> np.ndarray:
@@ -135,7 +135,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     tokenizer = tokenizer or tokens.default_path()
     batches_of(spark, 2000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = shards or -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 1) // SHARD_CHARS)
+    if not shards:
+        chars = rows.agg(F.sum(F.length("text"))).first()[0] or 1
+        shards = max(-(-chars // SHARD_CHARS), min(-(-chars // LEAST_CHARS), 2 * spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
