@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stancewise.llm import dedup, langid, mixing, nearcopies, packing
-from stancewise.llm.common import settle
+from stancewise.llm.common import fresh, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null text, or no letter in it) go; repeated rows repeat."""
-    return langid.identify(docs).filter("lang_pred <> 'und'").select(*docs.columns)
+    """Documents whose language cannot be told (null text, or no letter in it) go; repeated rows repeat. Columns of docs that are called
+    like those of the verdict keep their values."""
+    aside = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in langid.VERDICT}
+    found = langid.identify(docs.withColumnsRenamed(aside)).filter("lang_pred <> 'und'").drop(*langid.VERDICT)
+    return found.withColumnsRenamed({name: c for c, name in aside.items()}).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
