@@ -387,14 +387,17 @@ def threshold_sweep(spark, sf):
 
 
 # pages and prompts
-@query("WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS url FROM pages) SELECT DISTINCT CASE WHEN starts_with(url, 'http') THEN url ELSE 'https://pages.example' || url END AS url FROM l WHERE contains(url, '/') AND NOT contains(url, 'the')")
+@query(
+    "WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS url FROM pages), a AS (SELECT CASE WHEN starts_with(url, 'http') THEN url ELSE 'https://pages.example' || url END AS url FROM l)"
+    " SELECT DISTINCT url FROM a WHERE contains(url, '.example/') AND NOT contains(url, 'the')"
+)
 def page_links(spark, sf):
-    return tables.page_links(tables.table(spark, sf, "pages"), "/", "the", "https://pages.example")
+    return tables.page_links(tables.table(spark, sf, "pages"), ".example/", "the", "https://pages.example")
 
 
 @query(None)
 def page_speeches(spark, sf):
-    return tables.page_speeches(tables.table(spark, sf, "pages"))
+    return tables.page_speeches(tables.table(spark, sf, "pages"), (("article", None, None),))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 800 THEN text WHEN length(regexp_extract(substr(text, 1, 800), '(?s)^(.*[.?!]) ', 1)) > 400 THEN regexp_extract(substr(text, 1, 800), '(?s)^(.*[.?!]) ', 1) || ' [...]' ELSE regexp_replace(substr(text, 1, 800), '\\s+$', '') || ' [...]' END AS short FROM documents")

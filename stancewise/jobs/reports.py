@@ -235,13 +235,21 @@ def small_speeches(spark, sf):
 
 # pages
 CLEANED = "regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?s)<[^>]+>', ' ', 'g')"
-for _name, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    CLEANED = f"replace({CLEANED}, '{_name}', '{_c}')"
+HEADED = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]+>', '', 'g')"
+
+
+def _decoded(sql: str) -> str:
+    """The entities of the fixture's pages; the ampersand last, so that nothing is decoded twice."""
+    for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{name}', '{c}')"
+    return sql
+
+
 MONTHS = "['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre']"
 DATED = r"'(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})'"
 registry.ORACLES["page_speeches"] = f"""
-    WITH t AS (SELECT page_id, url, trim(regexp_replace({CLEANED}, '\\s+', ' ', 'g')) AS text, regexp_extract(html, '(?is)<time[^>]*>(.*?)</time>', 1) AS time FROM pages),
-    d AS (SELECT *, lower(CASE WHEN trim(time) <> '' THEN time ELSE substr(text, 1, 500) END) AS near,
+    WITH t AS (SELECT page_id, url, html, trim(regexp_replace({_decoded(CLEANED)}, '\\s+', ' ', 'g')) AS text, regexp_extract(html, '(?is)<time[^>]*>(.*?)</time>', 1) AS time, {_decoded(HEADED)} AS head FROM pages),
+    d AS (SELECT *, lower(CASE WHEN contains(html, '<time') THEN time ELSE substr(head, 1, 500) END) AS near,
       len(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '[^a-z\\s]', '', 'g'), '\\s+'), lambda w: w <> '')) AS n_words FROM t)
     SELECT page_id, url, text, CAST(n_words AS BIGINT) AS n_words,
       CAST(TRY_STRPTIME(regexp_extract(near, {DATED}, 3) || '-' || list_position({MONTHS}, regexp_extract(near, {DATED}, 2)) || '-' || regexp_extract(near, {DATED}, 1), '%Y-%m-%d') AS DATE) AS date FROM d WHERE n_words >= 50"""

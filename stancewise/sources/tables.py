@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import SPANISH, Lexicon, Regimes
 from ..functions.text import normalise, spanish_date, word_count
+from .markup import BODY, Choice, read_pages
 
 SPEECHES = "speech_id long, date date, url string, president string, president_id int, year int, month int, year_month string, n_words long, text_raw string"
 
@@ -66,17 +67,14 @@ def speeches(docs: DataFrame, regimes: Regimes) -> DataFrame:
     return with_regime(docs.select(F.col("doc_id").alias("speech_id"), day.alias("date"), F.col("text").alias("text_raw"), "source", "lang"), regimes).withColumn("year_month", F.date_format("date", "yyyy-MM"))
 
 
-def page_speeches(pages: DataFrame, tag: str = "article", least_words: int = 50) -> DataFrame:
-    """page_id, url, text, n_words, date of stored pages: the body's text with tags as spaces; at least ``least_words`` words.
+def page_speeches(pages: DataFrame, choices: tuple[Choice, ...] = BODY, least_words: int = 50) -> DataFrame:
+    """page_id, url, text, n_words, date of stored pages: the text of the chosen element; at least ``least_words`` words.
 
-    The date is the Spanish one of the page's <time> element or, without one, of the text's first 500 characters.
+    The date is the Spanish one of the page's <time> element or, where it has none, of the first 500 characters of its text.
     """
-    body = F.regexp_extract("html", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    text = F.regexp_replace(body, "(?s)<[^>]+>", " ")
-    for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(c))
-    rows = pages.select("page_id", "url", F.regexp_extract("html", r"(?is)<time[^>]*>(.*?)</time>", 1).alias("time"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
-    rows = rows.withColumn("date", spanish_date(F.when(F.trim("time") != "", F.col("time")).otherwise(F.substring("text", 1, 500)))).drop("time")
+    read = read_pages(pages, choices).filter("body IS NOT NULL")
+    date = spanish_date(F.coalesce("time", "head"))
+    rows = read.select("page_id", "url", F.trim(F.regexp_replace("body", r"(?U)\s+", " ")).alias("text"), date.alias("date"))
     return rows.withColumn("n_words", word_count(F.col("text")).cast("long")).filter(F.col("n_words") >= least_words)
 
 
@@ -90,11 +88,10 @@ def short_enough(df: DataFrame, column: str, most: int = 2500) -> DataFrame:
     return df.filter(F.char_length(column) <= most)
 
 
-def page_links(pages: DataFrame, holding: str, without: str | None, root: str) -> DataFrame:
-    """url: distinct links that hold one string and not another, made absolute."""
-    links = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("url")).filter(F.col("url").contains(holding))
-    links = links.filter(~F.col("url").contains(without)) if without else links
-    return links.select(F.when(F.col("url").startswith("http"), F.col("url")).otherwise(F.concat(F.lit(root), "url")).alias("url")).distinct()
+def page_links(pages: DataFrame, holding: str, without: str | None, root: str | None = None) -> DataFrame:
+    """url: distinct links of index pages that hold one string and not another, absolute (against ``root``, or the page's own url)."""
+    links = read_pages(pages, (), root).select(F.explode("links").alias("url")).filter(F.col("url").contains(holding))
+    return (links.filter(~F.col("url").contains(without)) if without else links).distinct()
 
 
 def write_stage(df: DataFrame, path: str, by: str | None = "president") -> None:

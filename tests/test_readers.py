@@ -50,18 +50,6 @@ def test_label_sheet_comes_back(spark, tmp_path):
     assert {r["outcome"]: r["n"] for r in agreement.label_report(labels, "score").collect()} == {"kept": 3, "blank": 1, "not a number": 1, "out of range": 1}
 
 
-def test_dates_of_pages(spark):
-    body = " palabra" * 60
-    rows = [
-        (1, f"<time>3 de Mayo de 2021</time><article>el 1 de enero de 1999{body}</article>"), (2, f"<article>el 31 de diciembre de 2019{body}</article>"), (3, f"<article>31 de febrero de 2019{body}</article>"),
-        (4, f"<article>1 de foo de 2019{body}</article>"), (5, f"<article>{body * 2} 1 de mayo de 2019</article>"), (6, "<article>short</article>"),
-    ]
-    got = {r["page_id"]: r["date"] for r in tables.page_speeches(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()}
-    assert got == {1: datetime.date(2021, 5, 3), 2: datetime.date(2019, 12, 31), 3: None, 4: None, 5: None}
-    dated = spark.createDataFrame([(1, datetime.date(2020, 1, 1)), (2, datetime.date(2019, 1, 1)), (3, None)], "id long, date date")
-    assert {r["id"] for r in tables.since(dated, "2020-01-01").collect()} == {1, 3}
-
-
 def test_sentences(spark):
     rows = [(1, "One. Two; three, four"), (2, ""), (3, "3.5 is no end"), (4, ". ")]
     got = {r[0]: r[1] for r in spark.createDataFrame(rows, "i long, t string").select("i", text.sentences(F.col("t"))).collect()}
