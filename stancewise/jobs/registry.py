@@ -11,6 +11,7 @@ from ..functions.patterns import cue_pattern, keyword_pattern, term_pattern
 from ..functions.text import normalise, tokens, truncated
 from ..operators import agreement, index, panel, paragraphs, scoring, similarity, topics
 from ..sources import tables
+from ..sources.landing import landed
 
 REGIMES = Regimes()
 QUERIES: dict = {}
@@ -406,7 +407,9 @@ def truncated_texts(spark, sf):
 
 
 def _asked(spark, sf):
-    return paragraphs.numbered(_paras(spark, sf).filter("is_fiscal"))
+    """The relevant paragraphs, as much of them as a prompt shows, written once; numbered by their keys."""
+    shown = _paras(spark, sf).filter("is_fiscal").select("speech_id", "para_idx", truncated(F.col("text_para")).alias("text"))
+    return paragraphs.numbered(landed(shown))
 
 
 def _stub(prompt: str) -> str:
@@ -421,7 +424,7 @@ def _stub(prompt: str) -> str:
 
 @query(None)
 def scored_paragraphs(spark, sf):
-    return scoring.parsed(scoring.replied(scoring.batched(_asked(spark, sf)), _stub))
+    return scoring.scored(scoring.batched(_asked(spark, sf), numbered=True), _stub, wait=0)
 
 
 @query(f"WITH {PARA} SELECT count(*) AS n, count(*) // 10 AS calls, count(*) // 10 * 350 + count(*) * 120 AS tokens_in, count(*) * 30 AS tokens_out, round((count(*) // 10 * 350 + count(*) * 120) * 0.15 / 1e6 + count(*) * 30 * 0.6 / 1e6, 6) AS usd FROM para WHERE is_fiscal")

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import Lexicon
 from ..functions.patterns import cue_pattern, keyword_pattern, term_pattern
 from ..functions.text import normalise, tokens
-from ..sources.landing import landed
+from .ids import dense
 
 META = ("speech_id", "date", "president", "president_id", "year_month")
 
@@ -105,21 +104,5 @@ def with_votes(matched: DataFrame) -> DataFrame:
 
 
 def numbered(paras: DataFrame) -> DataFrame:
-    """Adds para_id, dense from 0 in (speech, line) order.
-
-    Rows are written in ranges of (speech_id, para_idx), as many as the data has partitions; a range starts where the counts of
-    those before end, and within it a running number is taken. Ids may be as sparse as they like.
-    """
-    part = fresh_column(paras, "part")
-    ranged = landed(paras.repartitionByRange("speech_id", "para_idx").withColumn(part, F.spark_partition_id()))
-    before = F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
-    bases = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(part, before.alias("base"))
-    inner = F.row_number().over(W.partitionBy(part).orderBy("speech_id", "para_idx")) - 1
-    found = ranged.withColumn("para_id", inner).join(bases, part)
-    return found.withColumn("para_id", F.col("base") + F.col("para_id")).drop(part, "base")
-
-
-def fresh_column(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
+    """Adds para_id, dense from 0 in (speech, line) order. Only the keys are sorted and written; ids may be as sparse as they like."""
+    return dense(paras, ("speech_id", "para_idx"), "para_id")

@@ -2,50 +2,108 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
 from ..sources.landing import landed
+from .ids import dense
 
 FALLBACKS = ("parse_fallback", "api_error", "retry_exhausted", "no_response")
 
 
-def batched(paras: DataFrame, size: int = 10, per_bucket: int = 10_000) -> DataFrame:
-    """batch_id, ids, prompt: batches of ``size`` paragraphs, numbered within hash buckets of about ``per_bucket`` rows so that
-    no global sort is needed at any size."""
-    rows = landed(paras.select("para_id", truncated(F.col("text_para")).alias("text")))
-    buckets = rows.count() // per_bucket + 1
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("para_id"), F.lit(buckets)))
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("para_id")) - 1)
-    rows = rows.withColumn("nth", F.floor(F.col("k") / size)).withColumn("i", F.col("k") % size + 1)
-    held = rows.groupBy("bucket", "nth").agg(F.array_sort(F.collect_list(F.struct("i", "para_id", "text"))).alias("items"))
-    line = lambda x: F.format_string("%d. [id=%d] %s", x["i"], x["para_id"], x["text"])
-    return held.select(F.concat_ws("-", "bucket", "nth").alias("batch_id"), F.transform("items", lambda x: x["para_id"]).alias("ids"), F.array_join(F.transform("items", line), "\n").alias("prompt"))
+class Busy(Exception):
+    """What a scorer raises when the model asks to wait: after the last try the reason is retry_exhausted, after others api_error."""
 
 
-def replied(batches: DataFrame, scorer: Callable[[str], str], tries: int = 3) -> DataFrame:
-    """batch_id, ids, reply: scorer(prompt), tried up to ``tries`` times, then an empty reply."""
+def batched(paras: DataFrame, size: int = 10, numbered: bool = False) -> DataFrame:
+    """batch_id, items (para_id, text): consecutive groups of ``size`` paragraphs in the order of para_id.
+
+    The batch of a paragraph is its place div ``size``; where ids are dense from 0 already (``numbered``) they are the places, else
+    places are found on the ids alone. No window, at any number of rows. The text is the column ``text``, or text_para as far as a prompt
+    shows it.
+    """
+    rows = paras.select("para_id", "text" if "text" in paras.columns else truncated(F.col("text_para")).alias("text"))
+    rows = rows.withColumn("place", F.col("para_id")) if numbered else dense(rows, ("para_id",), "place")
+    return rows.groupBy(F.expr(f"place div {size}").alias("batch_id")).agg(F.array_sort(F.collect_list(F.struct("para_id", "text"))).alias("items"))
+
+
+def prompt(items: Column) -> Column:
+    line = lambda x, i: F.format_string("%d. [id=%d] %s", i + 1, x["para_id"], x["text"])
+    return F.array_join(F.transform(items, line), "\n")
+
+
+def replied(batches: DataFrame, scorer: Callable[[str], str]) -> DataFrame:
+    """batch_id, items, reply, failure: scorer(prompt) once per batch; failure is null, api_error or (Busy) retry_exhausted."""
+    asked = batches.select("batch_id", "items", prompt(F.col("items")).alias("prompt"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            replies = []
-            for prompt in b.column(2).to_pylist():
-                reply = ""
-                for _ in range(tries):
-                    try:
-                        reply = scorer(prompt)
-                        break
-                    except Exception:  # noqa: BLE001  the scorer is the user's: any failure counts as a try
-                        continue
+            replies, failures = [], []
+            for text in b.column(2).to_pylist():
+                reply, failure = None, None
+                try:
+                    reply = scorer(text)
+                except Busy:
+                    failure = "retry_exhausted"
+                except Exception:  # noqa: BLE001  the scorer is the user's: any failure counts as a try
+                    failure = "api_error"
                 replies.append(reply)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(replies, pa.string())], ["batch_id", "ids", "reply"])
+                failures.append(failure)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(replies, pa.string()), pa.array(failures, pa.string())], ["batch_id", "items", "reply", "failure"])
+
+    return asked.mapInArrow(run, f"batch_id long, items {batches.schema['items'].dataType.simpleString()}, reply string, failure string")
+
+
+def with_answers(replies: DataFrame) -> DataFrame:
+    """replies with answers (para_id, score, reason per answered id, the last of repeated ids), items (those that the reply lacks) and
+    failure (why: as it was, or no_response to a blank reply, else parse_fallback)."""
+    reply = F.coalesce(F.col("reply"), F.lit(""))
+    found = F.coalesce(_items(reply), F.expr("cast(array() as array<struct<para_id:bigint,score:int,reason:string>>)"))
+    own = lambda x, found: F.element_at(F.filter(found, lambda f: f["para_id"] == x["para_id"]), -1)
+    each = F.flatten(F.transform(F.array(found), lambda f: F.transform("items", lambda x: F.struct(x.alias("item"), F.when(F.exists(f, lambda y: y["para_id"] == x["para_id"]), own(x, f)).alias("answer")))))
+    why = F.coalesce("failure", F.when(F.trim(reply) == "", "no_response").otherwise("parse_fallback"))
+    rows = replies.select("batch_id", each.alias("each"), why.alias("failure"))
+    answers = F.transform(F.filter("each", lambda e: e["answer"].isNotNull()), lambda e: e["answer"])
+    lacking = F.transform(F.filter("each", lambda e: e["answer"].isNull()), lambda e: e["item"])
+    return rows.select("batch_id", answers.alias("answers"), lacking.alias("items"), "failure")
+
 
-    return batches.mapInArrow(run, "batch_id string, ids array<long>, reply string")
+def answered(rows: DataFrame) -> DataFrame:
+    """para_id, score, reason of the ids that replies answered."""
+    return rows.select(F.inline("answers"))
+
+
+def neutral(rows: DataFrame) -> DataFrame:
+    """para_id, score 0 and the kind of failure of the ids that replies lacked."""
+    return rows.select(F.explode("items").alias("x"), "failure").select("x.para_id", F.lit(0).alias("score"), F.col("failure").alias("reason"))
+
+
+def scored(batches: DataFrame, scorer: Callable[[str], str], tries: int = 3, wait: float = 1.0, at_once: int | None = None) -> DataFrame:
+    """para_id, score, reason of all ids of batches, asked in up to ``tries`` rounds.
+
+    A round asks for what replies have lacked so far, batch by batch and nothing else; its replies are written, so no batch
+    is asked twice in a round. Between rounds it waits ``wait`` seconds, twice as long each time. Ids without an answer in the end are neutral,
+    with the kind of their last failure. At most ``at_once`` tasks ask at a time.
+    """
+    left, done = batches, []
+    for turn in range(tries):
+        asking = left.coalesce(at_once) if at_once else left
+        rows = landed(with_answers(replied(asking, scorer)))
+        done.append(answered(rows))
+        left = rows.filter(F.size("items") > 0)
+        if not left.limit(1).count():
+            break
+        if turn + 1 < tries:
+            time.sleep(wait * 2**turn)
+    found = neutral(left)
+    for part in done:
+        found = found.unionByName(part)
+    return found
 
 
 def _items(reply: Column) -> Column:
@@ -60,22 +118,10 @@ def _items(reply: Column) -> Column:
 
 
 def parsed(replies: DataFrame) -> DataFrame:
-    """para_id, score, reason for every id that was asked; the last of repeated ids counts, ids without a reply are neutral with a
-    reason from FALLBACKS.
-
-    A reply and its ids stay in one row until they are matched, so that a batch goes to the scorer once.
-    """
-    reply = F.coalesce(F.col("reply"), F.lit(""))
-    missing = F.struct(F.lit(0).alias("score"), F.when(F.trim(reply) == "", "no_response").otherwise("parse_fallback").alias("reason"))
-
-    def answer(i: Column, items: Column) -> Column:
-        own = F.filter(items, lambda x: x["para_id"] == i)
-        last = F.when(F.size(own) > 0, F.struct(F.element_at(own, -1)["score"].alias("score"), F.element_at(own, -1)["reason"].alias("reason"))).otherwise(missing)
-        return F.struct(i.alias("para_id"), last.alias("r"))
-
-    items = F.coalesce(_items(reply), F.expr("cast(array() as array<struct<para_id:bigint,score:int,reason:string>>)"))
-    answers = F.flatten(F.transform(F.array(items), lambda all_: F.transform("ids", lambda i: answer(i, all_))))
-    return replies.select(F.inline(answers)).select("para_id", "r.score", "r.reason")
+    """para_id, score, reason for every id of replies (batch_id, items, reply, failure); ids without an answer are neutral with a
+    reason from FALLBACKS."""
+    rows = with_answers(replies)
+    return answered(rows).unionByName(neutral(rows))
 
 
 def joined_scores(paras: DataFrame, scores: DataFrame) -> DataFrame:

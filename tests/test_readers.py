@@ -1,16 +1,14 @@
-"""Readers, writers, dates, scoring replies and the resumable scorer on small files and rows."""
+"""Readers, writers, dates and matching on small files and rows."""
 
 import datetime
-import json
 
 from pyspark.sql import functions as F
 
 from stancewise.functions import text
 from stancewise.functions.config import FISCAL_KEYWORDS, FIXTURE
 from stancewise.jobs import registry
-from stancewise.operators import agreement, index, paragraphs, scoring
+from stancewise.operators import agreement, index, paragraphs
 from stancewise.sources import tables
-from stancewise.streaming import resume
 
 
 def test_speech_csv_with_line_feeds_and_quotes(spark, tmp_path):
@@ -56,54 +54,6 @@ def test_sentences(spark):
     assert got == {1: ["One.", "Two;", "three,", "four"], 2: [""], 3: ["3.5 is no end"], 4: ["."]}
 
 
-def test_malformed_replies(spark):
-    replies = [
-        ("a", [1, 2, 3], '```json\n[{"id":1,"score":0.7,"reason":"x"},5,{"id":"2","score":true},{"id":1,"score":-1,"reason":"last"},{"score":1},{"id":3}]\n```'),
-        ("b", [4], '{"id":4,"score":9,"reason":"' + "r" * 200 + '"}'), ("c", [5], 'Sure: [{"id":5,"score":"1"}] done'), ("d", [6], "no idea"), ("e", [7], "  "), ("f", [8], None), ("g", [9], "[]"), ("h", [10], "17"),
-    ]
-    got = {r["para_id"]: (r["score"], r["reason"]) for r in scoring.parsed(spark.createDataFrame(replies, "batch_id string, ids array<long>, reply string")).collect()}
-    assert got == {1: (-1, "last"), 2: (1, ""), 3: (0, "parse_fallback"), 4: (0, "r" * 120), 5: (1, ""), 6: (0, "parse_fallback"), 7: (0, "no_response"), 8: (0, "no_response"), 9: (0, "parse_fallback"), 10: (0, "parse_fallback")}
-
-
-def test_each_batch_goes_to_the_scorer_once_and_failures_are_tried_again(spark, tmp_path):
-    calls, broken = tmp_path / "calls", tmp_path / "broken"
-    calls.mkdir(), broken.mkdir()
-    log, fail = str(calls), str(broken)
-
-    def scorer(prompt: str) -> str:
-        import hashlib
-        import uuid
-
-        open(f"{log}/{hashlib.md5(prompt.encode()).hexdigest()}.{uuid.uuid4().hex}", "w").close()
-        if "[id=0]" in prompt:
-            open(f"{fail}/{uuid.uuid4().hex}", "w").close()
-            raise RuntimeError("down")
-        return "[]"
-
-    paras = spark.range(35).select(F.col("id").alias("para_id"), F.lit("some text").alias("text_para"))
-    rows = scoring.parsed(scoring.replied(scoring.batched(paras), scorer)).collect()
-    assert len(rows) == 35 and len(list(calls.iterdir())) == 4 - 1 + 3 and len(list(broken.iterdir())) == 3
-    assert {r["reason"] for r in rows} == {"no_response", "parse_fallback"}
-
-
-def test_resumed_scoring_adds_nothing_twice(spark, tmp_path):
-    source, scores, checkpoint = (str(tmp_path / x) for x in ("in", "scores", "checkpoint"))
-    reply = lambda prompt: json.dumps([{"id": int(line.split("[id=")[1].split("]")[0]), "score": 1} for line in prompt.split("\n")])
-    add = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("para_id"), F.lit("t").alias("text_para")).write.mode("append").parquet(source)
-    assert resume.newest_scores(spark, scores).count() == 0
-    add(0, 12)
-    for _ in range(2):
-        resume.score_new(spark, source, scores, checkpoint, reply)
-        assert spark.read.parquet(scores).count() == 12
-    add(6, 20)
-    resume.score_new(spark, source, scores, checkpoint, reply)
-    assert spark.read.parquet(scores).count() == 20
-    late = spark.createDataFrame([(3, -1, "later", datetime.datetime(2100, 1, 1))], resume.SCORES)
-    late.write.mode("append").parquet(scores)
-    got = {r["para_id"]: r["score"] for r in resume.newest_scores(spark, scores).collect()}
-    assert len(got) == 20 and got[3] == -1 and got[4] == 1
-
-
 def test_ids_are_dense_for_sparse_speeches(spark):
     rows = [(hash(str(i)) % 10**15, i % 3) for i in range(500)]
     got = paragraphs.numbered(spark.createDataFrame(rows, "speech_id long, para_idx int").repartition(5)).orderBy("speech_id", "para_idx").collect()
