@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.config import FIXTURE, Regimes
 from ..functions.patterns import cue_pattern, keyword_pattern, term_pattern
 from ..functions.text import normalise, tokens, truncated
-from ..operators import agreement, index, panel, paragraphs, scoring, similarity, topics
+from ..operators import agreement, index, panel, paragraphs, quantiles, scoring, similarity, topics
 from ..sources import tables
 from ..sources.landing import landed
 
@@ -195,8 +195,12 @@ def _sized(spark, sf):
 
 @query(f"WITH {SPEECH}, s AS (SELECT *, CAST({WORDS} AS BIGINT) AS n_words FROM sp) SELECT president, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words, round(avg(n_words), 6) AS mean, median(n_words) AS median, round(stddev_samp(n_words), 6) AS sd, min(n_words) AS lo, max(n_words) AS hi, min(date) AS first, max(date) AS last FROM s GROUP BY president")
 def corpus_summary(spark, sf):
-    n = "n_words"
-    return _sized(spark, sf).groupBy("president").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("words"), F.round(F.avg(n), 6).alias("mean"), F.median(n).alias("median"), F.round(F.stddev_samp(n), 6).alias("sd"), F.min(n).alias("lo"), F.max(n).alias("hi"), F.min("date").alias("first"), F.max("date").alias("last"))
+    n, rows = "n_words", landed(_sized(spark, sf).select("president", "n_words", "date"))
+    sums = rows.groupBy("president").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(n).alias("words"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_samp(n), 6).alias("sd"), F.min(n).alias("lo"), F.max(n).alias("hi"),
+        F.min("date").alias("first"), F.max("date").alias("last"),
+    )
+    return sums.join(quantiles.exact_quantiles(rows, ["president"], n, {"median": 0.5}), "president")
 
 
 @query(f"WITH {SPEECH}, s AS (SELECT *, CAST({WORDS} AS BIGINT) AS n_words FROM sp) SELECT president, year_month, count(*) AS n, round(avg(n_words), 6) AS mean_words FROM s GROUP BY ALL")
@@ -241,7 +245,7 @@ def speech_ranks(spark, sf):
 
 @query(f"WITH {PARA} SELECT speech_id, para_idx, row_number() OVER (ORDER BY speech_id, para_idx) - 1 AS para_id FROM para")
 def paragraph_ids(spark, sf):
-    return paragraphs.numbered(_paras(spark, sf)).select("speech_id", "para_idx", "para_id")
+    return paragraphs.numbered(landed(_paras(spark, sf).select("speech_id", "para_idx")))
 
 
 # month series on the dense orders table
@@ -451,8 +455,18 @@ def word_histogram(spark, sf):
 
 @query(f"WITH {SPEECH}, s AS (SELECT president, CAST({WORDS} AS DOUBLE) AS n_words FROM sp) SELECT president, round(quantile_cont(n_words, 0.25), 6) AS q1, round(quantile_cont(n_words, 0.5), 6) AS q2, round(quantile_cont(n_words, 0.75), 6) AS q3 FROM s GROUP BY president")
 def word_quartiles(spark, sf):
-    q = F.percentile("n_words", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return _sized(spark, sf).groupBy("president").agg(q.alias("q")).select("president", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+    found = quantiles.exact_quantiles(_sized(spark, sf), ["president"], "n_words", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return _r(found, "q1", "q2", "q3")
+
+
+@query(
+    f"WITH {SPEECH}, s AS (SELECT speech_id, CAST({WORDS} AS DOUBLE) AS n_words FROM sp), w AS (SELECT *, {z_sql('s', 'n_words', 'wins', 'z', 'z_raw')} FROM s)"
+    " SELECT speech_id, round(wins, 6) AS wins, round(z, 6) AS z, round(z_raw, 6) AS z_raw FROM w"
+)
+def word_scores(spark, sf):
+    """Lengths of speeches, winsorised and standardised over all of them: the month rule on rows of any number."""
+    rows = _sized(spark, sf).select("speech_id", F.col("n_words").cast("double").alias("n_words"))
+    return _r(index.standardised(rows, {"n_words": ("wins", "z", "z_raw")}, months=False), "wins", "z", "z_raw").drop("n_words")
 
 
 BANDS = [-1.0, 0.0, 0.1, 0.2, 0.3, 0.5, 1.1]

@@ -10,6 +10,7 @@ from ..functions.patterns import keyword_pattern
 from ..functions.text import sentences, tokens
 from ..operators import agreement, index, panel, paragraphs, scoring
 from ..sources import tables
+from ..sources.landing import landed
 from . import registry
 from .registry import COUNTS, KEPT, MATCH, MONTH, OMONTH, PAIRS, PANEL, PARA, REGIMES, SIMS, SPEECH, _hits, _order_months, _pairs, _panel, _paras, _r, _similar, _speeches, _votes, query, z_sql
 
@@ -50,13 +51,15 @@ LLM = MONTH + f""", {STUB}, lm AS (SELECT year_month, president, count(DISTINCT
 ln AS (SELECT *, (H_t - D_t) / CAST(n_fiscal_paras AS DOUBLE) AS net FROM lm), ls AS (SELECT *, {z_sql('ln', 'net', 'net_wins', 'net_z', 'net_z_raw')} FROM ln)"""
 
 
-def _scored(spark, sf):
-    rows = _votes(spark, sf).filter("is_fiscal").filter(F.col("president").isin(*REGIMES.kept))
+def _scored(votes):
+    rows = votes.filter("is_fiscal").filter(F.col("president").isin(*REGIMES.kept))
     return rows.withColumn("score", (F.col("speech_id") * 7 + F.col("para_idx") * 3) % 3 - 1)
 
 
 def _both_months(spark, sf):
-    return index.scored_month_signal(_scored(spark, sf)), index.month_signal(index.speech_counts(_votes(spark, sf)), REGIMES)
+    """The month tables of the scores and of the dictionary, from votes that are written once."""
+    votes = landed(_votes(spark, sf).drop("text_para", "text_norm", "matches"))
+    return index.scored_month_signal(_scored(votes)), index.month_signal(index.speech_counts(votes), REGIMES)
 
 
 @query(f"WITH {LLM} SELECT a.year_month, a.president, a.n_speeches, a.n_fiscal_paras, round(a.net_z, 6) AS net_z, b.n_speeches AS n_speeches_dict, b.n_fiscal_paras AS n_fiscal_paras_dict, round(b.net_z, 6) AS net_z_dict FROM ls a LEFT JOIN sig b USING (year_month, president)")
@@ -81,7 +84,7 @@ def cross_validation(spark, sf):
 )
 def paragraphs_with_scores(spark, sf):
     """Scores of the relevant paragraphs joined back to all of them."""
-    paras = paragraphs.numbered(_paras(spark, sf).drop("text_para", "text_norm"))
+    paras = paragraphs.numbered(landed(_paras(spark, sf).select("speech_id", "para_idx", "is_fiscal")))
     scores = paras.filter("is_fiscal").select("para_id", (F.col("para_id") % 3 - 1).cast("int").alias("score"), F.concat(F.lit("r"), F.col("para_id").cast("string")).alias("reason"))
     return scoring.joined_scores(paras, scores).select("para_id", "is_fiscal", "score", "reason")
 
@@ -179,9 +182,8 @@ def caught_by_similarity_only(spark, sf):
 
 @query(f"WITH {PARA} SELECT president, count(*) AS n, count(*) FILTER (length(line) <= 2500) AS n_short FROM para GROUP BY president")
 def short_paragraphs(spark, sf):
-    paras = _paras(spark, sf)
-    short = tables.short_enough(paras.select("president", "text_para"), "text_para").groupBy("president").agg(F.count(F.lit(1)).alias("n_short"))
-    return paras.groupBy("president").agg(F.count(F.lit(1)).alias("n")).join(short, "president", "left").na.fill(0, ["n_short"])
+    short = tables.is_short("text_para")
+    return _paras(spark, sf).groupBy("president").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("n_short"))
 
 
 @query(f"WITH {SPEECH} SELECT speech_id, date FROM sp WHERE date IS NULL OR date >= DATE '2020-01-01'")

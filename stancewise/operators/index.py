@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import Regimes
 from ..sources.landing import landed
+from .quantiles import exact_quantiles
 
 
 def speech_counts(votes: DataFrame) -> DataFrame:
@@ -27,18 +28,21 @@ def clipped(c: Column, lo: Column, hi: Column) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, lo), hi))
 
 
-def standardised(df: DataFrame, columns: dict[str, tuple[str, str, str]], quantile: float = 0.025) -> DataFrame:
+def standardised(df: DataFrame, columns: dict[str, tuple[str, str, str]], quantile: float = 0.025, months: bool = True) -> DataFrame:
     """For each raw column adds its winsorised form, the z-score of that, and the raw z-score (names in columns[raw]).
 
     Quantiles (linear interpolation), means and sample deviations are over all rows without nulls. A z-score is 0 for every
-    row if the deviation is 0 or undefined. The statistics are two one-row frames; df has one row per month and group and is
-    written first, since it is read three times here and what computes it may be dear.
+    row if the deviation is 0 or undefined. The statistics are one-row frames; df is written first, since it is read again and again
+    here and what computes it may be dear. With a row per month and group (``months``) one task takes the quantiles; rows of any number
+    are counted by value in ranges.
     """
-    df = landed(df)
-    q = df.agg(*[F.expr(f"percentile({c}, array({quantile}, {1 - quantile}))").alias(f"__q_{c}") for c in columns])
-    out = df.join(F.broadcast(q))
+    df = out = landed(df)
     for c, (wins, _, _) in columns.items():
-        out = out.withColumn(wins, clipped(F.col(c), F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1])).drop(f"__q_{c}")
+        if months:
+            q = df.agg(*[F.expr(f"percentile({c}, {s})").alias(f"__{side}") for side, s in (("lo", quantile), ("hi", 1 - quantile))])
+        else:
+            q = exact_quantiles(df, [], c, {"lo": quantile, "hi": 1 - quantile}).select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+        out = out.join(F.broadcast(q)).withColumn(wins, clipped(F.col(c), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
     sources = {z: c for raw, (wins, z_wins, z_raw) in columns.items() for z, c in ((z_wins, wins), (z_raw, raw)) if z}
     stats = out.agg(*[f(c).alias(f"__{k}_{z}") for z, c in sources.items() for k, f in (("mu", F.avg), ("sd", F.stddev_samp))])
     out = out.join(F.broadcast(stats))

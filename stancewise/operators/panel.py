@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.config import Regimes
+from .quantiles import rank_correlation
 
 
 def resolved(months: DataFrame, signal: str, rename: str, regimes: Regimes) -> DataFrame:
@@ -61,18 +62,9 @@ def group_gap(df: DataFrame, column: str, one: str, two: str, group: str = "pres
     return df.agg(mean(one).alias("first"), mean(two).alias("second"), (mean(one) - mean(two)).alias("gap"))
 
 
-def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the average rank of a column from the cumulative counts of its distinct values; ranked rows are not sorted in one task."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(column, (before + (F.col("n") + 1) / 2).alias(name)), column)
-
-
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, pearson, spearman of the rows where both are present."""
-    rows = df.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    ranked = average_rank(average_rank(rows, "a", "ra"), "b", "rb")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+    """n, pearson, spearman of the rows where both are present, for series of any length."""
+    return rank_correlation(df, a, b)
 
 
 def rolling_correlation(df: DataFrame, a: str, b: str, rows: int = 6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import SPANISH, Lexicon, Regimes
@@ -83,9 +83,14 @@ def since(df: DataFrame, first: str, date: str = "date") -> DataFrame:
     return df.filter(F.col(date).isNull() | (F.col(date) >= F.lit(first).cast("date")))
 
 
+def is_short(column: str, most: int = 2500) -> Column:
+    """Whether the text has at most ``most`` characters."""
+    return F.char_length(column) <= most
+
+
 def short_enough(df: DataFrame, column: str, most: int = 2500) -> DataFrame:
     """The rows whose text has at most ``most`` characters."""
-    return df.filter(F.char_length(column) <= most)
+    return df.filter(is_short(column, most))
 
 
 def page_links(pages: DataFrame, holding: str, without: str | None, root: str | None = None) -> DataFrame:

@@ -61,9 +61,10 @@ def test_ids_are_dense_for_sparse_speeches(spark):
 
 
 def test_matching_is_evaluated_once(spark, small):
-    """One normalising and one search per term in the plan of the match table."""
-    plan = registry.QUERIES["w1_matches"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("translate(") == 1 and plan.count("regexp_extract_all(") == 1
+    """One normalising and one search for terms in the plan of the match table and of the votes."""
+    for name in ("w1_matches", "w1_votes", "w1_speech_counts"):
+        plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == 1 and plan.count("ArrowEvalPython") == 1, name
 
 
 def test_speech_of_no_votes(spark):
