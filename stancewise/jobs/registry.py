@@ -540,15 +540,12 @@ def topic_words(spark, sf):
 
 @query(None)
 def topic_overlap(spark, sf):
-    """Per group: paragraphs that keyword and topic flags pick, either alone, and the share above the topic threshold."""
     model, bags, _ = _topic_model(spark, sf)
-    rows = topics.with_topics(model, bags, {"fiscal_topic_prob": [0, 1]})
-    by_topic, by_word = F.col("fiscal_topic_prob") >= 0.15, F.col("is_fiscal")
-    return rows.groupBy("president").agg(F.count_if(by_topic & by_word).alias("both"), F.count_if(~by_topic & by_word).alias("only_keyword"), F.count_if(by_topic & ~by_word).alias("only_topic"), F.avg((F.col("fiscal_topic_prob") >= 0.25).cast("double")).alias("share"))
+    return topics.overlap(topics.with_topics(model, bags, {"fiscal_topic_prob": [0, 1]}))
 
 
 @query(None)
 def topic_grid(spark, sf):
     paras = _token_paras(spark, sf)
     bag = topics.vectorizer(topics.vocabulary(paras))
-    return topics.grid(bag.transform(paras), bag.vocabulary, [4, 8])
+    return topics.grid(bag.transform(paras), bag.vocabulary, list(range(8, 31)))

@@ -10,8 +10,9 @@ from ..functions.patterns import keyword_pattern
 from ..functions.text import sentences, tokens
 from ..operators import agreement, index, panel, paragraphs, scoring
 from ..sources import tables
-from ..sources.landing import landed
+from ..sources.landing import landed, new_path
 from . import registry
+from .stages import Stages
 from .registry import COUNTS, KEPT, MATCH, MONTH, OMONTH, PAIRS, PANEL, PARA, REGIMES, SIMS, SPEECH, _hits, _order_months, _pairs, _panel, _paras, _r, _similar, _speeches, _votes, query, z_sql
 
 # text
@@ -228,9 +229,24 @@ def narrow_months(spark, sf):
     return panel.narrow(months, "net_z", "n_fiscal_paras")
 
 
+@query(f"WITH {MONTH} SELECT year_month, president, n_fiscal_paras FROM sig WHERE n_fiscal_paras < 6")
+def thin_months(spark, sf):
+    """Months with fewer than six relevant paragraphs, the looser of the two thin rules."""
+    months = index.month_signal(index.speech_counts(_votes(spark, sf)), REGIMES)
+    return months.filter("n_fiscal_paras < 6").select("year_month", "president", "n_fiscal_paras")
+
+
+@query(f"WITH {MONTH} SELECT year_month, president, n_speeches, n_fiscal_paras, round(net, 6) AS net, round(net_z, 6) AS net_z FROM sig")
+def staged_months(spark, sf):
+    """The whole index as a job over written stages."""
+    stages = Stages(spark, new_path(spark))
+    stages.build(_speeches(spark, sf), FIXTURE, REGIMES)
+    return _r(stages.months().select("year_month", "president", "n_speeches", "n_fiscal_paras", "net", "net_z"), "net", "net_z")
+
+
 @query(f"WITH {COUNTS} SELECT year_month, president, count(*) AS n_speeches, CAST(sum(n_fiscal_paragraphs) AS BIGINT) AS n_fiscal_paras FROM cnt WHERE n_fiscal_paragraphs < 6 AND {KEPT} GROUP BY ALL")
 def small_speeches(spark, sf):
-    """Speeches with fewer than six relevant paragraphs, the looser thin rule, by month."""
+    """Speeches with fewer than six relevant paragraphs, by month."""
     few = index.speech_counts(_votes(spark, sf)).filter("n_fiscal_paragraphs < 6").filter(F.col("president").isin(*REGIMES.kept))
     return few.groupBy("year_month", "president").agg(F.count(F.lit(1)).alias("n_speeches"), F.sum("n_fiscal_paragraphs").cast("long").alias("n_fiscal_paras"))
 

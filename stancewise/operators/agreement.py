@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.landing import landed
+
 CLASSES = (-1, 0, 1)
 
 
@@ -69,36 +71,44 @@ def threshold_sweep(df: DataFrame, score: str, flag: str, thresholds: list[float
     return out.withColumns({"precision": p, "recall": r, "f1": F.try_divide(2 * p * r, p + r)})
 
 
+def quotas(sizes: dict, want: int) -> dict:
+    """group -> rows: its share of ``want`` (at least 1, banker's rounding), drift put on the largest or smallest quota, first by name."""
+    total = sum(sizes.values())
+    quota = {g: max(1, round(want * n / total)) for g, n in sorted(sizes.items(), key=lambda x: str(x[0]))}
+    while (drift := want - sum(quota.values())) and quota:
+        g = (max if drift < 0 else min)(quota, key=quota.get)
+        quota[g] += 1 if drift > 0 else -1
+        if quota[g] < 0:
+            break
+    return quota
+
+
 def stratified_sample(df: DataFrame, cls: str, group: str, disagrees: str, key: str, per_class: int = 24, first: int = 6, seed: str = "42") -> DataFrame:
-    """per_class rows of each class: up to ``first`` that disagree, the rest allotted to groups by share (at least 1, banker's
-    rounding), drift put on the largest or smallest quota. Rows are picked in the order of md5(seed, key).
+    """per_class rows of each class: up to ``first`` that disagree, the rest allotted to groups by share (``quotas``). Rows are picked in
+    the order of md5(seed, key).
 
-    Only counts per class and group reach the driver; the rank limit is pushed into the window.
+    df is written once (give it the columns that the sample needs). Of each class the first that disagree and of each class and group
+    the first per_class + first rows are all that can be picked; tasks cut their rows to these before the shuffle, so a stratum of any
+    size is a few rows a task. Counts per class and group, and then those candidates, are all that is looked at further.
     """
-    import math
-
     order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    odd = df.filter(disagrees).withColumn("__k", F.row_number().over(W.partitionBy(cls).orderBy(order, key))).filter(F.col("__k") <= first).drop("__k")
-    rest = df.join(odd.select(key), key, "left_anti")
-    taken = {r[cls]: r["count"] for r in odd.groupBy(cls).count().collect()}
+    pool = landed(df)
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(order, key))
+    odd = pool.filter(disagrees).withColumn("__k", rank(cls)).filter(F.col("__k") <= first).withColumn("__odd", F.lit(True))
+    near = pool.withColumn("__k", rank(cls, group)).filter(F.col("__k") <= per_class + first).withColumn("__odd", F.lit(False))
+    near = landed(odd.unionByName(near))
+    odd = near.filter("__odd")
+    taken = {(r[cls], r[group]): r["count"] for r in odd.groupBy(cls, group).count().collect()}
     sizes: dict[object, dict[object, int]] = {}
-    for r in rest.groupBy(cls, group).count().collect():
-        sizes.setdefault(r[cls], {})[r[group]] = r["count"]
-    quotas = []
-    for c, groups in sizes.items():
-        want, total = per_class - taken.get(c, 0), sum(groups.values())
-        quota = {g: max(1, round(want * n / total)) for g, n in sorted(groups.items(), key=lambda x: str(x[0]))}
-        while (drift := want - sum(quota.values())) and quota:
-            g = (max if drift < 0 else min)(quota, key=quota.get)
-            quota[g] += int(math.copysign(1, drift))
-            if quota[g] < 0:
-                break
-        quotas += [(c, g, q) for g, q in quota.items()]
-    if not quotas:
-        return odd
-    table = df.sparkSession.createDataFrame(quotas, T.StructType([*df.select(cls, group).schema.fields, T.StructField("__quota", T.IntegerType())]))
-    ranked = rest.withColumn("__k", F.row_number().over(W.partitionBy(cls, group).orderBy(order, key))).filter(F.col("__k") <= per_class)
-    return odd.unionByName(ranked.join(F.broadcast(table), [cls, group]).filter("__k <= __quota").drop("__k", "__quota"))
+    for r in pool.groupBy(cls, group).count().collect():
+        if rest := r["count"] - taken.get((r[cls], r[group]), 0):
+            sizes.setdefault(r[cls], {})[r[group]] = rest
+    want = {c: per_class - sum(n for (k, _), n in taken.items() if k == c) for c in sizes}
+    table = [(c, g, q) for c, groups in sizes.items() for g, q in quotas(groups, want[c]).items()]
+    names = T.StructType([*df.select(cls, group).schema.fields, T.StructField("__quota", T.IntegerType())])
+    rest = near.filter("NOT __odd").join(F.broadcast(odd.select(key)), key, "left_anti").withColumn("__k", rank(cls, group))
+    rest = rest.join(F.broadcast(df.sparkSession.createDataFrame(table, names)), [cls, group]).filter(F.col("__k") <= F.least("__quota", F.lit(per_class)))
+    return odd.select(*df.columns).unionByName(rest.select(*df.columns))
 
 
 def band_rates(df: DataFrame, score: str, flag: str, edges: list[float]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.landing import landed
+
 #: Words of the vocabulary at most (the model holds topics x words on the driver), words a topic is judged by, window of coherence.
 WORDS, TOP, WINDOW = 1 << 15, 20, 110
 
@@ -40,6 +43,13 @@ def with_topics(model: LDAModel, bags: DataFrame, listed: dict[str, list[int]])
     return out.withColumns({n: F.array_max(F.array(*[F.col("topics")[i] for i in ids])) if ids else F.lit(0.0) for n, ids in listed.items()})
 
 
+def overlap(rows: DataFrame, topic: str = "fiscal_topic_prob", keyword: str = "is_fiscal", least: float = 0.15, flag: float = 0.25) -> DataFrame:
+    """Per group: paragraphs that keyword and topic flags pick, either alone, and the share above the topic threshold."""
+    by_topic, by_word = F.col(topic) >= least, F.col(keyword)
+    counts = {"both": by_topic & by_word, "only_keyword": ~by_topic & by_word, "only_topic": by_topic & ~by_word}
+    return rows.groupBy("president").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.avg((F.col(topic) >= flag).cast("double")).alias("share"))
+
+
 def top_words(model: LDAModel, words: list[str], n: int = TOP) -> DataFrame:
     """topic, rank (from 1), word, weight."""
     table = F.array(*map(F.lit, words))
@@ -47,15 +57,23 @@ def top_words(model: LDAModel, words: list[str], n: int = TOP) -> DataFrame:
     return rows.select("topic", (F.col("k") + 1).alias("rank"), F.element_at(table, F.col("t.termIndices") + 1).alias("word"), F.col("t.termWeights").alias("weight"))
 
 
-def window_counts(paras: DataFrame, words: list[str], column: str = "tokens", width: int = WINDOW) -> DataFrame:
+def pair_codes(topics: list[list[int]], n: int) -> np.ndarray:
+    """a * n + b of the pairs (a <= b) of words that stand in one topic, sorted."""
+    codes = [np.minimum.outer(t, t).ravel() * n + np.maximum.outer(t, t).ravel() for t in (np.array(x, np.int64) for x in topics) if len(t)]
+    return np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+
+
+def window_counts(paras: DataFrame, words: list[str], column: str = "tokens", width: int = WINDOW, topics: list[list[str]] | None = None) -> DataFrame:
     """a, b, n: windows of ``width`` tokens that hold words a and b (a <= b; a = b: hold a; a = b = -1: all windows).
 
-    A text of fewer tokens is one window. Each task sums its own texts, so at most a table of words x words leaves it.
+    With ``topics`` only pairs of words of one topic are counted, whatever the number of models they come from: one pass over the texts, and
+    a task holds a number per such pair. A text of fewer tokens is one window.
     """
     place = {w: i for i, w in enumerate(words)}
+    wanted = pair_codes([[place[w] for w in t] for t in ([words] if topics is None else topics)], len(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, total = np.zeros((len(words), len(words)), np.int64), 0
+        both, total = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids = np.array([place.get(t, -1) for t in text or ()], np.int64)
@@ -70,39 +88,48 @@ def window_counts(paras: DataFrame, words: list[str], column: str = "tokens", wi
                     seen = np.vstack([np.zeros(len(here), np.int64), np.cumsum(part[:, None] == here, axis=0)])
                     start = np.arange(n)
                     inside = (seen[np.minimum(start + width, len(part))] > seen[start]).astype(np.float64)
-                    both[np.ix_(here, here)] += (inside.T @ inside).astype(np.int64)
-        a, b = np.nonzero(np.triu(both))
-        yield pa.RecordBatch.from_pydict({"a": np.append(a, -1), "b": np.append(b, -1), "n": np.append(both[a, b], total)})
+                    a, b = np.triu_indices(len(here))
+                    codes = here[a] * len(words) + here[b]
+                    at = np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)
+                    asked = wanted[at] == codes
+                    both[at[asked]] += (inside.T @ inside).astype(np.int64)[a[asked], b[asked]]
+        held = np.flatnonzero(both)
+        yield pa.RecordBatch.from_pydict({"a": np.append(wanted[held] // max(len(words), 1), -1), "b": np.append(wanted[held] % max(len(words), 1), -1), "n": np.append(both[held], total)})
 
     return paras.select(column).mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def coherence(paras: DataFrame, topics: list[list[str]], column: str = "tokens") -> list[float]:
-    """c_v of each topic: the mean cosine between each word's vector of normalised pointwise mutual information and the topic's sum."""
+    """c_v of each topic, of one or of many models: the mean cosine between each word's vector of normalised pointwise mutual information
+    and the topic's sum. One counting job."""
     words = sorted({w for t in topics for w in t})
-    got = window_counts(paras, words, column).toArrow()  # at most words x words rows
+    got = window_counts(paras, words, column, topics=topics).toArrow()  # at most a row per pair of words of a topic
     a, b, n = (got.column(c).to_numpy() for c in ("a", "b", "n"))
     total = max(int(n[a < 0].sum()), 1)
-    p = np.zeros((len(words), len(words)))
-    inner = a >= 0
-    p[a[inner], b[inner]] = p[b[inner], a[inner]] = n[inner] / total
-    one, tiny = np.diag(p), 1e-12
-    npmi = np.log((p + tiny) / (np.outer(one, one) + tiny)) / -np.log(np.minimum(p + tiny, 1 - tiny))
-    out = []
+    share = {(int(x), int(y)): k / total for x, y, k in zip(a, b, n, strict=True) if x >= 0}
+    place, tiny, out = {w: i for i, w in enumerate(words)}, 1e-12, []
     for t in topics:
-        at = [words.index(w) for w in t]
-        v = npmi[np.ix_(at, at)]
+        at = [place[w] for w in t]
+        p = np.array([[share.get((min(x, y), max(x, y)), 0.0) for y in at] for x in at]).reshape(len(at), len(at))
+        one = np.diag(p)
+        v = np.log((p + tiny) / (np.outer(one, one) + tiny)) / -np.log(np.minimum(p + tiny, 1 - tiny))
         whole = v.sum(axis=0)
         size = np.linalg.norm(v, axis=1) * np.linalg.norm(whole)
         out.append(float(np.mean(np.divide(v @ whole, size, out=np.zeros(len(at)), where=size > 0))))
     return out
 
 
-def grid(bags: DataFrame, words: list[str], ks: list[int], column: str = "tokens", passes: int = 20) -> DataFrame:
-    """k, coherence, best (the first largest) of models of each size; the models are trained one after the other."""
-    found = []
-    for k in ks:
-        listed = train(bags, k, passes).describeTopics(TOP).orderBy("topic").collect()
-        found.append((k, float(np.mean(coherence(bags, [[words[i] for i in r["termIndices"]] for r in listed], column)))))
+def grid(bags: DataFrame, words: list[str], ks: list[int], column: str = "tokens", passes: int = 20, at_once: int = 4) -> DataFrame:
+    """k, coherence, best (the first largest) of models of each size: ``at_once`` are trained side by side on the same written bag, and the
+    words of all of them are counted in one pass."""
+    held = landed(bags.select("bag", column))
+
+    def listed(k: int) -> list[list[str]]:
+        return [[words[i] for i in r["termIndices"]] for r in train(held, k, passes).describeTopics(TOP).orderBy("topic").collect()]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        models = list(pool.map(listed, ks))
+    scores = iter(coherence(held, [t for m in models for t in m], column))
+    found = [(k, float(np.mean([next(scores) for _ in m]))) for k, m in zip(ks, models, strict=True)]
     best = max(found, key=lambda x: x[1])
     return bags.sparkSession.createDataFrame([(k, c, k == best[0]) for k, c in found], "k int, coherence double, best boolean")

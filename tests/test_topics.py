@@ -54,3 +54,77 @@ def test_label_sheet_is_blind(spark):
     sheet = agreement.label_sheet(df, "id", "text")
     assert sheet.columns == ["item_no", "text", "score", "notes"]
     assert [r["item_no"] for r in sheet.orderBy("item_no").collect()] == [1, 2, 3, 4, 5] and sheet.filter(F.col("score").isNotNull()).count() == 0
+
+
+def test_counts_of_many_models_take_one_pass(spark):
+    """Pairs of one topic only, equal to those of all pairs; coherence of two models at once equals each on its own."""
+    g = random.Random(2)
+    df = spark.createDataFrame([([g.choice("abcdefgh") for _ in range(g.randint(0, 40))],) for _ in range(60)], "tokens array<string>")
+    words, lists = list("abcdef"), [["a", "b", "c"], ["c", "d"], ["f"]]
+    every = {(r["a"], r["b"]): r["n"] for r in topics.window_counts(df, words, width=7).collect()}
+    some = {(r["a"], r["b"]): r["n"] for r in topics.window_counts(df, words, width=7, topics=lists).collect()}
+    asked = {(-1, -1)} | {tuple(sorted((words.index(x), words.index(y)))) for t in lists for x in t for y in t}
+    assert some == {k: n for k, n in every.items() if k in asked}
+    one, two = [["a", "b", "c"], ["d", "e"]], [["a", "d"], ["b", "e", "f"]]
+    assert topics.coherence(df, one + two) == topics.coherence(df, one) + topics.coherence(df, two)
+
+
+def planted(spark, n=160):
+    """Paragraphs of one of two vocabularies: money words (those of even ids) and garden words."""
+    g = random.Random(3)
+    money, garden = [f"money{i}" for i in range(12)], [f"garden{i}" for i in range(12)]
+    rows = [(i, "p" if i % 4 < 2 else "q", i % 8 == 0, [g.choice(garden if i % 2 else money) for _ in range(30)]) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, president string, is_fiscal boolean, tokens array<string>").repartition(2)
+
+
+def test_planted_topics_are_found(spark):
+    """I2, I3, I4, B7: each topic's words are of one vocabulary; a paragraph's topic probability tells its vocabulary; flags follow it."""
+    paras = planted(spark)
+    bag = topics.vectorizer(topics.vocabulary(paras))
+    bags = bag.transform(paras)
+    model = topics.train(bags, 2)
+    lists = {}
+    for r in topics.top_words(model, bag.vocabulary, 10).collect():
+        lists.setdefault(r["topic"], []).append(r["word"])
+    kinds = {t: {w.rstrip("0123456789") for w in ws} for t, ws in lists.items()}
+    assert sorted(map(sorted, kinds.values())) == [["garden"], ["money"]]
+    (money,) = (t for t, k in kinds.items() if k == {"money"})
+    rows = topics.with_topics(model, bags, {"fiscal_topic_prob": [money], "ideology_topic_prob": []}).collect()
+    assert all((r["fiscal_topic_prob"] > 0.9) == (r["id"] % 2 == 0) and (r["fiscal_topic_prob"] >= 0.25) == (r["id"] % 2 == 0) and r["ideology_topic_prob"] == 0.0 for r in rows)
+    assert all(abs(sum(r["topics"]) - 1) < 1e-6 for r in rows)
+
+
+def test_overlap_of_planted_topic_and_keyword(spark):
+    """E19: of each group, paragraphs that both flags pick, either alone, and the share above the topic threshold."""
+    paras = planted(spark)
+    bag = topics.vectorizer(topics.vocabulary(paras))
+    bags = bag.transform(paras)
+    model = topics.train(bags, 2)
+    money = next(r["topic"] for r in topics.top_words(model, bag.vocabulary, 1).collect() if r["word"].startswith("money"))
+    rows = topics.with_topics(model, bags, {"fiscal_topic_prob": [money]})
+    got = {r["president"]: (r["both"], r["only_keyword"], r["only_topic"], r["share"]) for r in topics.overlap(rows).collect()}
+    assert got == {"p": (20, 0, 20, 0.5), "q": (0, 0, 40, 0.5)}
+
+
+def test_grid_of_planted_topics(spark):
+    paras = planted(spark, 80)
+    bag = topics.vectorizer(topics.vocabulary(paras))
+    got = {r["k"]: (r["coherence"], r["best"]) for r in topics.grid(bag.transform(paras), bag.vocabulary, [2, 3], passes=5, at_once=2).collect()}
+    assert set(got) == {2, 3} and sum(b for _, b in got.values()) == 1
+
+
+def test_seed_similarity_in_blocks(spark):
+    import numpy as np
+
+    from stancewise.operators import similarity
+
+    g = np.random.default_rng(1)
+    rows = [(i, i % 3, g.normal(size=6).tolist()) for i in range(300)] + [(900, 1, None), (901, 1, [0.0] * 6), (902, 1, [1.0, None] * 3), (903, 1, [1.0, 2.0]), (904, 1, [float("nan")] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    seeds = table.filter("vec_id < 150 OR vec_id >= 900")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows[:300]}
+    want = {i: max(float(unit[i] @ unit[j]) for j in range(150)) for i in range(300)}
+    for most in (1 << 20, 48 * 40):
+        got = {r["vec_id"]: r["similarity"] for r in similarity.seed_similarity(table, seeds, most).collect()}
+        assert len(got) == 305 and all(abs(got[i] - want[i]) < 1e-9 for i in want) and all(got[i] is None for i in range(900, 905))
+    assert all(r["similarity"] is None for r in similarity.seed_similarity(table, seeds.limit(0)).collect())
