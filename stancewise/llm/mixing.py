@@ -115,7 +115,7 @@ def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: f
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size (words), source_size, target, taken.
+    """One row per document: doc_id, source, size (words), source_size, target, taken, slots (how many read it), first_slot (null: none).
 
     Each source's words, laid end to end, are cut into blocks of BLOCK words. The output is shards of SHARD slots of one
     block; each slot draws its source (so a shard's counts are multinomial), the running count of a source over the shards
@@ -132,11 +132,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def _taken(placed: DataFrame, slots: DataFrame) -> DataFrame:
-    """placed with taken, the words that the slots read of each document."""
+    """placed with taken, the words that the slots read of each document, how many slots that are, and the first of them."""
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + size - 1) div {BLOCK})")))
     parts = parts.withColumn("words", F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("first", F.col("block") * BLOCK))
-    taken = null_safe_join(parts, slots, ["source", "block"], "left").groupBy(*placed.columns).agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken"))
-    return taken.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    read = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long")
+    taken = null_safe_join(parts, slots, ["source", "block"], "left").groupBy(*placed.columns)
+    taken = taken.agg(read.alias("taken"), F.count("slot").alias("slots"), F.min("slot").alias("first_slot"))
+    none = {"taken": F.lit(0).cast("long"), "slots": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}
+    return taken.unionByName(placed.filter("size = 0").withColumns(none))
 
 
 def _drawn(targets: DataFrame, slots: int, seed: int) -> DataFrame:
@@ -166,8 +169,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     counts = counts.groupBy("doc_id", "source", F.col("mark").alias(mark)).agg(F.sum(copies).cast("int").alias(copy), F.count(F.lit(1)).alias(rows)).filter(F.col(copy) > 0)
     found = null_safe_join(docs.withColumn(mark, F.xxhash64("text")), counts, ["doc_id", "source", mark])
     alone = found.filter(F.col(rows) == 1)
-    #: rows that repeat: the first ones take what does not divide
-    several = found.filter(F.col(rows) > 1).withColumn(nth, F.row_number().over(W.partitionBy("doc_id", "source", mark).orderBy(F.lit(0))))
+    #: rows that repeat: the first ones take what does not divide; rows equal in all columns are one like the other
+    told = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    several = found.filter(F.col(rows) > 1).withColumn(nth, F.row_number().over(W.partitionBy("doc_id", "source", mark).orderBy(F.xxhash64(*told))))
     several = several.withColumn(copy, (F.floor(F.col(copy) / F.col(rows)) + (F.col(nth) <= F.col(copy) % F.col(rows)).cast("int")).cast("int")).filter(F.col(copy) > 0).drop(nth)
     both = alone.unionByName(several)
     return both.withColumn(nth, F.explode(F.sequence(F.lit(1), copy))).drop(copy, rows, nth, mark)

@@ -23,8 +23,9 @@ ALPHABETS = {
 }
 RANKS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 #: What counts as ordinary text: symbol counts whose chi-squared exceeds its mean by symbols / UNEVEN for each character, or runs or
-#: serial correlation off by SHIFT standard errors times the root of the length.
-UNEVEN, SHIFT = 50, 0.6
+#: serial correlation off by SHIFT standard errors times the root of the length. Words spell letters so unevenly that they exceed it
+#: by symbols / 16 or more, mixed with digits by symbols / 25; limits closer to an even draw (50, 0.6) miss most keys under 40 characters.
+UNEVEN, SHIFT = 35, 0.8
 #: False-discovery level; bins of -ln p in which p-values are counted over the corpus.
 LEVEL, BIN, BINS = 0.05, 0.1, 400
 #: Matches whose places are added up at a time; characters of a string that are looked at at a time.

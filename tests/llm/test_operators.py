@@ -162,6 +162,23 @@ def test_other_draws_deal_other_mixes_within_the_targets(docs):
     assert count(one) == count(two) and order(one) != order(two)
 
 
+def test_other_draws_change_the_rows_while_targets_hold(docs, monkeypatch):
+    """The slots that read a document are those that drew its source: a draw that always takes one source moves the others to the end."""
+    table = docs.filter("doc_id % 4 = 0").cache()
+    rows = {x["doc_id"]: x for x in mixing.mix(table).collect()}
+    order = lambda found: sorted((d for d in found if found[d]["slots"]), key=lambda d: found[d]["first_slot"])
+    other = {x["doc_id"]: x for x in mixing.mix(table, seed=8).collect()}
+    least = min(x["source"] for x in rows.values())
+    monkeypatch.setattr(mixing, "_drawn", lambda targets, slots, seed: targets.sparkSession.range(slots).select(F.col("id").alias("slot"), F.lit(least).alias("source")))
+    one = {x["doc_id"]: x for x in mixing.mix(table).collect()}
+    assert order(other) != order(rows) != order(one)
+    assert max(x["first_slot"] for x in one.values() if x["source"] == least and x["slots"]) < min(x["first_slot"] for x in one.values() if x["source"] != least and x["slots"])
+    for found in (other, one):
+        for s in {x["source"] for x in rows.values()}:
+            taken = [sum(x["taken"] for x in f.values() if x["source"] == s) for f in (rows, found)]
+            assert abs(taken[0] - taken[1]) <= 2 * mixing.BLOCK
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 1000, 1024, 4097):
         got = [x[0] for x in spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5))).collect()]
@@ -428,6 +445,25 @@ def test_added_spans_have_precision_and_recall(spark):
     assert len(found) == len(rows) and right / 200 > 0.9 and right / len(got) > 0.95
 
 
+@pytest.mark.parametrize("abc", ["alnum", "base64"])
+def test_keys_of_usual_lengths_are_found(spark, abc):
+    """Recall by length among as many ordinary strings (words in several spellings, with numbers, paths, repeats) as keys."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("eeettaaooiinnsshhrrdlucmfwypvbgk") for _ in range(r.randint(3, 9)))
+    ordinary = [
+        lambda: "".join(word().capitalize() for _ in range(20)), lambda: "/".join(word() for _ in range(20)), lambda: "id-" + "0123456789" * 9, lambda: "xy1" * 40,
+        lambda: "_".join(word() for _ in range(20)), lambda: "-".join(word() if r.random() < 0.7 else str(r.randrange(1000)) for _ in range(20)),
+    ]
+    lengths = (24, 28, 32, 36, 40, 64)
+    key = lambda n: "".join(r.choice(secrets.ALPHABETS[abc]) for _ in range(n - 1)) + "7"
+    rows = [(1000 * n + i, f"see {key(n)} here") for n in lengths for i in range(60)]
+    rows += [(10**6 + i, f"see {ordinary[i % 6]()[: r.choice(lengths) - 2]}{r.randrange(10, 99)} here") for i in range(360)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.size("spans") > F.size("base")).select("doc_id").collect()
+    got = collections.Counter(x["doc_id"] // 1000 if x["doc_id"] < 10**6 else "false" for x in found)
+    print(abc, {n: got[n] / 60 for n in lengths}, got["false"])
+    assert all(got[n] >= 48 for n in lengths if n >= 32) and got[24] >= 20 and got["false"] <= 0.05 * len(found)
+
+
 def test_secrets_of_very_long_texts(spark):
     """5 MB of hex strings and assignments: places as brute force gives them, in time that grows with the text."""
     text = ("🙂 0123456789abcdef0 token=abcdefghijkl12 word " * 120_000)[:5_000_000]
