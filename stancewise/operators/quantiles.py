@@ -10,15 +10,16 @@ from .ids import key_offsets
 
 
 def value_places(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """by, value, n, before (values of the group that are smaller), of_group (values of the group): a row per group and value, written.
+    """by, value, n, before (values of the group that are smaller), of_group (values of the group): a row per group and value.
 
-    Values are counted before they are sorted, in ranges of (by, value), so neither a large group nor a common value meets in a task. Null
-    and NaN values do not count.
+    Values are counted, and the counts written, before they are sorted in ranges of (by, value), so neither a large group nor a common
+    value meets in a task. Null and NaN values do not count.
     """
     rows = df.select(*by, F.col(column).cast("double").alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
     marks = [f"__null_{c}" for c in by]  # null groups come first, as keys that are not null
     keyed = rows.select(*[F.col(c).isNull().alias(m) for c, m in zip(by, marks, strict=True)], *by, "value")
-    placed = landed(key_offsets(landed(keyed), *marks, *by, "value")).drop(*marks)
+    cells = landed(keyed.groupBy(*marks, *by, "value").agg(F.count(F.lit(1)).alias("n")))
+    placed = key_offsets(cells, *marks, *by, "value", weight="n").drop(*marks)
     first = placed.groupBy(*by).agg(F.min("before").alias("__first"), F.sum("n").alias("of_group"))
     same = F.lit(True)
     for c in by:
@@ -56,17 +57,11 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     pairs = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b)")
     cells = landed(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
     for c in ("a", "b"):
-        counts = landed(cells.groupBy(c).agg(F.sum("n").alias("k")))
-        places = weighted_places(counts, c, "k")
-        cells = cells.join(places.select(c, (F.col("before") + (F.col("k") + 1) / 2).alias(f"r{c}")), c)
+        places = key_offsets(cells, c, weight="n")
+        cells = cells.join(places.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
     total = cells.agg(F.sum("n").alias("__n"), F.try_divide(F.sum(F.col("n") * F.col("a")), F.sum("n")).alias("__a"), F.try_divide(F.sum(F.col("n") * F.col("b")), F.sum("n")).alias("__b"))
     mean = (F.col("__n") + 1) / 2
     away = {"a": F.col("a") - F.col("__a"), "b": F.col("b") - F.col("__b"), "ra": F.col("ra") - mean, "rb": F.col("rb") - mean}
     moment = lambda x, y: F.sum(F.col("n") * away[x] * away[y])
     r = lambda x, y: F.try_divide(moment(x, y), F.sqrt(moment(x, x) * moment(y, y)))
     return cells.join(F.broadcast(total)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), r("a", "b").alias("pearson"), r("ra", "rb").alias("spearman"))
-
-
-def weighted_places(counts: DataFrame, key: str, weight: str) -> DataFrame:
-    """counts (distinct keys) with before: the weights of smaller keys, added up range by range."""
-    return key_offsets(counts, key, weight=weight).withColumnRenamed("n", weight)
