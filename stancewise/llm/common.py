@@ -44,6 +44,13 @@ def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. Spark drops shuffle files and broadcast blocks of finished jobs, here and on the executors,
+    only as the driver's references to them are collected; between the passes of an operator of many jobs that should not wait until
+    the driver's heap is full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def batches_of(spark: SparkSession, rows: int) -> None:
     """Bounds the Arrow batches of the Python tasks that follow, in rows and (where Spark knows it) in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,8 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
-        near = edges.join(labels, edges["a"] == labels["node"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        own = labels.select("node", F.col("label").alias("was")).join(near, "node").withColumn("label", F.least("was", "near"))
+        offers = edges.join(labels, edges["a"] == labels["node"]).select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        offers = offers.unionByName(labels.withColumn("was", F.col("label")))
+        own = offers.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         new = settle(own.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label")))
         changed = new.filter("label <> was").limit(1).count()

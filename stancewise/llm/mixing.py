@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, null_safe_join, settle
+from .common import WORD, fresh, null_safe_join, release, settle
 
 #: Tokens in a block, slots in an output shard, cells of the unit interval by which slots find their source.
 BLOCK, SHARD, CELLS = 128, 65_536, 4096
@@ -73,7 +73,9 @@ def _laid(docs: DataFrame, weights: tuple[int, ...], share: float, most: float,
     placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = null_safe_join(placed, per_bucket.select("source", "bucket", "base"), ["source", "bucket"]).select("doc_id", "source", "size", *held, (F.col("base") + F.col("inner")).alias("first"))
     placed = null_safe_join(placed, targets.select("source", "source_size", "target"), ["source"]).select("doc_id", "source", "size", *held, "source_size", "target", "first")
-    return settle(placed), _slots(targets, int(slots), seed)
+    placed = settle(placed)
+    release(docs.sparkSession)
+    return placed, _slots(targets, int(slots), seed)
 
 
 def _slots(targets: DataFrame, slots: int, seed: int) -> DataFrame:
@@ -167,6 +169,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     copy, rows, nth = (fresh(docs, c) for c in ("copy", "rows", "nth"))
     mark = fresh(docs, "mark")
     counts = counts.groupBy("doc_id", "source", F.col("mark").alias(mark)).agg(F.sum(copies).cast("int").alias(copy), F.count(F.lit(1)).alias(rows)).filter(F.col(copy) > 0)
+    counts = settle(counts)  # keys only; read by both branches below
     found = null_safe_join(docs.withColumn(mark, F.xxhash64("text")), counts, ["doc_id", "source", mark])
     alone = found.filter(F.col(rows) == 1)
     #: rows that repeat: the first ones take what does not divide; rows equal in all columns are one like the other

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_HOT, batches_of, broadcast_if, handed_back, lean, null_safe_join, settle, without_copies, words_print
+from .common import BROADCAST_HOT, batches_of, broadcast_if, handed_back, lean, null_safe_join, release, settle, without_copies, words_print
 from .graph import components, merged
 from .hashing import mixed, piece_hashes
 
@@ -425,6 +425,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     shared = settle(banded.join(buckets, ["band", "key"]))
     central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     shared = settle(shared.select("node", "band", "key").join(central, "node"))
+    release(spark)
 
     most_central = F.struct("weight", F.xxhash64("node"))
     leader = F.max_by(F.struct("node", "label"), most_central).alias("leader")
@@ -433,6 +434,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     links = _verified(docs, nodes, tried, idf)
     labels = components(links)
     for last in (False, True):
+        release(spark)
         held = settle(shared.join(labels, "node", "left").select("band", "key", "node", "weight", F.coalesce("label", "node").alias("label")))
         wanted = F.mode("label").alias("main") if last else leader
         open_ = settle(held.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), wanted).filter("lo <> hi").drop("lo", "hi"))
@@ -442,6 +444,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             more = _verified(docs, nodes, settle(_with_leaders(held, open_, nodes).distinct().join(tried, ["a", "b"], "left_anti")), idf)
         if more.limit(1).count():
             links, labels = links.unionByName(more), merged(labels, more)
+    release(spark)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "print", "copies").join(labels, "node", "left").join(ends, "node", "left").select("print", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
