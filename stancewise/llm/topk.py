@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, broadcast_if, lean, settle
 
-#: Vectors in a tile, queries in a block, blocks that are broadcast together, coordinates of the partial sums.
-TILE, QUERIES, GROUP, HEADS = 2048, 256, 256, (8, 24)
+#: Vectors in a tile, queries in a block, coordinates of the partial sums.
+TILE, QUERIES, HEADS = 2048, 256, (8, 24)
+#: Bytes of queries that are broadcast together; a block holds fewer queries where vectors are so long that QUERIES of them exceed it.
+BROADCAST_BYTES = 32 << 20
 #: A wave of tiles holds so many times the tiles of the one before; bounds tighten between waves.
 GROWTH = 4
 
@@ -51,11 +53,10 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rotation(rows: DataFrame) -> np.ndarray:
     """Right singular vectors of all rows, from their d x d moment matrix (the only thing that reaches the driver)."""
-    g = rows.select("v").mapInArrow(lean(_gram), "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
-    d = round(len(g) ** 0.5)
+    g = rows.select("v").mapInArrow(lean(_gram), "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toArrow()
+    d = round(g.num_rows**0.5)
     m = np.zeros(d * d)
-    for r in g:
-        m[r["i"]] = r["g"]
+    m[g["i"].to_numpy()] = g["g"].to_numpy()
     return np.linalg.eigh(m.reshape(d, d))[1][:, ::-1]
 
 
@@ -96,6 +97,13 @@ def _packed(rows: DataFrame, size: int, n: int, name: str) -> DataFrame:
     return packs.join(broadcast_if(base, base.count(), 100_000), "part").select((F.col("base") + F.col("k")).alias(name), "longest", "ids", "vs")
 
 
+def _dealt(dim: int) -> tuple[int, int]:
+    """Queries in a block, and blocks that are broadcast together, of vectors of dim components: BROADCAST_BYTES at most (but one query
+    at least)."""
+    queries = min(QUERIES, max(1, BROADCAST_BYTES // (8 * dim)))
+    return queries, max(1, BROADCAST_BYTES // (8 * dim * queries))
+
+
 def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other vectors.
 
@@ -108,7 +116,8 @@ def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col
     rotated by the right singular vectors of the table; partial products over the first HEADS coordinates plus the
     product of the residual lengths bound the rest, and only what survives gets its exact integer product.
 
-    No vector is shuffled after packing: GROUP blocks at a time (some 35 MB at 64 dimensions) are broadcast to the tiles.
+    No vector is shuffled after packing: as many blocks as BROADCAST_BYTES hold are broadcast to the tiles at a time, so that what is
+    broadcast grows neither with the queries nor with the dimension.
 
     Ties go to the smaller id. With fewer than k candidates all are returned. See ``quantised`` for the rows that take
     part. An empty table or one without queries gives an empty result; extra columns are ignored.
@@ -121,9 +130,10 @@ def top_k_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col
     if not n:
         return empty
     turn = _rotation(rows)
+    queries, together = _dealt(len(turn))
     wave = F.floor(F.log((GROWTH - 1.0) * F.col("tile") + 1.000001) / math.log(GROWTH)).cast("int")
     tiles = settle(_packed(rows, TILE, n, "tile").withColumn("wave", wave), "wave")
-    blocks = settle(_packed(rows.filter(F.col("vec_id") % every == 0), QUERIES, -(-n // every), "block").withColumn("group", F.expr(f"cast(block div {GROUP} as int)")), "group")
+    blocks = settle(_packed(rows.filter(F.col("vec_id") % every == 0), queries, -(-n // every), "block").withColumn("group", F.expr(f"cast(block div {together} as int)")), "group")
     longest = [r["longest"] for r in tiles.groupBy("wave").agg(F.max("longest").alias("longest")).orderBy("wave").collect()]  # a row per wave
     groups = blocks.agg(F.max("group")).first()[0]
     if groups is None:
@@ -146,12 +156,12 @@ def _searched(asked: DataFrame, tiles: DataFrame, longest: list[float], turn: np
             bounded = asked.withColumn("floors", F.expr("cast(array() as array<struct<at:int,bound:long>>)"))
         else:
             kth = best.groupBy("block", "at").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
-            floors = kth.groupBy("block").agg(F.collect_list(F.struct("at", "bound")).alias("floors"))  # at most QUERIES
+            floors = kth.groupBy("block").agg(F.collect_list(F.struct("at", "bound")).alias("floors"))  # at most the queries of a block
             bounded = asked.join(floors, "block", "left")
         bounded = settle(bounded.mapInArrow(lean(_bounds), "block long, q_ids binary, q_vs binary, bounds binary, need double").filter(F.col("need") <= most))
         if not bounded.limit(1).count():
             break
-        #: GROUP blocks at most; the stated queries against all rows, in blocks
+        #: BROADCAST_BYTES of queries at most; the stated queries against all rows, in blocks
         pairs = tiles.filter(F.col("wave") == wave).join(F.broadcast(bounded), F.col("longest") >= F.col("need"))
         new = pairs.select("tile", "ids", "vs", "block", "q_ids", "q_vs", "bounds").mapInArrow(lean(_search(k, turn)), "block long, at int, query_id long, vec_id long, score long")
         both = new if best is None else best.unionByName(new)

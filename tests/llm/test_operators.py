@@ -61,6 +61,24 @@ def test_top_k_matches_brute_force_with_ties(spark):
     assert {tuple(x) for x in got.collect()} == brute_top_k(exact, 5, 50)
 
 
+@pytest.mark.parametrize("held", [24 * 8 * 3, 8])
+def test_top_k_broadcasts_queries_by_bytes(spark, monkeypatch, held):
+    """Blocks of few queries, and groups of one block, where three vectors or not even one fit the bound."""
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(24)]) for i in range(120)]
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", held)
+    got = topk.top_k_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=25)
+    exact = [(i, [float(np.float32(x)) for x in e]) for i, e in rows]
+    assert {tuple(x) for x in got.collect()} == brute_top_k(exact, 5, 25)
+
+
+def test_top_k_broadcast_never_exceeds_its_bound():
+    assert topk._dealt(64) == (256, 256)
+    for dim in (1, 3, 64, 1536, 100_000, 4_000_000):
+        queries, together = topk._dealt(dim)
+        assert queries * together * dim * 8 <= topk.BROADCAST_BYTES and 1 <= queries <= topk.QUERIES
+
+
 def test_top_k_keeps_repeated_ids_and_other_dimensions(spark):
     r = random.Random(8)
     rows = [(i % 60, [float(r.randint(-9, 9)) for _ in range(r.choice((8, 8, 5, 11)))]) for i in range(200)] + [(7, [9.0] * 8)] * 3
