@@ -27,6 +27,7 @@ BODY = " palabra" * 60
         ('<div itemprop="articleBody" itemprop="other">a &unknown; &amp;lt; b</div>', "a &unknown; &lt; b"),
         ('<div itemprop="articleBody">a < b & c</div>', "a < b & c"),
         ("<section><div itemprop=articleBody>a<section>b</section></section>c", "a b"),
+        ('<div itemprop="articleBody"><h1>cut &amp;&amp</h1>off &#39 &lt &ampx; &#39;&lt;</div>', "cut &&amp off &#39 &lt &ampx; '<"),
         ("", None),
         ("plain", None),
     ],
