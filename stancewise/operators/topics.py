@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA, LDAModel
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.landing import landed
+from . import variational
+from .variational import Model
 
 #: Words of the vocabulary at most (the model holds topics x words on the driver), words a topic is judged by, window of coherence.
 WORDS, TOP, WINDOW = 1 << 15, 20, 110
+#: Cells (words x texts) of a table of texts of one window.
+CELLS = 1 << 22
 
 
 def vocabulary(paras: DataFrame, column: str = "tokens", least: int = 5, share: float = 0.55) -> DataFrame:
@@ -32,14 +34,14 @@ def vectorizer(words: DataFrame, column: str = "tokens", most: int = WORDS) -> C
     return CountVectorizerModel.from_vocabulary(top, column, "bag")
 
 
-def train(bags: DataFrame, k: int, passes: int = 20, seed: int = 42) -> LDAModel:
+def train(bags: DataFrame, k: int, passes: int = 20, seed: int = 42) -> Model:
     """Online variational training with a learned document prior."""
-    return LDA(k=k, maxIter=passes, seed=seed, optimizer="online", optimizeDocConcentration=True, featuresCol="bag").fit(bags)
+    return variational.train(bags, [k], passes, seed)[0]
 
 
-def with_topics(model: LDAModel, bags: DataFrame, listed: dict[str, list[int]]) -> DataFrame:
+def with_topics(model: Model, bags: DataFrame, listed: dict[str, list[int]]) -> DataFrame:
     """Adds topics (one probability per topic) and, per name, the largest probability of its listed topics (0 if none is listed)."""
-    out = model.transform(bags).withColumn("topics", vector_to_array("topicDistribution")).drop("topicDistribution", "bag")
+    out = bags.withColumn("topics", variational.probabilities(bags, model)).drop("bag")
     return out.withColumns({n: F.array_max(F.array(*[F.col("topics")[i] for i in ids])) if ids else F.lit(0.0) for n, ids in listed.items()})
 
 
@@ -50,11 +52,10 @@ def overlap(rows: DataFrame, topic: str = "fiscal_topic_prob", keyword: str = "i
     return rows.groupBy("president").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.avg((F.col(topic) >= flag).cast("double")).alias("share"))
 
 
-def top_words(model: LDAModel, words: list[str], n: int = TOP) -> DataFrame:
+def top_words(model: Model, words: list[str], n: int = TOP) -> DataFrame:
     """topic, rank (from 1), word, weight."""
-    table = F.array(*map(F.lit, words))
-    rows = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("k", "t"))
-    return rows.select("topic", (F.col("k") + 1).alias("rank"), F.element_at(table, F.col("t.termIndices") + 1).alias("word"), F.col("t.termWeights").alias("weight"))
+    rows = [(t, rank, words[w], weight) for t, top in enumerate(model.top(n)) for rank, (w, weight) in enumerate(top, 1)]
+    return SparkSession.active().createDataFrame(rows, "topic int, rank int, word string, weight double")
 
 
 def pair_codes(topics: list[list[int]], n: int) -> np.ndarray:
@@ -70,15 +71,39 @@ def window_counts(paras: DataFrame, words: list[str], column: str = "tokens", wi
     a task holds a number per such pair. A text of fewer tokens is one window.
     """
     place = {w: i for i, w in enumerate(words)}
-    wanted = pair_codes([[place[w] for w in t] for t in ([words] if topics is None else topics)], len(words))
+    sets = [sorted({place[w] for w in t}) for t in ([words] if topics is None else topics)]
+    wanted = pair_codes(sets, len(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, total = np.zeros(len(wanted), np.int64), 0
+        pairs, taken = [], np.zeros(len(wanted), bool)  # of each set the places of its pairs in ``wanted`` that no set before has
+        for t in sets:
+            a, b = np.triu_indices(len(t))
+            at = np.searchsorted(wanted, np.array(t, np.int64)[a] * len(words) + np.array(t, np.int64)[b])
+            new = ~taken[at]
+            taken[at] = True
+            pairs.append((t, at[new], a[new], b[new]))
+        many = max(CELLS // max(len(words), 1), 1)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = np.array([place.get(t, -1) for t in text or ()], np.int64)
-                windows = max(len(ids) - width + 1, 1)
-                total += windows
+            sizes = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            coded = batch.column(0).flatten().dictionary_encode()
+            codes = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            known = np.array([*[place.get(w, -1) for w in coded.dictionary.to_pylist()], -1], np.int64)[codes]
+            total += int(np.maximum(sizes - width + 1, 1).sum())
+            short = np.flatnonzero(sizes <= width)
+            for lo in range(0, len(short), many):  # texts of one window: the words that they hold, all of them at a time
+                rows = short[lo : lo + many]
+                row = np.repeat(np.arange(len(rows)), sizes[rows])
+                ids = known[np.arange(len(row)) + np.repeat(starts[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows])]
+                holds = np.zeros((len(words), len(rows)), np.float32)
+                holds[ids[ids >= 0], row[ids >= 0]] = 1
+                for t, at, a, b in pairs:
+                    part = holds[t]
+                    both[at] += (part @ part.T).astype(np.int64)[a, b]
+            for i in np.flatnonzero(sizes > width):
+                ids = known[starts[i] : starts[i] + sizes[i]]
+                windows = len(ids) - width + 1
                 for lo in range(0, windows, 4096):
                     n = min(4096, windows - lo)
                     part = ids[lo : lo + n + width - 1]
@@ -87,7 +112,7 @@ def window_counts(paras: DataFrame, words: list[str], column: str = "tokens", wi
                         continue
                     seen = np.vstack([np.zeros(len(here), np.int64), np.cumsum(part[:, None] == here, axis=0)])
                     start = np.arange(n)
-                    inside = (seen[np.minimum(start + width, len(part))] > seen[start]).astype(np.float64)
+                    inside = (seen[start + width] > seen[start]).astype(np.float64)
                     a, b = np.triu_indices(len(here))
                     codes = here[a] * len(words) + here[b]
                     at = np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)
@@ -120,15 +145,10 @@ def coherence(paras: DataFrame, topics: list[list[str]], column: str = "tokens")
 
 
 def grid(bags: DataFrame, words: list[str], ks: list[int], column: str = "tokens", passes: int = 20, at_once: int = 4) -> DataFrame:
-    """k, coherence, best (the first largest) of models of each size: ``at_once`` are trained side by side on the same written bag, and the
-    words of all of them are counted in one pass."""
+    """k, coherence, best (the first largest) of models of each size: ``at_once`` groups are trained side by side on the same written draws,
+    and the words of all of them are counted in one pass."""
     held = landed(bags.select("bag", column))
-
-    def listed(k: int) -> list[list[str]]:
-        return [[words[i] for i in r["termIndices"]] for r in train(held, k, passes).describeTopics(TOP).orderBy("topic").collect()]
-
-    with ThreadPoolExecutor(at_once) as pool:
-        models = list(pool.map(listed, ks))
+    models = [[[words[w] for w, _ in t] for t in m.top(TOP)] for m in variational.train(held, ks, passes, at_once=at_once)]
     scores = iter(coherence(held, [t for m in models for t in m], column))
     found = [(k, float(np.mean([next(scores) for _ in m]))) for k, m in zip(ks, models, strict=True)]
     best = max(found, key=lambda x: x[1])

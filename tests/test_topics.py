@@ -106,6 +106,34 @@ def test_overlap_of_planted_topic_and_keyword(spark):
     assert got == {"p": (20, 0, 20, 0.5), "q": (0, 0, 40, 0.5)}
 
 
+def test_models_side_by_side_and_texts_settled_in_blocks(spark):
+    """Models of one group have their own sizes; a text settled in blocks is as it is settled alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stancewise.operators import variational
+
+    paras = planted(spark)
+    bags = topics.vectorizer(topics.vocabulary(paras)).transform(paras).select("bag")
+    models = variational.train(bags, [2, 3, 5, 4], passes=4, at_once=1)
+    assert [m.weights.shape for m in models] == [(24, k) for k in (2, 3, 5, 4)] and all((m.prior > 0).all() for m in models)
+    g = np.random.default_rng(5)
+    beta, prior = g.dirichlet(np.ones(24), 3).T.copy(), np.array([0.2, 0.3, 0.5])
+    ids = [sorted(g.choice(24, n, replace=False).tolist()) for n in (0, 1, 5, 24, 3, 12)]
+    counts = [g.integers(1, 6, len(x)).astype(float).tolist() for x in ids]
+    texts = variational.Texts(pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float64())))
+    start = np.random.default_rng(7).gamma(100, 0.01, (6, 3))
+    got = variational.settle(beta, prior, texts, list(texts.blocks(np.arange(6), 30)), np.random.default_rng(7))
+    for i in range(1, 6):
+        gamma, b, moved = start[i], beta[ids[i]], 1.0
+        while moved > 1e-3:
+            theta = np.exp(variational.expected(gamma[None]))[0]
+            new = theta * (np.array(counts[i], np.float32) / (b @ theta) @ b) + prior
+            gamma, moved = new, np.abs(new - gamma).mean()
+        assert np.allclose(got[i], gamma, atol=1e-6)
+    assert abs(float(variational.digamma(np.array(1.0))) + 0.5772156649) < 1e-8 and abs(float(variational.trigamma(np.array(1.0))) - np.pi**2 / 6) < 1e-7
+
+
 def test_grid_of_planted_topics(spark):
     paras = planted(spark, 80)
     bag = topics.vectorizer(topics.vocabulary(paras))
