@@ -156,3 +156,11 @@ def test_seed_similarity_in_blocks(spark):
         got = {r["vec_id"]: r["similarity"] for r in similarity.seed_similarity(table, seeds, most).collect()}
         assert len(got) == 305 and all(abs(got[i] - want[i]) < 1e-9 for i in want) and all(got[i] is None for i in range(900, 905))
     assert all(r["similarity"] is None for r in similarity.seed_similarity(table, seeds.limit(0)).collect())
+
+
+def test_bags_of_the_topic_queries_are_written_once(spark, small):
+    """Steps and scores start from written bags, not from the documents."""
+    from stancewise.jobs import registry
+
+    _, bags, _ = registry._topic_model(spark, small, 2)
+    assert bags.inputFiles() and not any("documents" in f for f in bags.inputFiles())
