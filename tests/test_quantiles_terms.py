@@ -104,3 +104,21 @@ def test_term_index_forgets_and_takes_thousands_of_terms(monkeypatch):
     known = TermIndex(lexicon)
     text = " ".join(word() for _ in range(400))
     assert sorted(known.matches(text)) == by_expressions(text, lexicon) and len(known.known) <= 50
+
+
+def test_memory_of_words_is_bounded():
+    """100,000 words, each once: the memory of an index stays within a few megabytes, and matches are found as before."""
+    import itertools
+    import tracemalloc
+
+    from stancewise.functions.config import FIXTURE
+    from stancewise.functions.terms import TermIndex
+
+    index = TermIndex(FIXTURE)
+    tracemalloc.start()
+    for word in map("".join, itertools.islice(itertools.product("abcdefghij", repeat=5), 100_000)):
+        index.matches(word)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 8e6
+    assert index.matches("nation the") == [("pos", "tion the", False)]
