@@ -122,3 +122,16 @@ def test_memory_of_words_is_bounded():
     tracemalloc.stop()
     assert held < 8e6
     assert index.matches("nation the") == [("pos", "tion the", False)]
+
+
+def test_memory_of_long_words_is_bounded():
+    """200 words of 10,000 letters, each once: an index holds none of them, and finds terms inside them each time."""
+    import itertools
+
+    index = TermIndex(FIXTURE)
+    for start in map("".join, itertools.islice(itertools.product("abcdefghij", repeat=3), 200)):
+        index.matches(start + "x" * 9_997)
+    assert sum(map(len, index.known)) < 10_000
+    text = "z" * 9_000 + "nation thereof no " + "z" * 65 + "ble the"
+    assert index.matches(text) == index.matches(text) == [("pos", "tion the", False), ("neg", "ble the", True)]
+    assert sorted(index.matches(text)) == by_expressions(text, FIXTURE)
