@@ -11,7 +11,6 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.landing import landed
 from . import variational
 from .variational import Model
 
@@ -146,10 +145,9 @@ def coherence(paras: DataFrame, topics: list[list[str]], column: str = "tokens")
 
 def grid(bags: DataFrame, words: list[str], ks: list[int], column: str = "tokens", passes: int = 20, at_once: int = 4) -> DataFrame:
     """k, coherence, best (the first largest) of models of each size: ``at_once`` groups are trained side by side on the same written draws,
-    and the words of all of them are counted in one pass."""
-    held = landed(bags.select("bag", column))
-    models = [[[words[w] for w, _ in t] for t in m.top(TOP)] for m in variational.train(held, ks, passes, at_once=at_once)]
-    scores = iter(coherence(held, [t for m in models for t in m], column))
+    and the words of all of them are counted in one pass. The bags are read twice for the draws, their tokens once more."""
+    models = [[[words[w] for w, _ in t] for t in m.top(TOP)] for m in variational.train(bags, ks, passes, at_once=at_once)]
+    scores = iter(coherence(bags, [t for m in models for t in m], column))
     found = [(k, float(np.mean([next(scores) for _ in m]))) for k, m in zip(ks, models, strict=True)]
     best = max(found, key=lambda x: x[1])
     return bags.sparkSession.createDataFrame([(k, c, k == best[0]) for k, c in found], "k int, coherence double, best boolean")

@@ -27,7 +27,7 @@ LEAST = 1e-30
 #: Texts and entries (texts x words) that a task settles at a time: the last ones take hundreds of rounds, whatever the number of the others.
 TEXTS, MOST = 1 << 15, 1 << 22
 #: Entries of a block and rounds of its first turn: what is not settled by then goes on in new blocks, for as many rounds as it has had.
-BLOCK, TURN = 1 << 14, 8
+BLOCK, TURN = 1 << 15, 8
 #: Entries of a word that are added in single precision.
 PIECE = 1 << 9
 #: exp(digamma(z + 1/2)) / z in powers of 1 / z².
@@ -184,7 +184,7 @@ def improve(beta: np.ndarray, prior: np.ndarray, block: tuple[np.ndarray, np.nda
             goes_on &= ~ends
             if not goes_on.any():
                 break
-            if np.count_nonzero(goes_on) < 0.6 * len(row):
+            if np.count_nonzero(goes_on) < 0.75 * len(row):
                 near, counts, now, row = (x[goes_on] for x in (near, counts, now, row))
                 goes_on = np.ones(len(row), bool)
     gamma[row[goes_on]] = now[goes_on]
